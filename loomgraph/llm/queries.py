@@ -7,12 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe_codec import encode_decode
+from loomgraph.llm.language_id import language_id
+from loomgraph.llm.quality_rules import quality_rules
 from loomgraph.llm.token_counts import token_counts
 from loomgraph.session import ship, table
 
 BPE_50K = "byte_bpe_50k.json"
 
 
+def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Predicts every document's language; learns from those whose id's crc32 mod 3 is not 1."""
+    ship(spark)
+    docs = table(spark, d, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    fitted = language_id(docs.where(~F.coalesce(held_out, F.lit(False))), docs)
+    v = docs.select("doc_id", held_out.alias("held_out"), fitted(F.col("text")).alias("v"))
+    return v.select("doc_id", "held_out", "v.lang_pred", "v.score", "v.bits", "v.accepted")
+
+
+def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, base and verdict of the cascade for every document."""
+    ship(spark)
+    return quality_rules(table(spark, d, "documents")).drop("rejected_by")
+
+
 def op8_bpe_codec(spark: SparkSession, d: str) -> DataFrame:
     """Encodes and decodes every document; digests of both."""
     ship(spark)
@@ -30,6 +48,8 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_token_counts": op10_token_counts,
 }
