@@ -6,15 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm import sql
 from loomgraph.llm.bpe_codec import encode_decode
 from loomgraph.llm.language_id import language_id
 from loomgraph.llm.quality_rules import quality_rules
+from loomgraph.llm.simhash import near_duplicates
+from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.token_counts import token_counts
 from loomgraph.session import ship, table
 
 BPE_50K = "byte_bpe_50k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the lines that earlier documents have; the removed spans as start-end;... in characters."""
+    ship(spark)
+    out = substring_dedup(table(spark, d, "documents").select("doc_id", "text"))
+    span = F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"]))
+    return out.withColumn("removed", F.array_join(span, ";"))
+
+
 def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
     """Predicts every document's language; learns from those whose id's crc32 mod 3 is not 1."""
     ship(spark)
@@ -31,6 +42,12 @@ def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules(table(spark, d, "documents")).drop("rejected_by")
 
 
+def op5_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    ship(spark)
+    return near_duplicates(table(spark, d, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, d: str) -> DataFrame:
     """Encodes and decodes every document; digests of both."""
     ship(spark)
@@ -48,10 +65,14 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
-    "op9_quality_rules": op9_quality_rules,
+    "op5_simhash": op5_simhash,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": sql.substring_dedup(),
+}
