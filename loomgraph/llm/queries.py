@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import sql
 from loomgraph.llm.bpe_codec import encode_decode
 from loomgraph.llm.language_id import language_id
+from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality_rules import quality_rules
 from loomgraph.llm.simhash import near_duplicates
 from loomgraph.llm.substring_dedup import substring_dedup
@@ -26,6 +27,12 @@ def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("removed", F.array_join(span, ";"))
 
 
+def op2_packing(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, lexical neighbours together."""
+    ship(spark)
+    return pack_documents(table(spark, d, "documents"), public_tokenizers.path(BPE_50K))
+
+
 def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
     """Predicts every document's language; learns from those whose id's crc32 mod 3 is not 1."""
     ship(spark)
@@ -66,6 +73,7 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op5_simhash": op5_simhash,
     "op8_bpe_codec": op8_bpe_codec,

@@ -13,13 +13,13 @@ lines AS (SELECT doc_id, len(p) AS n_units, length(text) AS n, unnest(p) AS raw,
 norm AS (SELECT *, trim(regexp_replace(translate(raw, '{UPPER}', '{LOWER}'), '[ \\t\\n\\x0b\\x0c\\r]+', ' ', 'g')) AS unit FROM lines),
 seen AS (SELECT *, unit <> '' AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS rep,
   CASE WHEN unit = '' THEN 0 ELSE length(unit) - length(replace(unit, ' ', '')) + 1 END AS words,
-  coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM norm),
+  coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM norm),
 near AS (SELECT *, coalesce(last_value(CASE WHEN unit <> '' THEN rep END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
   AND coalesce(first_value(CASE WHEN unit <> '' THEN rep END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS between_reps FROM seen),
 eff AS (SELECT *, CASE WHEN unit <> '' THEN rep ELSE between_reps END AS e FROM near),
 isle AS (SELECT *, sum(CASE WHEN e THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM eff),
 runs AS (SELECT *, e AND sum(CASE WHEN e THEN words ELSE 0 END) OVER (PARTITION BY doc_id, k) >= {MIN_WORDS} AS cut FROM isle),
-spans AS (SELECT doc_id, k, min(at) AS s, least(max(at + length(raw) + 1), max(n)) AS t FROM runs WHERE cut GROUP BY doc_id, k),
+spans AS (SELECT doc_id, k, min(pos0) AS s, least(max(pos0 + length(raw) + 1), max(n)) AS t FROM runs WHERE cut GROUP BY doc_id, k),
 gone AS (SELECT doc_id, string_agg(CAST(s AS BIGINT) || '-' || CAST(t AS BIGINT), ';' ORDER BY s) AS removed FROM spans GROUP BY doc_id),
 kept AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN raw || CASE WHEN pos < n_units THEN chr(10) ELSE '' END END, '' ORDER BY pos), '') AS text,
   CAST(max(n_units) AS INTEGER) AS n_units, CAST(count(*) FILTER (WHERE cut AND rep) AS INTEGER) AS n_removed FROM runs GROUP BY doc_id)
