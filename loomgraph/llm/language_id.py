@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,7 +215,7 @@ def classifier(model: Model, token: str, bc) -> Column:
 def _classify(s: Scorer, texts: pa.Array) -> pa.Array:
     m = s.model
     lang, score, bits, ok = [], [], [], []
-    sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0))
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0))
     for lo, hi in slices(sizes, 2 << 20):
         part = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
         h, n = s.score(part)
