@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import sql
 from loomgraph.llm.bpe_codec import encode_decode
+from loomgraph.llm.cover_tree import top_inner_products
 from loomgraph.llm.language_id import language_id
+from loomgraph.llm.lm_scoring import lm_scores
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality_rules import quality_rules
 from loomgraph.llm.simhash import near_duplicates
 from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.token_counts import token_counts
+from loomgraph.llm.warc import derivatives, responses
 from loomgraph.session import ship, table
 
 BPE_50K = "byte_bpe_50k.json"
@@ -49,12 +52,33 @@ def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules(table(spark, d, "documents")).drop("rejected_by")
 
 
+def op4_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    """Scores every document; learns from those whose id's crc32 mod 7 is not 2."""
+    ship(spark)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_scores(table(spark, d, "documents"), held_out)
+
+
 def op5_simhash(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
     ship(spark)
     return near_duplicates(table(spark, d, "documents"))
 
 
+def op6_warc(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    ship(spark)
+    pages = responses(table(spark, d, "pages"), F.col("url"), F.col("html"), F.col("page_id"))
+    out = derivatives(pages, "source_key").withColumnRenamed("source_key", "page_id")
+    return out.withColumn("text", F.when(F.col("record_type") == "conversion", F.decode("block", "UTF-8"))).drop("block", "record")
+
+
+def op7_cover_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 highest inner products of every vector whose id is divisible by 50."""
+    ship(spark)
+    return top_inner_products(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_bpe_codec(spark: SparkSession, d: str) -> DataFrame:
     """Encodes and decodes every document; digests of both."""
     ship(spark)
@@ -75,7 +99,10 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
+    "op7_cover_tree": op7_cover_tree,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
@@ -83,4 +110,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.substring_dedup(),
+    "op7_cover_tree": sql.top_inner_products(),
 }

@@ -25,3 +25,13 @@ kept AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN raw || CASE W
   CAST(max(n_units) AS INTEGER) AS n_units, CAST(count(*) FILTER (WHERE cut AND rep) AS INTEGER) AS n_removed FROM runs GROUP BY doc_id)
 SELECT d.doc_id, k.text, coalesce(k.n_units, 0) AS n_units, coalesce(k.n_removed, 0) AS n_removed, coalesce(g.removed, '') AS removed
 FROM {source} d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id"""
+
+
+def top_inner_products(source: str = "embeddings", k: int = 5) -> str:
+    """Exact inner products of whole-number components, every query against every row."""
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM {source}
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS s FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(s AS BIGINT) AS score FROM p)
+SELECT * FROM r WHERE rank <= {k}"""
