@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph_queries
+from loomgraph.plans import graph_queries, text_queries
+from loomgraph.session import ship
 
-MODULES = (graph_queries,)
+MODULES = (graph_queries, text_queries)
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package sent to the executors before it runs."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: _shipped(v) for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
