@@ -45,7 +45,7 @@ class CoverTree:
         self.points = self.points[self.order]
 
     def _build(self, lo: int, hi: int) -> Node:
-        at = self.order[lo:hi]
+        at = self.order[lo:hi].copy()
         centre = self.points[at[0]]
         d = np.sqrt(((self.points[at] - centre) ** 2).sum(axis=1))
         node = Node(lo, hi, centre, float(d.max()), float(np.sqrt((centre**2).sum())), [])
