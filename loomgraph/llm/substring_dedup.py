@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrow import bounded
+from loomgraph.session import Stored
 
 #: Words of a run of repeated units from which on it is removed.
 MIN_WORDS = 25
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A digest with over 1 / HOT of the repeated units, and over MEETING of them, is dealt out in pieces.
+HOT, MEETING = 1000, 1000
 #: What ends a unit, as a literal string.
 ENDS = {"line": "\n", "paragraph": "\n\n"}
 SPACES = "[ \t\n\x0b\x0c\r]+"
@@ -75,15 +78,22 @@ def repeated_units(df: DataFrame, id_col: str, text_col: str, unit: str) -> Data
 
     Rank: document id (nulls first), then a hash of the text, then position. A
     digest's first occurrence is a pre-aggregated minimum; only digests seen
-    twice go on. That join's left side may be skewed by common lines: it is a
-    plain sort-merge join, which AQE splits. Units without a word take no part.
+    twice go on. A digest with over 1 / HOT of all repeated units is cut into
+    pieces before the join, so no common line is one task's. Units without a
+    word take no part.
     """
     doc = F.col(id_col).alias("doc"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("version")
     units = df.where(F.col(text_col).isNotNull()).select(*doc, F.posexplode(F.split(F.col(text_col), "\\Q" + ENDS[unit] + "\\E", -1)).alias("pos", "unit"))
     units = units.select("doc", "version", "pos", normalised(F.col("unit")).alias("unit")).where("unit <> ''")
     units = units.select(F.unhex(F.md5("unit")).alias("digest"), F.struct("doc", "version", "pos").alias("rank"))
-    first = units.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first <> last")
-    later = units.join(first.select("digest", "first"), "digest").where(F.col("rank") > F.col("first"))
+    first = units.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).where("first <> last")
+    first = Stored(first.select("digest", "first", "n"), "repeated-units").read()
+    total = first.agg(F.sum("n")).first()[0] or 0
+    share = max(MEETING, -(-total // HOT))
+    hot = F.broadcast(first.where(F.col("n") > share).select("digest", F.ceil(F.col("n") / share).alias("pieces")))  # under HOT rows: their counts add up to at most the total
+    spread = first.join(hot, "digest", "left").select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1).cast("long")) - 1)).alias("piece"))
+    dealt = units.join(hot, "digest", "left").select("digest", "rank", F.coalesce(F.pmod(F.xxhash64("rank"), F.col("pieces")), F.lit(0).cast("long")).alias("piece"))
+    later = dealt.join(spread, ["digest", "piece"]).where(F.col("rank") > F.col("first"))
     return later.groupBy("rank.doc", "rank.version").agg(F.collect_set("rank.pos").alias("units"))
 
 
