@@ -111,4 +111,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.substring_dedup(),
     "op7_cover_tree": sql.top_inner_products(),
+    "op9_quality_rules": sql.quality_rules(),
 }
