@@ -235,11 +235,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = stored.read()
     firsts = table.groupBy("fp").agg(F.min("doc_id").alias("first"))
     own = Stored(firsts, "distinct-fingerprints").read()
-    linked = connected_components(fingerprint_links(own.select("fp"), own.count(), most))
-    rooted = own.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    # a root stands in few rows here (distinct fingerprints), a fingerprint of `table` in many: AQE splits that join
-    of = rooted.join(least, "root").select("fp", "component_id")
+    links = fingerprint_links(own.select("fp"), own.count(), most)
+    # nodes in the order of their first document, so that a component's root names its smallest id
+    node = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
+    for side in ("a", "b"):
+        links = links.join(own.select(F.col("fp").alias(side), node.alias(f"{side}_node")), side)
+    linked = connected_components(links.select("a_node", "b_node")).select("node.fp", F.col("root.first").alias("least"))
+    of = own.join(linked, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
     return table.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
