@@ -242,6 +242,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.join(own.select(F.col("fp").alias(side), node.alias(f"{side}_node")), side)
     linked = connected_components(links.select("a_node", "b_node")).select("node.fp", F.col("root.first").alias("least"))
     of = own.join(linked, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    of = Stored(of, "component-ids").read()  # so that the next join starts at its own exchange and AQE can split what many copies share
     return table.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
