@@ -2,8 +2,8 @@
 
 Maximum-likelihood estimates of 1-, 2- and 3-grams are mixed by weights that
 depend on how often the context was seen. The weights are learned by
-expectation-maximisation on held-out counts: for each token of the fold, the
-counts of its own document are deleted from those of the corpus.
+expectation-maximisation on held-out counts: for each training token of the
+corpus, the counts of its own document are deleted from those of the corpus.
 
 Counting. A *chunk* is a bounded number of neighbouring documents, stored once
 as token streams over its own vocabulary. Each chunk sends its distinct n-grams
@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrow import bounded
@@ -35,8 +35,6 @@ CHUNK_BYTES = 8 << 20
 GRAM_BITS = 48
 #: The end of a text and what stands before its start; neither can be a word.
 END, START = 0x5C0DE0FE2D000001, 0x5C0DE0FE2D000002
-#: Chunks whose documents make the fold: one in this many (all, if there are fewer than twice as many).
-FOLD = 8
 BINS, SPAN = 240, 30.0
 
 
@@ -287,6 +285,11 @@ def _together(chunks: DataFrame, told: DataFrame, tasks: int) -> DataFrame:
     return a.unionByName(b).repartition(tasks, "chunk")
 
 
+def _clean(spark: SparkSession) -> None:
+    """A collection on the driver: Spark's cleaner then removes the files of shuffles that no query reads again."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every whole text.
 
@@ -311,12 +314,13 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     bits = max(3, (parts - 1).bit_length())
     asked = chunks.mapInArrow(_ask(bits, order), ASKED).repartition(1 << bits, "bucket")
     told = Stored(asked.mapInArrow(_tell, TOLD), "lm-totals").read()
+    _clean(spark)
     vocabulary = told.where("k = 1").agg(F.sum("seen")).first()[0]
     m = Mixture(n_train, vocabulary, n_docs)
-    fold = F.pmod(F.xxhash64("chunk"), F.lit(FOLD)) == 0 if n_chunks >= 2 * FOLD else F.lit(True)
     tasks = max(1, n_chunks)
     for k in range(2, order + 1):
-        m.weights[k] = learn(_histogram(_together(chunks.where(fold), told.where(fold).where(F.col("k") <= k), max(1, tasks // FOLD)), m, k))
+        m.weights[k] = learn(_histogram(_together(chunks, told.where(F.col("k") <= k), tasks), m, k))
+        _clean(spark)
 
     def score(c: Chunk, totals: dict) -> pa.RecordBatch:
         counts, contexts = _counts(c, totals, m, order, False)
@@ -329,7 +333,7 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 
 
 def _histogram(rows: DataFrame, m: Mixture, k: int) -> np.ndarray:
-    """Training tokens of the fold by context bucket and binned ratio, under deleted counts. Its size is fixed: 64 buckets of BINS + 1."""
+    """All training tokens by context bucket and binned ratio, under deleted counts. Its size is fixed: 64 buckets of BINS + 1."""
 
     def count(c: Chunk, totals: dict) -> pa.RecordBatch:
         counts, contexts = _counts(c, totals, m, k, True)

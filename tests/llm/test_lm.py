@@ -66,3 +66,10 @@ def test_probabilities_sum_to_one_with_brute_force_counts():
     assert counts[3].tolist() == [2, 2, 1, 1, 2, 2, 1] and contexts[3].tolist() == [2, 2, 2, 1, 2, 2, 2]
     deleted, _ = _counts(c, told, m, 2, True)
     assert deleted[1].tolist() == [1, 1, 1, 1, 2, 1, 1]
+
+
+def test_scores_do_not_depend_on_the_number_of_chunks(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    out = F.col("doc_id") % 7 == 2
+    few, many = ([(g.doc_id or -1, round(g.score, 9)) for g in lm_scores(df, out, chunk_bytes=n).collect()] for n in (10**9, 300))
+    assert sorted(few) == sorted(many)
