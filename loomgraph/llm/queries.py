@@ -23,7 +23,7 @@ BPE_50K = "byte_bpe_50k.json"
 
 
 def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Every document without the lines that earlier documents have; the removed spans as start-end;... in characters."""
+    """Every document without the passages that earlier documents have; the removed spans as start-end;... in characters."""
     ship(spark)
     out = substring_dedup(table(spark, d, "documents").select("doc_id", "text"))
     span = F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"]))

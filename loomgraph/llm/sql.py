@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from loomgraph.llm.substring_dedup import LOWER, MIN_WORDS, UPPER
+from loomgraph.llm.substring_dedup import MIN_WORDS
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def substring_dedup(source: str = "documents") -> str:
-    """Lines that an earlier line equals (A-Z in lower case, white space collapsed), removed in runs of MIN_WORDS words."""
-    return f"""
-WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM {source} WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, len(p) AS n_units, length(text) AS n, unnest(p) AS raw, generate_subscripts(p, 1) AS pos FROM parts),
-norm AS (SELECT *, trim(regexp_replace(translate(raw, '{UPPER}', '{LOWER}'), '[ \\t\\n\\x0b\\x0c\\r]+', ' ', 'g')) AS unit FROM lines),
-seen AS (SELECT *, unit <> '' AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS rep,
+    """Clauses that an earlier clause equals (A-Z in lower case, white space collapsed), removed in runs of MIN_WORDS words."""
+    return rf"""
+WITH parts AS (SELECT doc_id, length(text) AS n, list_filter(regexp_extract_all(text, '[^\n]*?(?:[.!?,;:|][ \t\r\x0b\x0c]+|\n|\z)'), lambda x: x <> '') AS p FROM {source} WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, n, unnest(p) AS raw, generate_subscripts(p, 1) AS pos FROM parts),
+norm AS (SELECT *, trim(regexp_replace(translate(raw, '{UPPER}', '{LOWER}'), '[ \t\n\x0b\x0c\r]+', ' ', 'g')) AS unit FROM lines),
+seen AS (SELECT *, CASE WHEN unit <> '' THEN row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 END AS rep,
   CASE WHEN unit = '' THEN 0 ELSE length(unit) - length(replace(unit, ' ', '')) + 1 END AS words,
-  coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM norm),
-near AS (SELECT *, coalesce(last_value(CASE WHEN unit <> '' THEN rep END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
-  AND coalesce(first_value(CASE WHEN unit <> '' THEN rep END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS between_reps FROM seen),
-eff AS (SELECT *, CASE WHEN unit <> '' THEN rep ELSE between_reps END AS e FROM near),
-isle AS (SELECT *, sum(CASE WHEN e THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM eff),
-runs AS (SELECT *, e AND sum(CASE WHEN e THEN words ELSE 0 END) OVER (PARTITION BY doc_id, k) >= {MIN_WORDS} AS cut FROM isle),
-spans AS (SELECT doc_id, k, min(pos0) AS s, least(max(pos0 + length(raw) + 1), max(n)) AS t FROM runs WHERE cut GROUP BY doc_id, k),
-gone AS (SELECT doc_id, string_agg(CAST(s AS BIGINT) || '-' || CAST(t AS BIGINT), ';' ORDER BY s) AS removed FROM spans GROUP BY doc_id),
-kept AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN raw || CASE WHEN pos < n_units THEN chr(10) ELSE '' END END, '' ORDER BY pos), '') AS text,
-  CAST(max(n_units) AS INTEGER) AS n_units, CAST(count(*) FILTER (WHERE cut AND rep) AS INTEGER) AS n_removed FROM runs GROUP BY doc_id)
-SELECT d.doc_id, k.text, coalesce(k.n_units, 0) AS n_units, coalesce(k.n_removed, 0) AS n_removed, coalesce(g.removed, '') AS removed
-FROM {source} d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id"""
+  coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM norm),
+near AS (SELECT *, coalesce(rep, coalesce(last_value(rep IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+  AND coalesce(first_value(rep IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false)) AS e FROM seen),
+isle AS (SELECT *, sum(CASE WHEN e THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM near),
+runs AS (SELECT *, e AND sum(CASE WHEN e THEN words ELSE 0 END) OVER (PARTITION BY doc_id, k) >= {MIN_WORDS} AS gone FROM isle),
+spans AS (SELECT doc_id, k, min(pos0) AS s, max(pos0 + length(raw)) AS t FROM runs WHERE gone GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, string_agg(CAST(s AS BIGINT) || '-' || CAST(t AS BIGINT), ';' ORDER BY s) AS removed FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN raw END, '' ORDER BY pos), '') AS text,
+  CAST(count(*) FILTER (WHERE unit <> '') AS INTEGER) AS n_units, CAST(count(*) FILTER (WHERE gone AND rep) AS INTEGER) AS n_removed FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.n_removed, 0) > 0 AS cut, coalesce(k.n_units, 0) AS n_units, coalesce(k.n_removed, 0) AS n_removed, coalesce(g.removed, '') AS removed
+FROM {source} d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN cuts g ON g.doc_id = d.doc_id"""
 
 
 def top_inner_products(source: str = "embeddings", k: int = 5) -> str:

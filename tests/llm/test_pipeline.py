@@ -1,4 +1,5 @@
 import random
+import re
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -6,15 +7,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomgraph.llm.bpe import codec
 from loomgraph.llm.quality_rules import RULES, Doc
-from loomgraph.llm.simhash import fingerprint_of
 from loomgraph.llm.substring_dedup import MIN_WORDS, substring_dedup
 
 
-def brute_cut(docs):
+def brute_cut(docs, min_words=MIN_WORDS):
     """docs: (id, text) in rank order."""
     seen, out = {}, {}
-    rows = {i: t.split("\n") for i, t in docs}
     norm = lambda u: b" ".join(u.encode().lower().split()).decode()
+    rows = {i: [u for u in re.findall(r"[^\n]*?(?:[.!?,;:|][ \t\r\x0b\x0c]+|\n|\Z)", t) if u] for i, t in docs}
     for i, _ in docs:
         for p, u in enumerate(rows[i]):
             if norm(u):
@@ -32,11 +32,10 @@ def brute_cut(docs):
                 q += 1
             while not rep[q]:
                 q -= 1
-            if sum(len(norm(u).split()) for u in parts[p : q + 1]) >= MIN_WORDS:
+            if sum(len(norm(u).split()) for u in parts[p : q + 1]) >= min_words:
                 gone |= set(range(p, q + 1))
             p = q + 1
-        ends = [u + "\n" for u in parts[:-1]] + parts[-1:]
-        out[i] = "".join(u for k, u in enumerate(ends) if k not in gone)
+        out[i] = "".join(u for k, u in enumerate(parts) if k not in gone)
     return out
 
 
@@ -78,6 +77,52 @@ def test_substring_dedup(spark):
     assert substring_dedup(df, unit="paragraph").count() == len(docs) + 1
 
 
+def test_passages_inside_lines_and_short_repeats(spark):
+    r = random.Random(8)
+    passage = " ".join(sentence(r, 12) for _ in range(5))
+    around = lambda: sentence(r, 9) + " " + passage + " " + sentence(r, 9)
+    line = sentence(r, 20)
+    docs = [(1, around()), (2, around()), (3, line + "\nOwn words of three."), (4, "Other words here.\n" + line.upper().replace(" ", "  ")), (5, "As. " + line), (6, "As. La."), (7, "As. La. Le.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {g.doc_id: g for g in substring_dedup(df).collect()}
+    assert {i: g.text for i, g in got.items()} == brute_cut(docs)
+    assert passage not in got[2].text and len(got[2].text.split()) == 18
+    assert [i for i in sorted(got) if got[i].cut] == [2, 4, 5]
+    every = {g.doc_id: g.text for g in substring_dedup(df, min_words=1).collect()}
+    assert every == brute_cut(docs, 1) and every[6] == "La."
+
+
+def test_random_texts_equal_brute_force(spark):
+    r = random.Random(9)
+    docs = []
+    for i in range(120):
+        t = "".join(" ".join(r.choice(["é", "B", "bb", "C"]) for _ in range(r.randrange(0, 9))) + r.choice([". ", ", ", "\n", "\n\n", "; \t", ".\r\n", " | ", "!? "]) for _ in range(r.randrange(0, 14)))
+        docs.append((i, t))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for least in (1, 6):
+        got = substring_dedup(df, min_words=least).collect()
+        assert {g.doc_id: g.text for g in got} == brute_cut(docs, least)
+
+
+def test_null_ids_long_texts_and_clashing_names(spark):
+    r = random.Random(10)
+    line = sentence(r, 30)
+    long = " ".join(sentence(r, 30) for _ in range(20_000))
+    rows = [(None, line), (None, line), (1, line), (2, None), (3, long), (4, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = ["_doc", "_v", "_units", "_version", "_cut", "_stays", "row", "doc", "version", "units", "rank", "known", "done", "of_doc", "a.b"]
+    for c in odd:
+        df = df.withColumn(c, F.lit(7))
+    out = substring_dedup(df)
+    assert out.columns == [*df.columns, "cut", "n_units", "n_removed", "removed"]
+    got = out.collect()
+    assert all(g[c] == 7 for g in got for c in odd)
+    assert sorted((str(g.doc_id), g.text if g.text is None else len(g.text)) for g in got) == sorted([("None", len(line)), ("None", len(line)), ("1", 0), ("2", None), ("3", len(long)), ("4", 0)])
+    docs = df.withColumn("cut", F.lit("x")).withColumn("n_chars", F.length("text").cast("long"))
+    kept = corpus_pipeline.no_repeats(spark, docs, "")
+    assert kept.columns == docs.columns and {k.cut for k in kept.collect()} == {"x"}
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     docs = corpus()
     rows = [(i, t, "en", "s", len(t)) for i, t in docs] + [(99, None, None, None, None)]
@@ -85,17 +130,17 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     left = [(i, t) for i, t in docs if any(c.isalpha() for c in t)]
     left = [(i, t) for i, t in left if not any(rule.rejects(Doc(t.encode())) for rule in RULES)]
-    fps = {i: fingerprint_of(t.encode()) for i, t in left}
-    up = {i: i for i in fps}
+    sets = {i: {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for i, t in left for w in [t.lower().split()]}
+    up = {i: i for i in sets}
 
     def find(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for a in fps:
-        for b in fps:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4:
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     left = [(i, t) for i, t in left if find(i) == i]
