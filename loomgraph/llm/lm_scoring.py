@@ -11,7 +11,11 @@ as token streams over its own vocabulary. Each chunk sends its distinct n-grams
 adds up its n-grams over all chunks and sends every chunk the totals of the
 n-grams it asked for, in the order it asked. So a chunk is scored with exact
 corpus counts, and no task ever holds the corpus's vocabulary: what moves grows
-with the input, and no key is hot, since a chunk names an n-gram once.
+with the input, and no key is hot, since a chunk names an n-gram once. A chunk
+writes to at most FAN buckets: where the hash space has more, the n-grams of
+every FAN chunks are first added up by the hash's first bits, and these sums ask
+on in the same way; the totals come back by the same route. Each token's counts
+are then stored, and both learning and scoring read only those.
 """
 
 from __future__ import annotations
@@ -31,8 +35,11 @@ from loomgraph.session import Stored
 ORDER = 3
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 8 << 20
-#: Bits of an n-gram's hash beyond single words, which keep 64: two n-grams of a corpus share one by chance n / 2**48.
-GRAM_BITS = 48
+#: Single words keep 64 bits of their hash, longer n-grams SPARE more than it takes to number the corpus's tokens
+#: (64 at most), so that at every size an n-gram shares its hash with another by chance 2**-SPARE or less.
+SPARE = 20
+#: Binary logarithm of the buckets that a chunk, or a sum of chunks, writes to.
+FAN_BITS = 12
 #: The end of a text and what stands before its start; neither can be a word.
 END, START = 0x5C0DE0FE2D000001, 0x5C0DE0FE2D000002
 BINS, SPAN = 240, 30.0
@@ -71,6 +78,7 @@ class Chunk:
     sizes: np.ndarray
     words: np.ndarray
     tokens: np.ndarray
+    bits: int
     _grams: dict = field(default_factory=dict)
 
     @property
@@ -91,7 +99,7 @@ class Chunk:
                     at = self.starts[self.sizes > j] + j
                     before[at] = START
                 g = _mix(before, g)
-            self._grams[k] = np.unique(g >> np.uint64(64 - GRAM_BITS) << np.uint64(64 - GRAM_BITS), return_inverse=True)
+            self._grams[k] = np.unique(g >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits), return_inverse=True)
         return self._grams[k]
 
     def counts(self, k: int) -> np.ndarray:
@@ -151,52 +159,122 @@ def _chunks(chunk_bytes: int):
     return run
 
 
-def _chunk_of(r: dict) -> Chunk:
-    return Chunk(r["ids"], np.asarray(r["held"], bool), np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["tokens"], np.uint32).astype(np.int64))
+def _chunk_of(r: dict, bits: int) -> Chunk:
+    return Chunk(r["ids"], np.asarray(r["held"], bool), np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["tokens"], np.uint32).astype(np.int64), bits)
 
 
-ASKED = "bucket int, k int, chunk long, grams binary, counts binary"
+#: The node that is asked, the chunk or node that asks, and what it asks for.
+ASKED = "node long, k int, sender long, grams binary, counts binary"
+#: Totals for a sender, in the order it asked; seen: n-grams with a count, named once for each node.
+TOLD = "sender long, k int, node long, counts binary, seen long"
 
 
-def _ask(bits: int, order: int):
-    """Each chunk's distinct n-grams with its own training counts, by bucket: the hash's first bits."""
+def _rows(rows: list[tuple], kinds: str) -> pa.RecordBatch:
+    of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in kinds.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, of[t]) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+
+
+def _split(keys: np.ndarray, counts: np.ndarray, sender: int, k: int, group: int, bits: int) -> list[tuple]:
+    """Sorted n-grams for the nodes of a level: the group of the sender and the first bits of the hash."""
+    first = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else []
+    return [((group << bits) + int(first[lo]), k, sender, _pack(keys[lo:hi]), _pack(counts[lo:hi])) for lo, hi in zip(starts, [*starts[1:], len(first)], strict=True)]
+
+
+def _group(sender: int, groups: int) -> int:
+    return int(_mix(np.array([sender], np.uint64), np.uint64(1))[0] % np.uint64(groups))
+
+
+def _ask(bits: int, groups: int, order: int, gram_bits: int):
+    """Each chunk's distinct n-grams with its own training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                c = _chunk_of(r)
+                c = _chunk_of(r, gram_bits)
                 for k in range(1, order + 1):
-                    keys, n = c.gram(k)[0], c.counts(k)
-                    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    rows = [(b, k, r["chunk"], _pack(keys[lo:hi]), _pack(n[lo:hi])) for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if hi > lo]
+                    yield _rows(_split(c.gram(k)[0], c.counts(k), r["chunk"], k, _group(r["chunk"], groups), bits), ASKED)
                     c._grams.clear()
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "k", "chunk", "grams", "counts"])
 
     return run
 
 
-TOLD = "chunk long, k int, bucket int, counts binary, seen long"
+def _by_node(use):
+    """What `use` makes of (node, k) and its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[dict]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.setdefault((r["node"], r["k"]), []).append(r)
+        for node, k in sorted(held):
+            yield use(node, k, held.pop((node, k)))
+
+    return run
+
+
+def _summed(asked: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """What each row asked for, the distinct n-grams, their sums, and the place of each asked one among them."""
+    grams = [_unpack(r["grams"], np.uint64) for r in asked]
+    n = np.concatenate([_unpack(r["counts"], np.uint32) for r in asked])
+    keys, at = np.unique(np.concatenate(grams), return_inverse=True)
+    return grams, keys, np.bincount(at, n, minlength=len(keys)).astype(np.uint32), at
+
+
+def _answers(node: int, k: int, asked: list[dict], grams: list[np.ndarray], each: np.ndarray, seen: int) -> pa.RecordBatch:
+    ends = np.cumsum([len(g) for g in grams]).tolist()
+    rows = [(r["sender"], k, node, _pack(each[hi - len(g) : hi]), 0 if i else seen) for i, (r, g, hi) in enumerate(zip(asked, grams, ends, strict=True))]
+    return _rows(rows, TOLD)
+
+
+def _tell(node: int, k: int, asked: list[dict]) -> pa.RecordBatch:
+    """Totals of a bucket's n-grams, for every sender in the order it asked."""
+    grams, _, total, at = _summed(asked)
+    return _answers(node, k, asked, grams, total[at], int((total > 0).sum()))
+
+
+def _ask_on(bits: int, groups: int):
+    """A node's sums, for the nodes of the next level."""
+
+    def use(node: int, k: int, asked: list[dict]) -> pa.RecordBatch:
+        _, keys, total, _ = _summed(asked)
+        return _rows(_split(keys, total, node, k, _group(node, groups), bits), ASKED)
+
+    return use
+
+
+def _pass_back(node: int, k: int, rows: list[dict]) -> pa.RecordBatch:
+    """The totals that came back to a node, for its own senders."""
+    asked = [r for r in rows if r["grams"] is not None]
+    told = sorted((r for r in rows if r["grams"] is None), key=lambda r: r["part"])
+    grams, _, _, at = _summed(asked)
+    total = np.concatenate([_unpack(r["counts"], np.uint32) for r in told])
+    return _answers(node, k, asked, grams, total[at], sum(r["seen"] for r in told))
+
 
+def levels(bits: int, chunks: int, fan_bits: int) -> list[tuple[int, int]]:
+    """(bits, groups) of each level of nodes; the last has all bits and one group."""
+    out, done = [], min(bits, fan_bits)
+    while done < bits:
+        out.append((done, max(1, -(-chunks >> fan_bits * (len(out) + 1)))))
+        done = min(bits, done + fan_bits)
+    return [*out, (bits, 1)]
 
-def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of a bucket's n-grams, for every chunk in the order it asked; seen: the bucket's n-grams with a count, on one of its rows."""
-    held: dict[tuple[int, int], list] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            held.setdefault((r["bucket"], r["k"]), []).append((r["chunk"], r["grams"], r["counts"]))
-    for (bucket, k), asked in sorted(held.items()):
-        grams = [_unpack(g, np.uint64) for _, g, _ in asked]
-        n = np.concatenate([_unpack(c, np.uint32) for _, _, c in asked])
-        keys, at = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(at, n, minlength=len(keys)).astype(np.uint32)
-        each = total[at]
-        lo, out = 0, []
-        for g in grams:
-            out.append(_pack(each[lo : lo + len(g)]))
-            lo += len(g)
-        seen = [int((total > 0).sum())] + [0] * (len(asked) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array([a[0] for a in asked]), pa.array([k] * len(asked), pa.int32()), pa.array([bucket] * len(asked), pa.int32()), pa.array(out), pa.array(seen)], ["chunk", "k", "bucket", "counts", "seen"])
+
+def _totals(asked: DataFrame, route: list[tuple[int, int]], tasks: int) -> Stored:
+    """TOLD for every row of `asked`, whose nodes are those of the first level of the route."""
+    if len(route) == 1:
+        return Stored(asked.repartition(tasks, "node").mapInArrow(_by_node(_tell), TOLD), "lm-totals")
+    kept = Stored(asked, "lm-asked")
+    told = _totals(kept.read().repartition(tasks, "node").mapInArrow(_by_node(_ask_on(*route[1])), ASKED), route[1:], tasks)
+    null = lambda kind: F.lit(None).cast(kind)
+    mine = kept.read().select("node", "k", "sender", "grams", "counts", null("long").alias("part"), null("long").alias("seen"))
+    back = told.read().select(F.col("sender").alias("node"), "k", null("long").alias("sender"), null("binary").alias("grams"), "counts", F.col("node").alias("part"), "seen")
+    out = Stored(mine.unionByName(back).repartition(tasks, "node").mapInArrow(_by_node(_pass_back), TOLD), "lm-totals")
+    kept.drop(), told.drop()
+    return out
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -229,9 +307,13 @@ def _share(count: np.ndarray, context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, count / np.maximum(context, 1), 0.0)
 
 
-def learn(hist: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Weights by bucket, by EM on tokens counted by bucket and the log ratio of share to lower order (first bin: share 0)."""
-    ratio = np.concatenate([[0.0], np.exp2((np.arange(BINS) + 0.5) / BINS * 2 * SPAN - SPAN)])
+def learn(hist: np.ndarray, logs: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights by bucket, by EM on tokens counted by bucket and binned ratio of share to lower order (first bin: share 0); logs: the sums of the ratios' binary logarithms.
+
+    Bucket 0 has weight 0; one that no token reaches lies between its neighbours.
+    """
+    ratio = np.where(hist > 0, np.exp2(logs / np.maximum(hist, 1)), 0.0)
+    ratio[:, 0] = 0.0
     w = np.full(len(hist), 0.5)
     for _ in range(rounds):
         gain = w[:, None] * ratio / (w[:, None] * ratio + 1 - w[:, None])
@@ -242,26 +324,17 @@ def learn(hist: np.ndarray, rounds: int = 200) -> np.ndarray:
     return np.where(some, w, np.interp(np.arange(len(w)), np.flatnonzero(some), w[some]) if some.any() else 0.0)
 
 
-def _counts(c: Chunk, told: dict[int, dict[int, bytes]], m: Mixture, order: int, deleted: bool) -> tuple[dict, dict]:
-    """Each token's n-gram and context counts; deleted: without those of its own document, if that is in training."""
-    counts, contexts = {}, {}
-    train = np.repeat(~c.held, c.sizes)
-    for k in range(1, order + 1):
-        total = np.concatenate([_unpack(told[k][b], np.uint32) for b in sorted(told[k])]).astype(np.int64)
-        counts[k] = total[c.gram(k)[1]]
-        if deleted:
-            counts[k] = counts[k] - np.where(train, c.own(k), 0)
-        c._grams.clear()
-    for k in range(2, order + 1):  # the context's count is that of the (k-1)-gram that ends one token before
-        x = np.empty_like(counts[k - 1])
-        x[1:] = counts[k - 1][:-1]
-        x[c.starts] = m.documents - (~c.held if deleted else 0)
-        contexts[k] = x
-    return counts, contexts
-
-
-def _by_chunk(order: int, use):
-    """Groups a partition's rows by chunk and yields what `use` makes of each chunk and its totals."""
+def _counted(order: int, gram_bits: int, kind: pa.DataType):
+    """Gathers a partition's rows by chunk; each chunk's documents with every token's n-gram counts, in the corpus and in its own document."""
+    def use(c: Chunk, told: dict[int, dict[int, bytes]]) -> pa.RecordBatch:
+        counts, own = [], []
+        for k in range(1, order + 1):
+            total = np.concatenate([_unpack(told[k][b], np.uint32) for b in sorted(told[k])])
+            counts.append(_pack(total[c.gram(k)[1]]))
+            own.append(_pack(c.own(k).astype(np.uint32)))
+            c._grams.clear()
+        cols = [pa.array([c.ids], pa.list_(kind)), pa.array([c.held.tolist()], pa.list_(pa.bool_())), pa.array([c.sizes.astype(np.int32).tobytes()]), pa.array([counts], pa.list_(pa.binary())), pa.array([own], pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(cols, ["ids", "held", "sizes", "counts", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, dict] = {}
@@ -271,17 +344,59 @@ def _by_chunk(order: int, use):
                 if r["k"] is None:
                     rows[r["chunk"]] = r
                 else:
-                    told.setdefault(r["chunk"], {}).setdefault(r["k"], {})[r["bucket"]] = r["counts"]
+                    told.setdefault(r["chunk"], {}).setdefault(r["k"], {})[r["node"]] = r["counts"]
         for name in sorted(rows):
-            yield use(_chunk_of(rows.pop(name)), told.pop(name))
+            yield use(_chunk_of(rows.pop(name), gram_bits), told.pop(name))
+
+    return run
+
+
+@dataclass
+class Tokens:
+    """Some documents' tokens with their counts by order, as _counted stores them."""
+
+    ids: list
+    held: np.ndarray
+    sizes: np.ndarray
+    counts: list[bytes]
+    own: list[bytes]
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    @property
+    def train(self) -> np.ndarray:
+        return np.repeat(~self.held, self.sizes)
+
+    def seen(self, m: Mixture, order: int, deleted: bool) -> tuple[dict, dict]:
+        """Each token's n-gram and context counts; deleted: without those of its own document, if that is in training."""
+        counts, contexts = {}, {}
+        for k in range(1, order + 1):
+            counts[k] = _unpack(self.counts[k - 1], np.uint32).astype(np.int64)
+            if deleted:
+                counts[k] -= np.where(self.train, _unpack(self.own[k - 1], np.uint32), 0)
+        for k in range(2, order + 1):  # the context's count is that of the (k-1)-gram that ends one token before
+            x = np.empty_like(counts[k - 1])
+            x[1:] = counts[k - 1][:-1]
+            x[self.starts] = m.documents - (~self.held if deleted else 0)
+            contexts[k] = x
+        return counts, contexts
+
+
+def _each(use):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield use(Tokens(r["ids"], np.asarray(r["held"], bool), np.frombuffer(r["sizes"], np.int32).astype(np.int64), r["counts"], r["own"]))
 
     return run
 
 
 def _together(chunks: DataFrame, told: DataFrame, tasks: int) -> DataFrame:
-    a = chunks.select("chunk", F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "ids", "held", "sizes", "words", "tokens")
+    a = chunks.select("chunk", F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("counts"), "ids", "held", "sizes", "words", "tokens")
     kinds = dict(a.dtypes)
-    b = told.select("chunk", "k", "bucket", "counts", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("ids", "held", "sizes", "words", "tokens")])
+    b = told.select(F.col("sender").alias("chunk"), "k", "node", "counts", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("ids", "held", "sizes", "words", "tokens")])
     return a.unionByName(b).repartition(tasks, "chunk")
 
 
@@ -290,61 +405,75 @@ def _clean(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def lm_scores(
+    df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+    chunk_bytes: int = CHUNK_BYTES, bucket_tokens: int = 1 << 20, fan_bits: int = FAN_BITS,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every whole text.
 
     Rows where `held_out` is true are scored but not learned from. Tokens:
     words, A-Z in lower case, then one end. base_score is the add-one unigram
-    model, score the interpolated model of `order`. A null text is empty: its
-    only token is the end. Repeated rows count and score each. Other columns,
-    whatever their names, are not read; an empty table gives an empty result;
-    with nothing to learn from, every token is unknown.
+    model, score the interpolated model of `order`, whose weights are learned
+    on every training token. A null text is empty: its only token is the end.
+    Repeated rows count and score each. A long text is one chunk. Other
+    columns, whatever their names, are not read; an empty table gives an empty
+    result; with nothing to learn from, every token is unknown. No score
+    depends on how the rows lie in files. bucket_tokens: tokens of the corpus
+    for each bucket of the hash space.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     bounded(df.sparkSession)
     spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
+    id_type = df.schema[id_col].dataType
+    kind = id_type.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("binary").alias("text"))
     layout = f"chunk long, n long, n_train long, docs long, ids array<{kind}>, held array<boolean>, sizes binary, words binary, tokens binary"
-    chunks = Stored(docs.mapInArrow(_chunks(chunk_bytes), layout), "lm-chunks").read()
+    stored = Stored(docs.mapInArrow(_chunks(chunk_bytes), layout), "lm-chunks")
+    chunks = stored.read()
     n, n_train, n_docs, n_chunks = chunks.agg(F.sum("n"), F.sum("n_train"), F.sum("docs"), F.count("*")).first()
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if not n_chunks:
         return spark.createDataFrame([], out)
-    parts = max(n >> 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    gram_bits = min(64, SPARE + n.bit_length())
+    parts = max(n // bucket_tokens, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = max(3, (parts - 1).bit_length())
-    asked = chunks.mapInArrow(_ask(bits, order), ASKED).repartition(1 << bits, "bucket")
-    told = Stored(asked.mapInArrow(_tell, TOLD), "lm-totals").read()
+    route = levels(bits, n_chunks, fan_bits)
+    told = _totals(chunks.mapInArrow(_ask(*route[0], order, gram_bits), ASKED), route, 1 << bits)
     _clean(spark)
-    vocabulary = told.where("k = 1").agg(F.sum("seen")).first()[0]
+    vocabulary = told.read().where("k = 1").agg(F.sum("seen")).first()[0]
     m = Mixture(n_train, vocabulary, n_docs)
-    tasks = max(1, n_chunks)
+    known = f"ids array<{kind}>, held array<boolean>, sizes binary, counts array<binary>, own array<binary>"
+    tokens = Stored(_together(chunks, told.read(), n_chunks).mapInArrow(_counted(order, gram_bits, to_arrow_type(id_type)), known), "lm-tokens").read()
+    stored.drop(), told.drop()
+    _clean(spark)
     for k in range(2, order + 1):
-        m.weights[k] = learn(_histogram(_together(chunks, told.where(F.col("k") <= k), tasks), m, k))
-        _clean(spark)
+        m.weights[k] = learn(*_histogram(tokens, m, k))
 
-    def score(c: Chunk, totals: dict) -> pa.RecordBatch:
-        counts, contexts = _counts(c, totals, m, order, False)
+    def score(t: Tokens) -> pa.RecordBatch:
+        counts, contexts = t.seen(m, order, False)
         base, p = np.log10(m.unigram(counts[1])), np.log10(m.probability(counts, contexts, order))
-        at = c.starts
-        cols = [pa.array(c.held), pa.array(c.sizes), pa.array(np.add.reduceat((counts[1] > 0).astype(np.int64), at)), pa.array(np.full(len(at), n_train)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(p, at))]
-        return pa.RecordBatch.from_arrays([pa.array(c.ids), *cols], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        at = t.starts
+        cols = [pa.array(t.held), pa.array(t.sizes), pa.array(np.add.reduceat((counts[1] > 0).astype(np.int64), at)), pa.array(np.full(len(at), n_train)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(p, at))]
+        return pa.RecordBatch.from_arrays([pa.array(t.ids, to_arrow_type(id_type)), *cols], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return _together(chunks, told, tasks).mapInArrow(_by_chunk(order, score), out)
+    return tokens.mapInArrow(_each(score), out)
 
 
-def _histogram(rows: DataFrame, m: Mixture, k: int) -> np.ndarray:
-    """All training tokens by context bucket and binned ratio, under deleted counts. Its size is fixed: 64 buckets of BINS + 1."""
+def _histogram(tokens: DataFrame, m: Mixture, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All training tokens by context bucket and binned ratio, under deleted counts, and their summed logarithms. Its size is fixed: 64 buckets of BINS + 1."""
 
-    def count(c: Chunk, totals: dict) -> pa.RecordBatch:
-        counts, contexts = _counts(c, totals, m, k, True)
+    def count(t: Tokens) -> pa.RecordBatch:
+        counts, contexts = t.seen(m, k, True)
         lower = m.probability(counts, contexts, k - 1)
         ratio = _share(counts[k], contexts[k]) / lower
-        cell = np.where(ratio > 0, np.clip((np.log2(np.maximum(ratio, 1e-12)) + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(np.int64) + 1, 0)
+        log = np.log2(np.maximum(ratio, 1e-12))
+        cell = np.where(ratio > 0, np.clip((log + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(np.int64) + 1, 0)
         cell += bucket_of(contexts[k]) * (BINS + 1)
-        cells, n = np.unique(cell[np.repeat(~c.held, c.sizes)], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
+        cells, at, n = np.unique(cell[t.train], return_inverse=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n), pa.array(np.bincount(at, log[t.train], minlength=len(cells)))], ["cell", "n", "logs"])
 
-    hist = np.zeros(64 * (BINS + 1))
-    for r in rows.mapInArrow(_by_chunk(k, count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        hist[r.cell] = r.n
-    return hist.reshape(64, BINS + 1)
+    hist, logs = np.zeros(64 * (BINS + 1)), np.zeros(64 * (BINS + 1))
+    for r in tokens.mapInArrow(_each(count), "cell long, n long, logs double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("logs").alias("logs")).collect():
+        hist[r.cell], logs[r.cell] = r.n, r.logs
+    return hist.reshape(64, BINS + 1), logs.reshape(64, BINS + 1)
