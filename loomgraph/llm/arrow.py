@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,12 @@ def bounded(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def free(spark: SparkSession) -> None:
+    """Collect garbage here and in the driver's JVM: Spark's cleaner then removes the files of shuffles that no query reads again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of neighbouring rows of at most `most` bytes; a longer row stands alone."""
     lo, held = 0, 0

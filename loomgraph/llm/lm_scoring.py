@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded
+from loomgraph.llm.arrow import bounded, free
 from loomgraph.session import Stored
 
 ORDER = 3
@@ -133,7 +133,7 @@ def _chunks(chunk_bytes: int):
         cols = [
             pa.array([name]), pa.array([int(sizes.sum())]), pa.array([int(sizes[~np.asarray(held, bool)].sum())]), pa.array([int((~np.asarray(held, bool)).sum())]),
             pa.array([held], pa.list_(pa.bool_())), pa.array([sizes.astype(np.int32).tobytes()]),
-            pa.array([words.tobytes()]), pa.array([tokens.astype(np.uint32).tobytes()]),
+            pa.array([_pack(words)]), pa.array([_pack(tokens.astype(np.uint32))]),
         ]
         return pa.RecordBatch.from_arrays([*cols[:4], pa.array([ids]) if not isinstance(ids, pa.Array) else pa.ListArray.from_arrays([0, len(ids)], ids), *cols[4:]], ["chunk", "n", "n_train", "docs", "ids", "held", "sizes", "words", "tokens"])
 
@@ -160,7 +160,7 @@ def _chunks(chunk_bytes: int):
 
 
 def _chunk_of(r: dict, bits: int) -> Chunk:
-    return Chunk(r["ids"], np.asarray(r["held"], bool), np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["tokens"], np.uint32).astype(np.int64), bits)
+    return Chunk(r["ids"], np.asarray(r["held"], bool), np.frombuffer(r["sizes"], np.int32).astype(np.int64), _unpack(r["words"], np.uint64), _unpack(r["tokens"], np.uint32).astype(np.int64), bits)
 
 
 #: The node that is asked, the chunk or node that asks, and what it asks for.
@@ -400,11 +400,6 @@ def _together(chunks: DataFrame, told: DataFrame, tasks: int) -> DataFrame:
     return a.unionByName(b).repartition(tasks, "chunk")
 
 
-def _clean(spark: SparkSession) -> None:
-    """A collection on the driver: Spark's cleaner then removes the files of shuffles that no query reads again."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def lm_scores(
     df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
     chunk_bytes: int = CHUNK_BYTES, bucket_tokens: int = 1 << 20, fan_bits: int = FAN_BITS,
@@ -440,13 +435,13 @@ def lm_scores(
     bits = max(3, (parts - 1).bit_length())
     route = levels(bits, n_chunks, fan_bits)
     told = _totals(chunks.mapInArrow(_ask(*route[0], order, gram_bits), ASKED), route, 1 << bits)
-    _clean(spark)
     vocabulary = told.read().where("k = 1").agg(F.sum("seen")).first()[0]
+    free(spark)
     m = Mixture(n_train, vocabulary, n_docs)
     known = f"ids array<{kind}>, held array<boolean>, sizes binary, counts array<binary>, own array<binary>"
     tokens = Stored(_together(chunks, told.read(), n_chunks).mapInArrow(_counted(order, gram_bits, to_arrow_type(id_type)), known), "lm-tokens").read()
     stored.drop(), told.drop()
-    _clean(spark)
+    free(spark)
     for k in range(2, order + 1):
         m.weights[k] = learn(*_histogram(tokens, m, k))
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded
+from loomgraph.llm.arrow import bounded, free
 from loomgraph.session import Stored
 
 #: Words of a run of repeated units from which on it is removed.
@@ -130,7 +130,7 @@ def repeated_units(df: DataFrame, id_col: str, text_col: str, unit: str) -> Data
     both = ranked.read().select("rank", "doc", "version", "known").join(later, "rank", "left").select("doc", "version", F.array_sort(F.concat("known", F.coalesce("met", none))).alias("units"))
     marks = Stored(both.where(F.size("units") > 0), "unit-marks").read()
     ranked.drop(), stored.drop()
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner then removes the files of the shuffles above
+    free(spark)
     return marks
 
 
