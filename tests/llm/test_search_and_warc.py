@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.llm.cover_tree import CoverTree, Search, top_inner_products
+from loomgraph.llm.cover_tree import CoverTree, Search, met_share, top_inner_products
 from loomgraph.llm.warc import RESPONSE, derivatives, parsed, plain_text, read_warc, responses, serialised
 
 
@@ -52,10 +52,31 @@ def test_top_inner_products(spark):
     points = np.floor(256 * np.asarray([x[1] for x in rows[:260]], np.float32).astype(np.float64)).astype(np.int64)
     assert got == brute(list(range(260)), points, [i for i in range(260) if i % 50 == 0], 5)
     assert top_inner_products(df.limit(0), q).count() == 0
+    same = df.withColumn("embedding", F.when(F.col("vec_id") % 3 == 1, F.array(*[F.lit(1.0)] * 6)).otherwise(F.col("embedding")))  # a third of all rows alike: one cell, in blocks
+    points = np.array([[256] * 6 if i % 3 == 1 else p for i, p in enumerate(points.tolist())])
+    for ways in ({"vectors": 16, "queries": 2, "sample": 40}, {"vectors": 64, "sample": 3}):
+        assert sorted(tuple(x) for x in top_inner_products(same, q, **ways).collect()) == brute(list(range(260)), points, [i for i in range(260) if i % 50 == 0], 5)
     two = df.where("vec_id IN (0, 1)")
     assert [tuple(x)[:3] for x in top_inner_products(two, q).collect()] == [(0, 1, 1)]
 
 
+def test_cells_and_nodes_are_pruned_on_clustered_vectors(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16))
+    points = centres[r.integers(0, 40, 4000)] + 0.05 * r.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    q = F.col("vec_id") % 50 == 0
+    assert met_share(df, q, vectors=100, sample=800) < 0.2
+    whole = np.floor(256 * points).astype(np.int64)
+    ids = np.arange(4000)
+    asked = ids % 50 == 0
+    s = Search(CoverTree(whole[asked], 16), ids[asked], CoverTree(whole, 16), ids, 5)
+    s.run()
+    assert s.scored < 0.5 * asked.sum() * 4000
+    got = sorted(tuple(x) for x in top_inner_products(df, q, vectors=100, sample=800).collect())
+    assert got == brute(ids.tolist(), whole, ids[asked].tolist(), 5)
+
+
 class Text(HTMLParser):
     """Words of a page by another way: a parser that skips silent elements."""
 
