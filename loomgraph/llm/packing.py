@@ -1,50 +1,77 @@
 """Lexical retrieval packing.
 
 Documents are cut into full windows; what is left of each is packed with
-lexical neighbours. The corpus is dealt into shards by a hash of the id. Each
-shard holds an inverted index of its remainders with BM25 weights. A seed
-document asks it for unused neighbours, which greedily fill its window: whole
-ones in the order of their score, then the best one that is left, cut to fit;
-what is cut off stays in the index.
+lexical neighbours. Document frequencies and lengths are counted over the whole
+corpus. Remainders are laid out in the order of their highest-weighted terms
+and cut into shards of neighbours in that order, so that documents which share
+rare words share a shard at any size of the corpus; a term that very many share
+is split by the next one. Each shard holds an inverted index with BM25 weights.
+A seed document asks it for unused neighbours, which greedily fill its window:
+whole ones in the order of their score, then the best one that is left, cut to
+fit; what is cut off stays in the index.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from loomgraph.llm.arrow import bounded
 from loomgraph.llm.bpe import codec
+from loomgraph.session import Stored
 
 #: UTF-8 bytes of text a shard holds: about 4,000 documents, one index in one task's memory.
 SHARD_BYTES = 12 << 20
 #: Highest-weighted terms of a seed that make its query; neighbours that are looked at before one is cut.
 QUERY_TERMS, LOOK = 16, 32
+#: Highest-weighted terms that order the documents.
+DEALT_BY = 3
 K1, B = 1.2, 0.75
 
 
+def terms_of(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, token and frequency of each distinct token of each part; the parts' lengths."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int64)
+    key = (np.repeat(np.arange(len(parts), dtype=np.int64), sizes) << 32) | flat
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(first, len(key))).astype(np.float32)
+    return (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.uint32), tf, sizes
+
+
+@dataclass
+class Corpus:
+    """What BM25 knows of all documents."""
+
+    idf: np.ndarray
+    mean: float
+
+    @staticmethod
+    def of(n: int, tokens: int, df: np.ndarray) -> Corpus:
+        return Corpus(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), max(1.0, tokens / max(1, n)))
+
+    def weights(self, doc: np.ndarray, token: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        norm = K1 * (1 - B + B * sizes / self.mean)
+        return self.idf[token] * tf * (K1 + 1) / (tf + norm[doc].astype(np.float32))
+
+
 class Index:
     """BM25 over the token ids of a shard's remainders (terms are token ids)."""
 
-    def __init__(self, parts: list[np.ndarray]):
+    def __init__(self, parts: list[np.ndarray], corpus: Corpus):
         self.n = len(parts)
-        sizes = np.fromiter(map(len, parts), np.int64, self.n)
-        flat = np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int64)
-        key = (np.repeat(np.arange(self.n, dtype=np.int64), sizes) << 32) | flat
-        key.sort()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(key))).astype(np.float32)
-        doc, token = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.uint32)
+        doc, token, tf, sizes = terms_of(parts)
+        weight = corpus.weights(doc, token, tf, sizes)
         self.terms, term, df = np.unique(token, return_inverse=True, return_counts=True)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc].astype(np.float32))
         # by document: its terms, best first; by term: its documents
         best = np.lexsort((term, -weight, doc))
         starts = np.searchsorted(doc, np.arange(self.n + 1))
@@ -70,9 +97,9 @@ class Index:
         return found[np.argsort(-s[found], kind="stable")][:most]
 
 
-def pack(parts: list[np.ndarray], length: int) -> Iterator[list[tuple[int, int, int]]]:
+def pack(parts: list[np.ndarray], length: int, corpus: Corpus) -> Iterator[list[tuple[int, int, int]]]:
     """Windows of (document, first token within its part, tokens); every token lies in one window."""
-    index = Index(parts)
+    index = Index(parts, corpus)
     left = np.fromiter(map(len, parts), np.int64, len(parts))
     size = left.copy()  # what is left of a part is its tail
     unused = (left > 0).astype(np.float32)
@@ -134,13 +161,55 @@ def _tokenize(tokenizer: str, length: int, end_id: int, with_ids: bool):
     return run
 
 
-def _pack_shard(length: int, wide: bool, with_ids: bool, kind: pa.DataType):
+def _parts(rest: pa.Array | pa.ChunkedArray, wide: bool) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint32 if wide else np.uint16).astype(np.uint32) for x in rest.to_pylist()]
+
+
+def _frequencies(wide: bool):
+    """For each partition: documents by token; under -1 the documents, under -2 their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, size = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            _, token, _, sizes = terms_of(_parts(batch.column(0), wide))
+            more = np.bincount(token, minlength=len(df))
+            more[: len(df)] += df
+            df, n, size = more, n + len(sizes), size + int(sizes.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int32()), pa.array([*df[some].tolist(), n, size], pa.int64())], ["token", "n"])
+
+    return run
+
+
+def _keyed(wide: bool, corpus: Corpus):
+    """Adds each document's highest-weighted terms, best first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, token, tf, sizes = terms_of(_parts(batch.column(4), wide))
+            rank = corpus.weights(doc, token, tf, sizes).astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | token  # weights are positive, so their bits sort as they do
+            rank = np.append(rank, np.uint64(0))  # where a remainder at the end is empty
+            starts = np.searchsorted(doc, np.arange(len(sizes)))
+            keys = []
+            for _ in range(DEALT_BY):
+                best = np.maximum.reduceat(rank, starts)
+                keys.append(pa.array((best & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+                rank[:-1][rank[:-1] == best[doc]] = 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, *KEYS])
+
+    return run
+
+
+KEYS = [f"t{i}" for i in range(DEALT_BY)]
+
+
+def _pack_shard(length: int, wide: bool, with_ids: bool, kind: pa.DataType, corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
         if held is None:
             return
         ids, tokens, sums, full = (held.column(i).to_pylist() for i in range(4))
-        parts = [np.frombuffer(x, np.uint32 if wide else np.uint16).astype(np.uint32) for x in held.column(4).to_pylist()]
+        parts = _parts(held.column(4), wide)
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i], tokens[i], parts[i].tobytes()))
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
@@ -162,7 +231,7 @@ def _pack_shard(length: int, wide: bool, with_ids: bool, kind: pa.DataType):
             if len(rows) > 20_000:
                 yield batch()
         parts = [parts[i] for i in order]
-        for window in pack(parts, length):
+        for window in pack(parts, length, corpus):
             offset = 0
             for j, at, n in window:
                 i = order[j]
@@ -193,8 +262,16 @@ def pack_documents(
     A null text is empty: its document is the end alone. Repeated rows are
     documents of their own. Other columns, whatever their names, are not read;
     an empty table gives an empty result. A shard's place and order depend on
-    ids and texts only, so a task that runs again gives the same sequences.
+    ids and texts only, so a task that runs again gives the same sequences. A
+    seed's query is its QUERY_TERMS highest-weighted terms, and its neighbours
+    are sought in its own shard. The driver gets a row for each token of the
+    vocabulary.
     """
+    return pack_keyed(*keyed_documents(df, tokenizer, id_col, text_col, length, end_id, shard_bytes, with_ids))
+
+
+def keyed_documents(df: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int, shard_bytes: int, with_ids: bool) -> tuple:
+    """Tokenised documents in shards of lexical neighbours, and what pack_keyed needs to know."""
     bounded(df.sparkSession)
     spark = df.sparkSession
     field = df.schema[id_col]
@@ -203,9 +280,21 @@ def pack_documents(
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     wide = len(codec(tokenizer).pieces) > 1 << 16
-    cut = docs.mapInArrow(_tokenize(tokenizer, length, end_id, with_ids), f"doc_id {kind}, doc_tokens long, sums array<long>, full binary, rest binary")
-    out = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    layout = f"doc_id {kind}, doc_tokens long, sums array<long>, full binary, rest binary"
+    cut = Stored(docs.mapInArrow(_tokenize(tokenizer, length, end_id, with_ids), layout), "packing-tokens").read()
+    counts = dict(cut.select("rest").mapInArrow(_frequencies(wide), "token int, n long").groupBy("token").agg(F.sum("n")).collect())
+    df = np.zeros(max([0, *counts]) + 1, np.int64)
+    for token, n in counts.items():
+        if token >= 0:
+            df[token] = n
+    corpus = Corpus.of(counts.get(-1, 0), counts.get(-2, 0), df)
+    keyed = cut.mapInArrow(_keyed(wide, corpus), layout + "".join(f", {k} long" for k in KEYS)).withColumn("row", F.monotonically_increasing_id())
+    # rows that only their place in the stored table tells apart can still be parted
+    return keyed.repartitionByRange(shards, *KEYS, F.xxhash64("doc_id", "doc_tokens"), "row").drop(*KEYS, "row"), field, length, wide, with_ids, corpus
+
+
+def pack_keyed(dealt: DataFrame, field: StructField, length: int, wide: bool, with_ids: bool, corpus: Corpus) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    dealt = cut.repartition(shards, F.xxhash64("doc_id", "doc_tokens"))
-    return dealt.mapInArrow(_pack_shard(length, wide, with_ids, to_arrow_type(field.dataType)), out)
+    out = f"doc_id {field.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    return dealt.mapInArrow(_pack_shard(length, wide, with_ids, to_arrow_type(field.dataType), corpus), out)

@@ -5,7 +5,16 @@ import numpy as np
 import public_tokenizers
 
 from loomgraph.llm.bpe import codec
-from loomgraph.llm.packing import Index, pack, pack_documents
+from loomgraph.llm.packing import Corpus, Index, pack, pack_documents
+
+
+
+def corpus_of(parts):
+    df = np.zeros(1 + max([0, *(int(p.max()) for p in parts if len(p))]), np.int64)
+    for p in parts:
+        df[np.unique(p)] += 1
+    return Corpus.of(len(parts), sum(map(len, parts)), df)
+
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,7 +23,7 @@ def test_pack_covers_everything_once():
     r = np.random.default_rng(1)
     for n, most in ((1, 10), (50, 64), (200, 300)):
         parts = [r.integers(0, 50, r.integers(0, most)).astype(np.uint32) for _ in range(n)]
-        windows = list(pack(parts, 64))
+        windows = list(pack(parts, 64, corpus_of(parts)))
         seen = [np.zeros(len(p), int) for p in parts]
         for w in windows:
             for i, at, k in w:
@@ -26,7 +35,7 @@ def test_pack_covers_everything_once():
 def test_index_equals_brute_force_bm25():
     r = random.Random(2)
     parts = [np.asarray([r.randrange(30) for _ in range(r.randrange(1, 12))], np.uint32) for _ in range(40)]
-    index = Index(parts)
+    index = Index(parts, corpus_of(parts))
     mean = sum(map(len, parts)) / len(parts)
     for seed in (0, 7):
         want = np.zeros(40)
@@ -44,7 +53,7 @@ def test_index_equals_brute_force_bm25():
 def test_neighbours_are_alike():
     a = [np.arange(10 * k, 10 * k + 10, dtype=np.uint32) for k in range(5)]
     parts = [a[i % 5] for i in range(30)]
-    for w in list(pack(parts, 60)):
+    for w in list(pack(parts, 60, corpus_of(parts))):
         assert len({i % 5 for i, _, _ in w}) == 1
 
 
@@ -77,3 +86,62 @@ def test_pack_documents(spark):
         short += n < 2048
     assert short <= max(1, -(-sum(len(t or "") for _, t in rows) // 100_000))
     assert pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_neighbours_meet_in_a_shard_whatever_their_number(spark):
+    r = random.Random(4)
+    topics = [[f"{c}{k}q" for c in "abcdefgh"] for k in range(40)]
+    rows = []
+    for i in range(1600):
+        own = topics[r.randrange(40)]
+        rows.append((i, " ".join(r.choice(own) if r.random() < 0.3 else r.choice(["of", "the", "and", "to"]) for _ in range(90)), own[0]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, topic string")
+    topic = {i: t for i, _, t in rows}
+    shares = []
+    for shard_bytes in (10**9, 30_000):
+        by = {}
+        for g in pack_documents(df, PATH, shard_bytes=shard_bytes).collect():
+            by.setdefault(g.sequence_id, set()).add(g.doc_id)
+        pairs = [(a, b) for s in by.values() for a in s for b in s if a < b]
+        shares.append(sum(topic[a] == topic[b] for a, b in pairs) / len(pairs))
+    assert shares[0] > 0.6 and shares[1] > 0.6  # by chance: 0.025
+
+
+def test_window_choice_equals_brute_force():
+    r = np.random.default_rng(5)
+    parts = [r.integers(0, 25, r.integers(1, 30)).astype(np.uint32) for _ in range(30)]
+    corpus = corpus_of(parts)
+    index = Index(parts, corpus)
+    left, size, used, at, want = [len(p) for p in parts], [len(p) for p in parts], set(), 0, []
+    while len(used) < 30:
+        at = next(i for i in range(30) if i not in used)
+        window, room = [], 50
+
+        def put(i, n, window=window):
+            window.append((i, size[i] - left[i], n))
+            left[i] -= n
+            if not left[i]:
+                used.add(i)
+
+        n = min(room, left[at])
+        put(at, n)
+        room -= n
+        while room and len(used) < 30:
+            score = np.zeros(30, np.float32)
+            for t in index.query[at]:
+                a, b = index.at[t], index.at[t + 1]
+                score[index.docs[a:b]] += index.weights[a:b]
+            near = sorted((i for i in range(30) if i not in used and i != at and score[i] > 0), key=lambda i: (-score[i], i))
+            if not near:
+                near = [next(i for i in range(30) if i not in used)]
+            for i in near:
+                if left[i] <= room:
+                    n = left[i]
+                    put(i, n)
+                    room -= n
+            if room and (rest := [i for i in near if left[i]]):
+                n = min(room, left[rest[0]])
+                put(rest[0], n)
+                room -= n
+        want.append(window)
+    assert list(pack(parts, 50, corpus)) == want
