@@ -70,7 +70,7 @@ def op6_warc(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     pages = responses(table(spark, d, "pages"), F.col("url"), F.col("html"), F.col("page_id"))
     out = derivatives(pages, "source_key").withColumnRenamed("source_key", "page_id")
-    return out.withColumn("text", F.when(F.col("record_type") == "conversion", F.decode("block", "UTF-8"))).drop("block", "record")
+    return out.withColumn("text", F.decode("block", "UTF-8")).drop("block", "record")  # of either record: the fields, or the page as text
 
 
 def op7_cover_tree(spark: SparkSession, d: str) -> DataFrame:

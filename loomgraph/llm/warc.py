@@ -8,11 +8,11 @@ headers, digests, title and links; the conversion record is the page as text.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,12 +54,44 @@ def outlinks(page: str) -> list[str]:
     return list(dict.fromkeys(html.unescape(a or b or c) for a, b, c in LINK.findall(COMMENT.sub("", page))))
 
 
+CODING = re.compile(r"^(content-encoding|transfer-encoding)\s*:\s*(.+?)\s*$", re.I | re.M)
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; what follows a torn chunk is lost."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        n = int(data[at:end].split(b";")[0].strip() or b"0", 16)
+        if not n:
+            break
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def identity(headers: str, payload: bytes) -> bytes:
+    """The payload without the transfer and content codings its headers name; as it is where they are unknown or do not hold."""
+    codings = [(k.lower(), c.strip().lower()) for k, v in CODING.findall(headers) for c in v.split(",")]
+    for _, coding in sorted(codings, key=lambda c: c[0] != "transfer-encoding"):
+        try:
+            if coding == "chunked":
+                payload = unchunked(payload)
+            elif coding in ("gzip", "x-gzip"):
+                payload = zlib.decompressobj(31).decompress(payload)
+            elif coding == "deflate":
+                payload = zlib.decompressobj(15 if payload[:1] == b"\x78" else -15).decompress(payload)
+        except (zlib.error, ValueError):
+            break
+    return payload
+
+
 def decoded(headers: str, payload: bytes) -> str:
-    """Payload as text: the charset of the headers, else of the page's first kilobytes, else UTF-8."""
-    m = CHARSET.search(headers.encode()) or CHARSET.search(payload[:2048])
+    """Payload as text: the charset of the headers, else of the page's first kilobytes, else UTF-8; UTF-8 too where the charset is none."""
+    payload = identity(headers, payload)
+    m = CHARSET.search(headers.encode("utf-8", "replace")) or CHARSET.search(payload[:2048])
     try:
         return payload.decode(m[1].decode() if m else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # unknown, or a codec of another kind: UnicodeError is a ValueError
         return payload.decode("utf-8", "replace")
 
 
@@ -69,17 +101,53 @@ def serialised(headers: dict[str, str | None], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes in pieces, its gzip members (if any) decompressed one after the other; ends where a member is torn."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    try:
+        while at < len(view):
+            d = zlib.decompressobj(31)
+            while not d.eof and at < len(view):
+                piece = view[at : at + step]
+                yield d.decompress(piece, 8 * step)
+                while d.unconsumed_tail and not d.eof:
+                    yield d.decompress(d.unconsumed_tail, 8 * step)
+                at += len(piece) - len(d.unused_data)
+    except zlib.error:
+        return
+
+
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a WARC file's bytes, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        headers = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:] if ": " in x)
-        n = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+    """Records of a WARC file's bytes, gzipped or not, one at a time; a torn last record and records without a length are passed over."""
+    held, pieces = bytearray(), unzipped(data)
+
+    def more(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0 or (end := held.find(b"\r\n\r\n", at)) < 0:
+            if at < 0:
+                del held[: max(0, len(held) - 4)]
+            if not more(len(held) + 1):
+                return
+        headers = dict(x.split(": ", 1) for x in held[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+        size = headers.get("Content-Length", "")
+        if not size.strip().isdigit():
+            del held[: end + 4]
+            continue
+        stop = end + 4 + int(size)
+        if not more(stop):
+            return
+        yield headers, bytes(held[end + 4 : stop])
+        del held[:stop]
 
 
 #: Response records: what read_warc gives and derivatives takes.
@@ -87,19 +155,27 @@ RESPONSE = "record_id string, target_uri string, date string, payload_digest str
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of the WARC files under a path; a file is read by one task."""
+    """Response records of the WARC files under a path. A file is read by one task, which holds it as it is stored (gzipped) and unzips it record by record."""
+
+    names, kinds = [x.split()[0] for x in RESPONSE.split(", ")], [pa.string()] * 5 + [pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
             for data in batch.column(0):
                 for h, block in parsed(data.as_py()):
                     if h.get("WARC-Type") == "response":
                         head, _, body = block.partition(b"\r\n\r\n")
                         rows.append((h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), h.get("WARC-Payload-Digest"), head.decode("utf-8", "replace"), body))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.string()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in RESPONSE.split(", ")])
+                        size += len(block)
+                    if size > 8 << 20:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("content").mapInArrow(run, RESPONSE)
@@ -121,8 +197,8 @@ def _derive(row: dict) -> list[tuple]:
     payload, http = row["payload"] or b"", row["http_headers"] or ""
     page = decoded(http, payload)
     source, uri, date = row["record_id"], row["target_uri"], row["date"]
-    ids = {k: record_id(k, source or "", uri or "") for k in ("metadata", "conversion")}
     payload_digest = row["payload_digest"] or digest(payload)
+    ids = {k: record_id(k, source or "", uri or "", *(() if source else (date or "", payload_digest))) for k in ("metadata", "conversion")}
     text = plain_text(page)
     title = TITLE.search(page)
     links = outlinks(page)
@@ -135,7 +211,7 @@ def _derive(row: dict) -> list[tuple]:
         block_digest = digest(block)
         headers = {
             "WARC-Type": kind, "WARC-Record-ID": ids[kind], "WARC-Date": date, "WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Concurrent-To": ids[other],
-            "WARC-Refers-To-Date": date, "WARC-Block-Digest": block_digest, "Content-Type": content,
+            "WARC-Refers-To-Date": date, "WARC-Source-Payload-Digest": payload_digest, "WARC-Block-Digest": block_digest, "Content-Type": content,
         }
         out.append((kind, ids[kind], source, ids[other], uri, date, content, len(block), block_digest, payload_digest, http, len(links), block, serialised(headers, block)))
     return out
@@ -153,7 +229,10 @@ def derivatives(df: DataFrame, key_col: str | None = None) -> DataFrame:
 
     df has the columns of RESPONSE; key_col, if given, is carried along. A null
     payload is an empty page; a null URI or date leaves its header out; a
-    digest that the source has is kept, a missing one computed. Repeated
+    digest that the source has is kept, a missing one computed over the payload
+    as it came. Transfer and content codings are undone for the text. A charset
+    that is none counts as UTF-8. Both records' ids follow from the source's id
+    and URI, and where it has no id from date and digest too. Repeated
     responses give repeated records with the same ids. Other columns are not
     read; an empty table gives an empty result. No shuffle.
     """

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -136,3 +137,25 @@ def test_read_warc_round_trip(spark, tmp_path):
     assert src.columns == [x.split()[0] for x in RESPONSE.split(", ")] and src.count() == 2
     out = derivatives(src).where("record_type = 'conversion'").collect()
     assert {(r.block.decode(), r.source_payload_digest, r.refers_to) for r in out} == {("été", "sha1:ABC", "<urn:uuid:1>")}
+
+
+def test_odd_charsets_codings_and_torn_files(spark, tmp_path):
+    page = "<p>été</p>".encode()
+    chunked = b"4\r\n" + page[:4] + b"\r\n" + f"{len(page) - 4:x}".encode() + b"\r\n" + page[4:] + b"\r\n0\r\n\r\n"
+    cases = [(c, page) for c in ("charset=undefined", "charset=idna", "charset=hex", "charset=none-such", "charset=utf-8")]
+    cases += [("Content-Encoding: gzip", gzip.compress(page)), ("Content-Encoding: deflate", zlib.compress(page)), ("Transfer-Encoding: chunked", chunked), ("Content-Encoding: gzip", page), ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"%x\r\n" % len(gzip.compress(page)) + gzip.compress(page) + b"\r\n0\r\n\r\n")]
+    rows = [(f"<urn:{i}>", None, None, None, "HTTP/1.1 200 OK\r\n" + (h if ":" in h else f"Content-Type: text/html; {h}"), p) for i, (h, p) in enumerate(cases)]
+    out = derivatives(spark.createDataFrame(rows, RESPONSE)).where("record_type = 'conversion'").collect()
+    assert len(out) == len(rows) and {r.block.decode() for r in out if r.refers_to != "<urn:1>"} == {"été"}
+    nameless = [(None, None, "d", None, "", bytes([65 + i])) for i in range(3)]
+    assert len({r.record_id for r in derivatives(spark.createDataFrame(nameless, RESPONSE)).collect()}) == 6
+    head = {"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>"}
+    whole = serialised(head, b"HTTP/1.1 200 OK\r\n\r\n" + page)
+    odd = b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"
+    assert len(list(parsed(whole + odd + whole + whole[:-20]))) == 2
+    assert len(list(parsed(gzip.compress(whole) + gzip.compress(odd) + gzip.compress(whole)[:40]))) == 1
+    assert len(list(parsed(gzip.compress(whole) * 3))) == 3 and not list(parsed(b"")) and not list(parsed(b"\x1f\x8bxx"))
+    big = serialised(head, b"x" * 5_000_000)
+    assert [len(b) for _, b in parsed(gzip.compress(big) * 2)] == [5_000_000] * 2
+    (tmp_path / "torn.warc.gz").write_bytes(gzip.compress(whole) + gzip.compress(whole)[:30])
+    assert read_warc(spark, str(tmp_path)).count() == 1
