@@ -121,8 +121,8 @@ RULES = (
 )
 
 
-def plan(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, share: float = 0.02, rows: int = 2000) -> tuple[Rule, ...]:
-    """The rules in the order of rejection per cost, as estimated on at most `rows` sampled rows.
+def plan(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = 2000) -> tuple[Rule, ...]:
+    """The rules in the order of rejection per cost, as estimated on about `rows` rows, taken by a hash of their texts with a share that follows from the table's size.
 
     Every rule runs on a fresh measure of every sampled text; only each
     rule's seconds and rejections leave the executors. A rule that rejects
@@ -141,7 +141,9 @@ def plan(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
                     spent[i] += time.perf_counter() - began
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent), pa.array(hits, pa.int64())], ["rule", "spent", "hits"])
 
-    sample = df.select(F.col(text_col).cast("binary").alias("text")).sample(share, seed=9).limit(rows)
+    share = min(1.0, rows / max(1, df.count()))  # the count reads no column
+    picked = F.pmod(F.xxhash64(text_col, F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = df.where(picked).select(F.col(text_col).cast("binary").alias("text"))
     got = sample.mapInArrow(tried, "rule int, spent double, hits long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("hits").alias("hits")).collect()
     rank = {r.rule: (-r.hits / max(r.spent, 1e-9), r.spent) for r in got}
     return tuple(rules[i] for i in sorted(range(len(rules)), key=lambda i: (*rank.get(i, (0.0, 0.0)), i)))

@@ -44,7 +44,7 @@ def test_counts_equal_brute_force(spark):
 
 def test_order_is_by_rejection_per_cost(spark):
     df = spark.createDataFrame([(i, "### " * 30) for i in range(50)], "doc_id long, text string")
-    order = plan(df, share=1.0)
+    order = plan(df)
     assert sorted(r.name for r in order) == sorted(r.name for r in RULES)
     assert order.index(next(r for r in RULES if r.name == "symbols")) < order.index(next(r for r in RULES if r.name == "capitals"))
     assert Doc(b"A" * 10).upper_share == 1.0
