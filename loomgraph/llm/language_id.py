@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrow import bounded, slices
@@ -24,8 +24,8 @@ from loomgraph.llm.arrow import bounded, slices
 ORDER, BITS = 4, 6
 #: Symbol 0 is whatever is no letter; the most frequent letters of the sample have their own, others share one by their block.
 OWN_LETTERS = 48
-#: Bounds of the fitting sample: rows of a language, characters of a language.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 4_000_000
+#: Bounds of the fitting sample: rows of a language, characters of a language, languages.
+SAMPLE_ROWS, SAMPLE_CHARS, LANGS = 1500, 4_000_000, 200
 UNKNOWN = "und"
 
 
@@ -231,23 +231,25 @@ def _classify(s: Scorer, texts: pa.Array) -> pa.Array:
 
 
 def sample(df: DataFrame, text_col: str, lang_col: str, key: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Distinct texts by language: at most `rows` and `chars` of each, picked by a hash of `key`, whole.
+    """Distinct texts by language, picked by a hash of `key`, whole: about `rows` of each, and in the order of that hash no more once they have `chars` characters.
 
-    This is the bounded sample the models are fitted on; at most
-    `chars` characters a language reach the driver, and no text is cut.
+    This is the bounded sample the models are fitted on. No text is cut, so one
+    longer than `chars` stands alone. Languages: at most LANGS, those with the
+    most texts (ties to the smaller name).
     """
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    there = {r[lang_col]: r.n for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
+    named = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    there = {r.lang: r.n for r in named.orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not there:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in there.items() for x in (k, min(1.0, rows / n))])[F.col(lang_col)]
-    picked = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20)).where(F.length(text_col) <= chars // 4)
+    by = F.xxhash64(key)
+    picked = known.where(F.pmod(by, F.lit(1 << 20)) < share * (1 << 20)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), by.alias("by"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("by", "text").rowsBetween(Window.unboundedPreceding, -1))
+    picked = picked.distinct().withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars)
     out: dict[str, dict[str, None]] = {k: {} for k in there}
-    held = dict.fromkeys(there, 0)
-    for r in picked.select(lang_col, text_col).toLocalIterator():
-        if held[r[0]] + len(r[1]) <= chars and len(out[r[0]]) < 2 * rows:
-            held[r[0]] += len(r[1]) if r[1] not in out[r[0]] else 0
-            out[r[0]][r[1]] = None
+    for r in picked.select("lang", "text").collect():
+        out[r.lang][r.text] = None
     return {k: sorted(v) for k, v in out.items()}
 
 
