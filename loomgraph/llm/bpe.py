@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -71,25 +72,30 @@ class Codec:
         """Whether safe boundaries are known for this vocabulary."""
         return self.fast is not None
 
-    def _direct(self, text: str) -> bytes:
-        """Ids of a text without special strings: by ranks where the libraries' letter tables are settled, else segment by segment."""
-        if not text:
-            return b""
+    @staticmethod
+    def _runs(text: str) -> Iterator[tuple[str, bool]]:
+        """Parts of a text that meet at safe boundaries, and whether each has letters beyond those the two libraries agree on."""
         if text.isascii() or max(text) <= SETTLED:
-            return np.frombuffer(self.fast._core_bpe.encode_to_tiktoken_buffer(text, self.none), np.uint32).tobytes()
-        out, lo = [], 0
-        runs = [(lo, False)]
+            yield text, False
+            return
+        lo, begin, kind = 0, 0, None
         while lo < len(text):  # neighbouring segments of a kind stay together
             hi = safe_cut(text, lo + 1)
             odd = max(text[lo:hi]) > SETTLED
-            if lo == 0:
-                runs = [(0, odd)]
-            elif odd != runs[-1][1]:
-                runs.append((lo, odd))
-            lo = hi
-        for (lo, odd), (hi, _) in zip(runs, [*runs[1:], (len(text), False)]):
-            out.append(self._library(text[lo:hi]) if odd else self._direct(text[lo:hi]))
-        return b"".join(out)
+            if kind is not None and odd != kind:
+                yield text[begin:lo], kind
+                begin = lo
+            lo, kind = hi, odd
+        yield text[begin:], kind
+
+    def _ranks(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.fast._core_bpe.encode_to_tiktoken_buffer(text, self.none), np.uint32)
+
+    def _direct(self, text: str) -> bytes:
+        """Ids of a text without special strings: by ranks where the libraries' letter tables are settled, else segment by segment."""
+        if not text:
+            return b""
+        return b"".join(self._library(part) if odd else self._ranks(part).tobytes() for part, odd in self._runs(text))
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -105,6 +111,24 @@ class Codec:
                 return np.uint32(i).tobytes().join(self.encode(part) for part in text.split(s))
         return self._direct(text)
 
+    def lengths_of(self, texts: list[str]) -> list[int]:
+        """Numbers of ids: by ranks where that is settled, all the batch's other parts in one call of the library."""
+        out, odd, of = [0] * len(texts), [], []
+        for i, t in enumerate(texts):
+            if self.fast is None or any(s in t for s in self.special):
+                runs = [(t, True)]
+            else:
+                runs = self._runs(t)
+            for part, strange in runs:
+                if strange:
+                    odd.append(part)
+                    of.append(i)
+                else:
+                    out[i] += len(self._ranks(part))
+        for i, ids in zip(of, self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
+            out[i] += len(ids)
+        return out
+
     def decode(self, ids: bytes) -> str:
         """The text of packed ids, special tokens included; bytes that are no UTF-8 become U+FFFD, as in the library."""
         return b"".join(map(self.pieces.__getitem__, array("I", ids))).decode("utf-8", "replace")

@@ -1,7 +1,8 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is halved until its leaves are short. The leaves of a whole Arrow
-batch are encoded side by side; then neighbours are joined bottom-up. At each
+A long text is halved until its leaves are short. Leaves are encoded side by
+side, by as many threads as a task has cores; then neighbours are joined
+bottom-up. At each
 join only a window around it is encoded again, growing until both sides agree:
 it starts and ends where the left and the right half already have a token
 boundary that holds in the joined text as well.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from concurrent.futures import Executor, ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -148,12 +150,13 @@ def leaves(text: str, leaf: int) -> list[tuple[int, int]]:
     return spans
 
 
-def encode_tree(c: Codec, text: str, leaf: int = LEAF) -> bytes:
-    """Packed ids of one text."""
+def encode_tree(c: Codec, text: str, leaf: int = LEAF, pool: Executor | None = None) -> bytes:
+    """Packed ids of one text; its leaves side by side where a pool is given (encoding leaves the interpreter's lock)."""
     if len(text) <= leaf or not c.splits:
         return c.encode(text)
     tree = Tree(c, text)
-    row = [Half(lo, hi, array("I", c.encode(text[lo:hi]))) for lo, hi in leaves(text, leaf)]
+    spans = leaves(text, leaf)
+    row = [Half(lo, hi, array("I", ids)) for (lo, hi), ids in zip(spans, (pool.map if pool else map)(lambda s: c.encode(text[s[0] : s[1]]), spans), strict=True)]
     while len(row) > 1:
         row = [tree.join(row[i], row[i + 1]) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)]
     return row[0].ids.tobytes()
@@ -167,17 +170,20 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     ids. A null text is empty: no ids, an empty decoded text. Repeated rows
     each give a row; other columns, whatever their names, are not read; an
     empty table gives an empty result. Texts of any length take memory in
-    proportion to the longest one. No shuffle.
+    proportion to the longest one; its leaves are encoded by as many threads as
+    a task has cores (spark.task.cpus). No shuffle.
     """
     bounded(df.sparkSession)
+    cores = int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
+        pool = ThreadPoolExecutor(cores) if cores > 1 else None
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             lo, held, ids, back = 0, 0, [], []
             for i, text in enumerate(texts):
-                packed = encode_tree(c, text.as_py() or "", leaf)
+                packed = encode_tree(c, text.as_py() or "", leaf, pool)
                 ids.append(packed)
                 back.append(c.decode(packed))
                 held += len(packed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,41 +14,36 @@ from loomgraph.llm.arrow import bounded, slices
 from loomgraph.llm.bpe import Codec, codec, safe_cut
 
 
-def _parts(text: str, longest: int, special: tuple[str, ...]) -> Iterator[str]:
-    """A long text cut at safe boundaries, never inside a special string."""
-    if len(text) <= longest or any(s in text for s in special):
-        yield text
-        return
-    lo = 0
-    while lo < len(text):
-        hi = safe_cut(text, lo + longest)
-        yield text[lo:hi]
-        lo = hi
+def _parts(text: str, longest: int, special: re.Pattern | None) -> Iterator[str]:
+    """A text cut at its special strings, which stand alone, and what is long between them at safe boundaries."""
+    for piece in special.split(text) if special else (text,):
+        lo = 0
+        while lo < len(piece):
+            hi = len(piece) if len(piece) - lo <= longest or special and special.fullmatch(piece) else safe_cut(piece, lo + longest)
+            yield piece[lo:hi]
+            lo = hi
 
 
 def _count_bpe(c: Codec, texts: list[str | None], batch_bytes: int, longest: int) -> np.ndarray:
     counts = np.zeros(len(texts), np.int64)
     owners: list[int] = []
     parts: list[str] = []
+    special = re.compile("(" + "|".join(map(re.escape, c.special)) + ")") if c.special else None
     for i, t in enumerate(texts):
         if t:
-            for p in _parts(t, longest, tuple(c.special)) if c.splits else (t,):
+            for p in _parts(t, longest, special) if c.splits and len(t) > longest else (t,):
                 owners.append(i)
                 parts.append(p)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    sizes = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in parts), np.int64, len(parts))
     for lo, hi in slices(sizes, batch_bytes):
-        if c.splits:
-            n = np.fromiter((len(c.encode(p)) >> 2 for p in parts[lo:hi]), np.int64, hi - lo)
-        else:
-            n = np.fromiter(map(len, c.library.encode_batch_fast(parts[lo:hi], add_special_tokens=False)), np.int64, hi - lo)
-        np.add.at(counts, owners[lo:hi], n)
+        np.add.at(counts, owners[lo:hi], c.lengths_of(parts[lo:hi]))
     return counts
 
 
 def _count_pieces(path: str, texts: list[str | None], batch_bytes: int) -> np.ndarray:
     model = _pieces(path)
     counts = np.zeros(len(texts), np.int64)
-    sizes = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+    sizes = np.fromiter((len((t or "").encode()) for t in texts), np.int64, len(texts))
     for lo, hi in slices(sizes, batch_bytes):
         ids = model.encode([t or "" for t in texts[lo:hi]], num_threads=1)
         counts[lo:hi] = [len(x) for x in ids]
@@ -74,7 +70,9 @@ def token_counts(
     tokenizer: a .json file of the tokenizers library or a .model file of
     sentencepiece, readable on every executor. Only lengths leave the Arrow
     function. Batches are balanced by bytes; a text over `longest` characters
-    is cut at safe boundaries (see bpe), so the sum over its parts is its count.
+    is cut at its special strings and at safe boundaries (see bpe), so the sum
+    over its parts is its count. A .model file's texts are never cut: no safe
+    boundary is known there.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows each give a
     row. Columns besides id and text, whatever their names, are not read. An
