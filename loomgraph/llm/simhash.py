@@ -261,13 +261,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return table.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
-    """The rows of df whose id is its component's id, with df's columns; a null id stays if all of its component's are null."""
-    of = near_duplicates(df, id_col, text_col, words, most)
-    stay = of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
-
-
 def sketch_of(text: bytes) -> tuple[int, int, list[int], bytes]:
     """Digest of a text's set of five-word shingles, its fingerprint, its MinHash bands, and the set (sorted 32-bit hashes)."""
     from xxhash import xxh3_64_intdigest
@@ -357,20 +350,24 @@ def _verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of its component, with df's columns; a null id stays if all of its component's are null.
+    """One row of df for each component, with df's columns: that of the smallest id, null ids last, then of the smallest hash of the text.
 
     Documents link when the Jaccard similarity of their sets of five-word
     shingles is 0.8 or more; texts without words link with each other. Pairs
     are found by MinHash bands and fingerprints within RADIUS bits, and every
     link is verified on the sets. Equal sets are one node. In a first round all
     of a band meet its first node; in a second those that are not yet connected
-    meet each other, so a large group of near copies costs no square.
+    meet each other, so a large group of near copies costs no square. Of rows
+    that repeat both id and text one stays. No column's name clashes; an empty
+    table gives an empty result.
     """
     bounded(df.sparkSession)
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), sketch(F.col(text_col)).alias("s")).select("doc_id", "s.*")
-    sketches = Stored(rows, "sketches").read()
-    own = sketches.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    version = F.xxhash64(F.col(text_col))
+    rows = df.select(F.col(id_col).alias("doc_id"), version.alias("version"), sketch(F.col(text_col)).alias("s")).select("doc_id", "version", "s.*")
+    stored = Stored(rows, "sketches")
+    sketches = stored.read()
+    own = sketches.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     own = Stored(own, "distinct-sets").read()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.count() * BANDS // 400_000)
 
@@ -383,5 +380,14 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = links.union(meet(own.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "root"))
     roots = connected_components(links).withColumnRenamed("node", "key")
     stay = own.select("key", "first").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
-    stay = Stored(stay.select(F.col("first.doc_id").alias("_stays")).distinct(), "staying").read()
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    stay = Stored(stay.select("first.doc_id", "first.version"), "staying").read()
+    same = lambda x: F.col("row")[id_col].eqNullSafe(x["doc_id"]) & (F.col("of_text") == x["version"])
+    kept = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), version.alias("of_text"))
+    kept = kept.join(stay, same(stay), "left_semi")
+    again = sketches.groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "version")
+    again = Stored(again, "repeated-rows").read()
+    stored.drop()
+    if not again.isEmpty():
+        one = kept.join(again, same(again), "left_semi").groupBy(F.col("row")[id_col], "of_text").agg(F.first("row").alias("row"))
+        kept = kept.join(again, same(again), "left_anti").select("row").unionByName(one.select("row"))
+    return kept.select("row.*")

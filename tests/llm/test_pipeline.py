@@ -180,3 +180,9 @@ def test_near_copies_of_the_pipeline_are_those_of_jaccard(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {x.doc_id for x in corpus_pipeline.one_of_each(spark, df, "").collect()} == set(root.values())
     assert corpus_pipeline.one_of_each(spark, df.limit(0), "").count() == 0
+    again = df.union(df).union(spark.createDataFrame([(None, docs[0][1]), (None, "lone words of a null id"), (None, "lone words of a null id")], df.schema))
+    for c in ("_stays", "row", "of_text", "key", "version", "root"):
+        again = again.withColumn(c, F.lit(3))
+    got = corpus_pipeline.one_of_each(spark, again, "")
+    assert got.columns == again.columns
+    assert sorted(str(x.doc_id) for x in got.collect()) == sorted([*map(str, set(root.values())), "None"])

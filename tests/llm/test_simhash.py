@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loomgraph.llm.simhash import fingerprint_links, fingerprint_of, keep_one, links, near_duplicates
+from loomgraph.llm.simhash import fingerprint_links, fingerprint_of, links, near_duplicates
 from loomgraph.operators.components import connected_components
 
 
@@ -94,7 +94,4 @@ def test_near_duplicates(spark):
             first[of[x]] = min(first.get(of[x], i), i)
     assert len(got) == len(rows)
     assert all(g.fingerprint == f"{fp[g.doc_id]:016x}" and g.component_id == first[of[fp[g.doc_id]]] for g in got)
-    kept = keep_one(df)
-    assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == set(first.values())
     assert near_duplicates(df.limit(0)).count() == 0
