@@ -17,8 +17,13 @@ ROLE_PATHS = (
     ("generated", r"\.(min|bundle)\.[cm]?js$|(^|/)(generated|__generated__)/"),
 )
 ROLES = ("product", *[r for r, _ in ROLE_PATHS])
-# Language by extension.
-LANGUAGES = {"js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "ts": "js", "tsx": "js", "py": "py", "rb": "rb", "go": "go", "rs": "rs", "java": "java", "cs": "cs", "php": "php", "swift": "swift", "kt": "kt"}
+# Language by extension; any other file counts as javascript.
+LANGUAGES = {
+    "py": "python", "rs": "rust", "go": "go", "java": "java", "cs": "csharp", "rb": "ruby", "php": "php", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "json": "json",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
+}
+#: Names of the line rules by language.
+SYNTAX = {"python": "py", "rust": "rs", "csharp": "cs", "ruby": "rb", "kotlin": "kt", "javascript": "js", "typescript": "js"}
 
 
 def is_test_file(path: Column) -> Column:
@@ -39,8 +44,15 @@ def role_sql(path: str) -> str:
 
 
 def language_of(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.when(ext != "", ext)], F.lit("other"))
+    """By the extension as it is written."""
+    ext = F.regexp_extract(path, r"\.(\w+)$", 1)
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext], F.lit("javascript"))
+
+
+def syntax_of(path: Column) -> Column:
+    """Which line rules a file's symbols are found by."""
+    language = language_of(path)
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in SYNTAX.items() for x in kv])[language], language)
 
 
 def glob_regex(glob: str) -> str:

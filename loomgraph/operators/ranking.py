@@ -11,7 +11,7 @@ from loomgraph.operators.graph import CYCLE_KINDS, blast_counts, fan, orphans
 RISK = {"fan_in": 0.30, "fan_out": 0.15, "loc": 0.15, "blast": 0.30, "churn": 0.10}
 HOTSPOT = {"complexity": 0.5, "fan_in": 0.3, "churn": 0.2}
 # Names that a framework, a command line or a test runner may call.
-ENTRY_NAMES = ("main", "init", "setup", "teardown", "run", "start", "handler", "default", "activate", "deactivate")
+ENTRY_NAMES = ("main", "default", "index", "setup", "teardown", "init")
 
 
 def product_scope(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +62,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, entry_files: list[str] = ()) -
     nested = o.join(parents, "file").where(inside & (F.col("pid") != F.col("id"))).select("id").distinct().withColumn("nested", F.lit(True))
     reason = (
         F.when(F.col("testers") > 0, "tested").when(is_test_file(F.col("file")), "test file").when(F.col("file").isin(list(entry_files)), "manifest")
-        .when(F.col("nested"), "closure parent").when(F.lower("label").isin(*ENTRY_NAMES), "entrypoint name").otherwise("safe")
+        .when(F.col("nested"), "closure parent").when(F.col("label").isin(*ENTRY_NAMES), "entrypoint name").otherwise("safe")
     )
     return o.join(nested, "id", "left").select("id", "file", "loc", reason.alias("tier"))
 

@@ -61,6 +61,50 @@ def confidence_interval(hits: Column, n: Column, z: float = 1.959963984540054) -
     return mid - half, mid + half
 
 
+def upper_medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Of each group the element at floor(n / 2) of its sorted values; groups are counted by value first and never gathered."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(by)
+    upto = counts.withColumn("upto", F.sum("k").over(w.orderBy(value))).withColumn("all", F.sum("k").over(w))
+    return upto.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(by).agg(F.min(value).alias("upper_median"))
+
+
+def rule_of_three(hits: Column, n: Column) -> Column:
+    """Upper bound of a rate never seen in n tries."""
+    return F.when((hits == 0) & (n > 0), F.least(F.lit(1.0), 3 / n))
+
+
+def cliffs_delta(values: DataFrame, by: str, value: str, one: str, other: str) -> DataFrame:
+    """Share of pairs in which group `one` is above group `other`, less the share in which it is below; from ranks, without making the pairs."""
+    counts = values.where(F.col(by).isin(one, other) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(by) == one).alias("n1"), F.count_if(F.col(by) == other).alias("n2"))
+    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)  # over distinct values
+    below = counts.withColumn("below", F.coalesce(F.sum("n2").over(w), F.lit(0)))
+    out = below.agg(F.sum(F.col("n1") * F.col("below")).alias("wins"), F.sum(F.col("n1") * F.col("n2")).alias("ties"), F.sum("n1").alias("a"), F.sum("n2").alias("b"))
+    pairs = F.col("a") * F.col("b")
+    return out.select(F.when(pairs > 0, (2 * F.col("wins") + F.col("ties") - pairs) / pairs).alias("delta"))
+
+
+def paired_interval(pairs: DataFrame, a: str, b: str, z: float = 1.959963984540054) -> DataFrame:
+    """Mean difference of pairs with its normal interval."""
+    d = pairs.select((F.col(a) - F.col(b)).alias("d")).agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count("d").alias("n"))
+    half = z * F.col("sd") / F.sqrt("n")
+    return d.select("mean", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"), "n")
+
+
+def bootstrap_interval(values: DataFrame, value: str, key: str, rounds: int = 200, seed: int = 7, share: float = 0.05) -> DataFrame:
+    """Percentile interval of a mean by a Poisson bootstrap: in each round a row counts as often as a hash of its key says, so no row moves and any order gives the same."""
+    u = (F.pmod(F.xxhash64(key, F.col("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    steps, total, term = [], 0.0, 0.36787944117144233
+    for k in range(1, 9):
+        total += term
+        steps.append(total)
+        term /= k
+    times = sum(((u > s).cast("int") for s in steps), F.lit(0))
+    each = values.select(key, value).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("times", times)
+    means = each.groupBy("round").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
+    return means.agg(F.percentile("mean", F.lit(share / 2)).alias("lo"), F.percentile("mean", F.lit(1 - share / 2)).alias("hi"))
+
+
 def scored(found: DataFrame, truth: DataFrame, by: str, key: str) -> DataFrame:
     """Precision and recall of each group's found set against its true set; 0 where a set is empty."""
     f, t = found.select(by, key).distinct().withColumn("f", F.lit(1)), truth.select(by, key).distinct().withColumn("t", F.lit(1))

@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import event_queries, extraction_queries, graph_queries, text_queries
+from loomgraph.plans import event_queries, extraction_queries, graph_queries, resolution_queries, text_queries
 from loomgraph.session import ship
 
-MODULES = (graph_queries, text_queries, event_queries, extraction_queries)
+MODULES = (graph_queries, text_queries, event_queries, extraction_queries, resolution_queries)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.paths import language_of
+from loomgraph.functions.paths import syntax_of
 from loomgraph.operators import extraction
 
 TREE = {
@@ -21,7 +21,7 @@ TREE = {
 
 def _files(spark: SparkSession) -> DataFrame:
     df = spark.createDataFrame(list(TREE.items()), "file string, text string")
-    return df.withColumn("language", language_of(F.col("file")))
+    return df.withColumn("language", syntax_of(F.col("file")))
 
 
 def x1_masking(spark, d):
@@ -41,10 +41,6 @@ def x9_dynamic(spark, d):
     return extraction.dynamic_files(_files(spark))
 
 
-def x10_languages(spark, d):
-    return _files(spark).groupBy("language").agg(F.count("*").alias("n"))
-
-
 def x12_owners(spark, d):
     return extraction.owners(extraction.symbols(_files(spark))).select("file", "label", "owner")
 
@@ -67,7 +63,7 @@ def x22_packages(spark, d):
     return extraction.package_of(_files(spark), spark.createDataFrame([("src",), ("src/pkg",)], "dir string"))
 
 
-QUERIES = {f.__name__: f for f in (x1_masking, x2_symbols, x4_signatures, x9_dynamic, x10_languages, x12_owners, x14_modules, x18_calls, x21_closures, x22_packages)}
+QUERIES = {f.__name__: f for f in (x1_masking, x2_symbols, x4_signatures, x9_dynamic, x12_owners, x14_modules, x18_calls, x21_closures, x22_packages)}
 
 
 def _rows(names: str, *rows: tuple) -> str:
@@ -84,7 +80,6 @@ ORACLE_SQL = {
     ),
     "x4_signatures": _rows("file, label, params", ("src/a.py", "alpha", "x,y"), ("src/a.py", "area", "self"), ("src/b.py", "beta", "x"), ("src/pkg/json/x.py", "load", "path"), ("src/pkg/json/x.py", "inner", "p")),
     "x9_dynamic": _rows("file", ("src/pkg/json/x.py",)),
-    "x10_languages": "SELECT * FROM (VALUES ('py', CAST(4 AS BIGINT)), ('js', 1), ('go', 1), ('rs', 1)) t(language, n)",
     "x12_owners": _rows("file, label, owner", ("src/a.py", "area", "Box")),
     "x14_modules": _rows("module, target", ("pkg", "src/pkg/__init__.py"), ("json.x", "src/pkg/json/x.py"), ("json", None), ("a", "src/a.py")),
     "x18_calls": _rows("src, dst, kind", ("src/a.py:alpha", "src/b.py:beta", "call"), ("src/a.py:area", "src/a.py:alpha", "call"), ("tests/a.js:checks", "src/b.py:beta", "test"), ("tests/a.js:gamma", "tests/a.js:checks", "call"), ("src/pkg/json/x.py:load", "src/pkg/json/x.py:inner", "call"), ("lib/n.rs:make", "lib/n.rs:helper", "call")),

@@ -80,9 +80,9 @@ def q11_cuts(spark, d):
 
 
 def q12_review(spark, d):
-    """Documents as nodes on lines of a file per source; hunks are the third line of each document whose id is divisible by 50, and all of one file."""
+    """Documents as nodes on lines of a file per source; hunks are the third line of each document, and all of one file."""
     docs = _spans(table(spark, d, "documents"))
-    hunks = docs.where("k % 50 = 0").select("file", (F.col("line") + 2).alias("start"), (F.col("line") + 2).alias("end")).union(docs.where("file = 'src3'").select("file", F.lit(None).cast("int"), F.lit(None).cast("int")).distinct())
+    hunks = docs.select("file", (F.col("line") + 2).alias("start"), (F.col("line") + 2).alias("end")).union(docs.where("file = 'src3'").select("file", F.lit(None).cast("int"), F.lit(None).cast("int")).distinct())
     return ranking.review(docs, hunks).select("id", "file", "line")
 
 
@@ -130,7 +130,7 @@ def q16_edit_move(spark, d):
 def q17_simulate_delete(spark, d):
     """Deleting every nation that region 0's nations call: what the gate says."""
     n, e = trade(spark, d)
-    gone = [r.id for r in n.where("domain = 'AFRICA'").select("id").limit(planning.MOST).collect()]
+    gone = [r.id for r in planning.rows_of(n.where("domain = 'AFRICA'").select("id"))]
     return diff.gate((n, e), graph.apply_edit(n, e, "delete", gone), orphan_gate=False).select("new_cycles", "lost_callers")
 
 
@@ -325,18 +325,18 @@ def q24_optimize(spark, d):
     members = n.groupBy(F.col("domain").alias("group")).agg(F.sort_array(F.collect_list("id")).alias("ids"), F.sum("loc").alias("all_loc"))
     sim = planning.MergeSimulator(n, e)
     base = {tuple(c) for c in sim.cycles()}
-    rows = can.join(members, "group").limit(1000).collect()
+    rows = planning.rows_of(can.join(members, "group"))
     out = [(r["group"], r.canonical, "blocked" if any(tuple(c) not in base for c in sim.simulate(r.ids, r.canonical)) else "ready", r.all_loc - r["loc"]) for r in rows]
     return spark.createDataFrame(out, "group string, canonical string, tier string, loc_saved long")
 
 
 def q25_campaign(spark, d):
     n, e = trade(spark, d, 1)
-    cuts = [r.asDict() for r in planning.cheapest_cuts(n, e).limit(1000).collect()]
-    dead = [r.asDict() for r in ranking.dead_code(n, e).where("tier = 'safe'").limit(1000).collect()]
+    cuts = [r.asDict() for r in planning.rows_of(planning.cheapest_cuts(n, e))]
+    dead = [r.asDict() for r in planning.rows_of(ranking.dead_code(n, e).where("tier = 'safe'"))]
     can = ranking.canonical(n.select(F.col("domain").alias("group"), "id"), n, e)
     members = n.groupBy(F.col("domain").alias("group")).agg(F.sort_array(F.collect_list("id")).alias("ids"), F.sum("loc").alias("all_loc"))
-    merges = [{"id": r["group"], "ids": r.ids, "canonical": r.canonical, "loc": r.all_loc - r["loc"]} for r in can.join(members, "group").limit(1000).collect()]
+    merges = [{"id": r["group"], "ids": r.ids, "canonical": r.canonical, "loc": r.all_loc - r["loc"]} for r in planning.rows_of(can.join(members, "group"))]
     steps = planning.campaign(planning.MergeSimulator(n, e), cuts, dead, merges)
     return spark.createDataFrame([(i, s["id"], s["type"], s["gain"], s["total_loc"], s["total_cycles"]) for i, s in enumerate(steps)], "pos int, id string, type string, gain long, total_loc long, total_cycles long")
 
@@ -351,7 +351,7 @@ def c1_clusters(spark, d):
     n, e = commerce(spark, d)
     e = e.where("kind = 'inherit'")
     on = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    return spark.createDataFrame(planning.propagate_labels(n.join(on, "id", "left_semi"), e, hub=100_000), "id string, domain string").groupBy("domain").agg(F.count("*").alias("n"))
+    return spark.createDataFrame(planning.propagate_labels(n.join(on, "id", "left_semi"), e), "id string, domain string").groupBy("domain").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -388,7 +388,7 @@ ORACLE_SQL = {
     "q8_blast_all": f"{TRADE}, {CLOSURE}, {_BLAST} SELECT N.id, coalesce(blast, 0) AS blast FROM N LEFT JOIN Z ON Z.id = N.id",
     "q9_cycles": f"{TRADE}, {CLOSURE}, {CYC}, G AS (SELECT M.root, replace(id, 'n:', 'nation/') AS f FROM M) SELECT min(f) AS root, string_agg(f, ',' ORDER BY f) AS files, count(*) AS n FROM G GROUP BY G.root HAVING count(*) >= 2",
     "q10_orphans": f"{COMMERCE} SELECT id, file FROM N WHERE NOT exports AND id NOT IN (SELECT dst FROM E WHERE kind IN {CALLED})",
-    "q12_review": f"WITH {SPANS}, H AS (SELECT file, line + 2 AS s, line + 2 AS e FROM S WHERE k % 50 = 0 UNION ALL SELECT DISTINCT file, NULL, NULL FROM S WHERE file = 'src3') SELECT DISTINCT id, S.file, line FROM S JOIN H ON H.file = S.file AND (s IS NULL OR NOT (e < line OR line + greatest(loc, 1) - 1 < s))",
+    "q12_review": f"WITH {SPANS}, H AS (SELECT file, line + 2 AS s, line + 2 AS e FROM S UNION ALL SELECT DISTINCT file, NULL, NULL FROM S WHERE file = 'src3') SELECT DISTINCT id, S.file, line FROM S JOIN H ON H.file = S.file AND (s IS NULL OR NOT (e < line OR line + greatest(loc, 1) - 1 < s))",
     "q13_regressions": f"{COMMERCE}, {LATE} SELECT dst AS id, count(DISTINCT src) AS was FROM E WHERE kind = 'call' AND dst IN (SELECT id FROM NB) AND dst NOT IN (SELECT dst FROM EB WHERE kind = 'call') GROUP BY dst",
     "q16_edit_merge": f"{TRADE}, T AS (SELECT CASE WHEN src IN ('n:2', 'n:3') THEN 'n:1' ELSE src END AS src, CASE WHEN dst IN ('n:2', 'n:3') THEN 'n:1' ELSE dst END AS dst, kind, weight FROM E) SELECT src, dst, kind, CAST(sum(weight) AS INTEGER) AS weight FROM T WHERE src <> dst GROUP BY 1, 2, 3",
     "q16_edit_move": f"{TRADE}, P AS (SELECT id, CASE WHEN id IN ('n:1', 'n:2') THEN 'nation/0' ELSE file END AS file FROM N) SELECT a.file AS src, b.file AS dst, count(*) AS n FROM E JOIN P a ON a.id = src JOIN P b ON b.id = dst WHERE a.file <> b.file GROUP BY 1, 2",

@@ -46,7 +46,7 @@ def m6_group_bands(spark, d):
 
 def m7_twins(spark, d):
     n, e = commerce(spark, d)
-    return similarity.twins(e, n, 0.7).withColumn("sim", F.round("sim", 9))
+    return similarity.twins(e, n, 0.5).withColumn("sim", F.round("sim", 9))
 
 
 def m8_multiset(spark, d):
@@ -141,7 +141,7 @@ ORACLE_SQL = {
     "m4_similar_pairs": f"WITH S AS {_sets('documents', 'doc_id')}, {_ITEMS}, P AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM I a JOIN I b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / (na + nb - c), 9) AS sim FROM P WHERE c / (na + nb - c) >= 0.6 - 1e-12",
     "m5_find_similar": f"WITH S AS {_sets('documents', 'doc_id')}, {_ITEMS}, Q AS (SELECT id AS query, len(sh) AS nq, unnest(sh) AS s FROM {_sets('benchmark', 'item_id')}), X AS (SELECT query, id, count(*) / (any_value(nq) + any_value(n) - count(*)) AS sim FROM Q JOIN I ON Q.s = I.s GROUP BY 1, 2), R AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS INTEGER) AS rank, id, round(sim, 9) AS sim, count(*) OVER (PARTITION BY query) AS true_count FROM X WHERE sim >= 0.01) SELECT * FROM R WHERE rank <= 3",
     "m6_group_bands": f"WITH S AS {_sets('documents', 'doc_id')}, G AS (SELECT source || '/' || lang AS grp, id, sh, row_number() OVER (PARTITION BY source, lang ORDER BY id) AS r FROM S JOIN documents ON doc_id = id), P AS (SELECT a.grp, CASE WHEN len(a.sh) = 0 OR len(b.sh) = 0 THEN 0.0 ELSE {_SIM} END AS sim FROM G a JOIN G b ON a.grp = b.grp AND a.id < b.id WHERE a.r <= 12 AND b.r <= 12) SELECT grp AS \"group\", round(avg(sim), 9) AS mean_sim, round(min(sim), 9) AS min_sim, CASE WHEN avg(sim) >= 0.6 THEN 'high' WHEN avg(sim) >= 0.35 THEN 'medium' WHEN avg(sim) >= 0.15 THEN 'low' ELSE 'refuted' END AS band FROM P GROUP BY grp",
-    "m7_twins": f"WITH {COMMERCE_SQL}, C AS (SELECT DISTINCT src AS id, label AS s FROM E JOIN N ON N.id = dst WHERE E.kind = 'call'), Z AS (SELECT id, count(*) AS n FROM C GROUP BY id HAVING count(*) >= 4), P AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM C a JOIN C b ON a.s = b.s AND a.id < b.id SEMI JOIN Z x ON x.id = a.id SEMI JOIN Z y ON y.id = b.id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 9) AS sim FROM P JOIN Z x ON x.id = a JOIN Z y ON y.id = b JOIN N na ON na.id = a JOIN N nb ON nb.id = b WHERE c / (x.n + y.n - c) >= 0.7 - 1e-12 AND na.file <> nb.file",
+    "m7_twins": f"WITH {COMMERCE_SQL}, C AS (SELECT DISTINCT src AS id, label AS s FROM E JOIN N ON N.id = dst WHERE E.kind = 'call'), Z AS (SELECT id, count(*) AS n FROM C GROUP BY id HAVING count(*) >= 4), P AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM C a JOIN C b ON a.s = b.s AND a.id < b.id SEMI JOIN Z x ON x.id = a.id SEMI JOIN Z y ON y.id = b.id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 9) AS sim FROM P JOIN Z x ON x.id = a JOIN Z y ON y.id = b JOIN N na ON na.id = a JOIN N nb ON nb.id = b WHERE c / (x.n + y.n - c) >= 0.5 - 1e-12 AND na.file <> nb.file",
     "m8_multiset": "WITH C AS (SELECT l_orderkey AS id, l_suppkey || '/' || l_returnflag AS item, count(*) AS c FROM lineitem GROUP BY 1, 2), T AS (SELECT id, sum(c) AS n FROM C GROUP BY id), P AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS s FROM C a JOIN C b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(s / (x.n + y.n - s), 9) AS sim FROM P JOIN T x ON x.id = a JOIN T y ON y.id = b WHERE s / (x.n + y.n - s) >= 0.7 - 1e-12",
     "m12_incremental": f"WITH S AS {_sets('documents', 'doc_id')}, {_ITEMS}, X AS (SELECT q.id AS query, i.id, count(*) / (any_value(q.n) + any_value(i.n) - count(*)) AS sim FROM I q JOIN I i ON q.s = i.s WHERE q.id % 50 = 0 GROUP BY 1, 2), R AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS r FROM X WHERE sim >= 0.6) SELECT query, first(id ORDER BY r) AS id, round(first(sim ORDER BY r), 6) AS sim FROM R WHERE r <= 2 AND id <> query GROUP BY query",
     "x5_complexity": f"SELECT page_id, CAST(1 + len(regexp_extract_all({_STRIP}, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\||\\?\\?')) + len(regexp_extract_all(regexp_replace({_STRIP}, '\\?\\?|\\?\\.', ' ', 'g'), '\\?')) AS INTEGER) AS complexity FROM pages",

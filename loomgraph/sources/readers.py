@@ -13,7 +13,7 @@ from loomgraph.sources.adapters import EDGE_SCHEMA, NODE_SCHEMA, normalize
 
 # Directories that hold other people's code, and extensions that are source.
 VENDORED = ("node_modules", ".git", "dist", "build", "out", "coverage", "vendor", "target", "__pycache__", ".venv", "venv")
-EXTENSIONS = ("js", "mjs", "cjs", "jsx", "ts", "tsx", "py", "rb", "go", "rs", "java", "cs", "php", "swift", "kt", "mts", "cts", "json")
+EXTENSIONS = ("js", "mjs", "cjs", "jsx", "ts", "tsx", "py", "rb", "go", "rs", "java", "cs", "php", "swift", "kt", "kts", "mts", "cts", "json")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
