@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded
+from loomgraph.llm.arrow import bounded, free
 from loomgraph.operators.components import connected_components
 from loomgraph.session import Stored
 
@@ -291,22 +291,31 @@ def sketch(text: Column) -> Column:
     return run.asNondeterministic()(text.cast("binary"))
 
 
+def _middles(fp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each run's member nearest to the bits that most of the run have; ties to the first. Copies of one text differ least from it."""
+    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    most = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    rank = np.bitwise_count(fp ^ np.repeat(most, size)).astype(np.int64) << 32 | np.arange(len(fp))
+    return np.minimum.reduceat(rank, starts) & 0xFFFFFFFF
+
+
 def _first_pairs(node: np.ndarray, fp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every member of a run with the run's first."""
-    i, j = np.repeat(starts, size), np.arange(len(node))
+    """Every member of a run with the run's middle one."""
+    i, j = np.repeat(_middles(fp, starts, size), size), np.arange(len(node))
     near = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS)
     return i[near], j[near]
 
 
 def _other_pairs(node: np.ndarray, fp: np.ndarray, root: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a run, without its first, that no link connects so far: each member outside the run's largest component with all others."""
+    """Pairs of a run that no link connects so far: each member outside the run's largest component with all others."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        at = np.arange(s + 1, s + n)
+        at = np.arange(s, s + n)
         names, of, count = np.unique(root[at], return_inverse=True, return_counts=True)
         small = of != count.argmax()
         for k in np.flatnonzero(small).tolist():
-            meet = (of != of[k]) & (~small | (np.arange(n - 1) > k)) & (np.bitwise_count(fp[at] ^ fp[at[k]]) <= RADIUS)
+            meet = (of != of[k]) & (~small | (np.arange(n) > k)) & (np.bitwise_count(fp[at] ^ fp[at[k]]) <= RADIUS)
             b.append(at[meet]), a.append(np.full(len(b[-1]), at[k]))
     return np.concatenate(a), np.concatenate(b)
 
@@ -341,12 +350,17 @@ def _similar(left: Column, right: Column) -> Column:
 
 def _verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles have Jaccard similarity SIMILAR or more."""
-    pairs = Stored(pairs.distinct(), "candidates").read()
+    candidates = Stored(pairs.distinct(), "candidates")
+    pairs = candidates.read()
     need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = Stored(sketches.select("key", "shingles").join(need, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "candidate-sets").read()
+    needed = Stored(sketches.select("key", "shingles").join(need, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "candidate-sets")
+    sets = needed.read()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"{side}_set")), side)
-    return Stored(pairs.where(_similar(F.col("a_set"), F.col("b_set"))).select("a", "b"), "similar-pairs").read()
+    similar = Stored(pairs.where(_similar(F.col("a_set"), F.col("b_set"))).select("a", "b"), "similar-pairs").read()
+    candidates.drop(), needed.drop()
+    free(sketches.sparkSession)  # of the shuffles that gathered the sets
+    return similar
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,7 +370,8 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingles is 0.8 or more; texts without words link with each other. Pairs
     are found by MinHash bands and fingerprints within RADIUS bits, and every
     link is verified on the sets. Equal sets are one node. In a first round all
-    of a band meet its first node; in a second those that are not yet connected
+    of a band meet its middle node, which the copies of one text have in common
+    with it; in a second those that are not yet connected
     meet each other, so a large group of near copies costs no square. Of rows
     that repeat both id and text one stays. No column's name clashes; an empty
     table gives an empty result.
