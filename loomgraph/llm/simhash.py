@@ -41,6 +41,8 @@ PIVOTS = 16
 SHORT = 12
 #: Rows of a bucket that one task compares; larger buckets are cut into pieces, and every two pieces meet.
 PIECE = 4096
+#: Bytes of sets that one piece holds.
+PIECE_BYTES = 16 << 20
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -278,7 +280,7 @@ def sketch_of(text: bytes) -> tuple[int, int, list[int], bytes]:
     for x in low.reshape(BANDS, ROWS).T:
         key = (key ^ x) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
-    return signed(xxh3_64_intdigest(u.tobytes())), signed(majority(h)), key.view(np.int64).tolist(), np.unique(u >> np.uint64(32)).astype("<u4").tobytes()
+    return signed(xxh3_64_intdigest(u.tobytes())), signed(majority(u)), key.view(np.int64).tolist(), np.unique(u >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def sketch(text: Column) -> Column:
@@ -291,76 +293,105 @@ def sketch(text: Column) -> Column:
     return run.asNondeterministic()(text.cast("binary"))
 
 
-def _middles(fp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Each run's member nearest to the bits that most of the run have; ties to the first. Copies of one text differ least from it."""
-    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    most = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    rank = np.bitwise_count(fp ^ np.repeat(most, size)).astype(np.int64) << 32 | np.arange(len(fp))
-    return np.minimum.reduceat(rank, starts) & 0xFFFFFFFF
-
-
-def _first_pairs(node: np.ndarray, fp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every member of a run with the run's middle one."""
-    i, j = np.repeat(_middles(fp, starts, size), size), np.arange(len(node))
-    near = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS)
-    return i[near], j[near]
-
-
-def _other_pairs(node: np.ndarray, fp: np.ndarray, root: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a run that no link connects so far: each member outside the run's largest component with all others."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        at = np.arange(s, s + n)
-        names, of, count = np.unique(root[at], return_inverse=True, return_counts=True)
-        small = of != count.argmax()
-        for k in np.flatnonzero(small).tolist():
-            meet = (of != of[k]) & (~small | (np.arange(n) > k)) & (np.bitwise_count(fp[at] ^ fp[at[k]]) <= RADIUS)
-            b.append(at[meet]), a.append(np.full(len(b[-1]), at[k]))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes that meet in a band; in the second round (a column more) those of different components."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    band, node, fp, *root = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(held[0].num_columns))
-    by = np.lexsort((node, band))
-    band, node, fp, root = band[by], node[by], fp[by].view(np.uint64), [x[by] for x in root]
-    starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-    size = np.diff(np.append(starts, len(band)))
-    i, j = _other_pairs(node, fp, *root, starts, size) if root else _first_pairs(node, fp, starts, size)
-    pair = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-
-def _similar(left: Column, right: Column) -> Column:
-    @F.arrow_udf("boolean")
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
-
-    return run(left, right)
-
-
-def _verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sets of shingles have Jaccard similarity SIMILAR or more."""
-    candidates = Stored(pairs.distinct(), "candidates")
-    pairs = candidates.read()
-    need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    needed = Stored(sketches.select("key", "shingles").join(need, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "candidate-sets")
-    sets = needed.read()
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"{side}_set")), side)
-    similar = Stored(pairs.where(_similar(F.col("a_set"), F.col("b_set"))).select("a", "b"), "similar-pairs").read()
-    candidates.drop(), needed.drop()
-    free(sketches.sparkSession)  # of the shuffles that gathered the sets
-    return similar
+def set_links(fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions) that connect whatever is connected among non-empty sets of Jaccard similarity SIMILAR or more.
+
+    Two such sets share one of the rarest elements of each: as many as may be
+    missing, and one. Sets that do so meet; the pivot table and the
+    fingerprints discard pairs, and what survives is counted out. Pairs already
+    connected are passed over, so a group of copies costs no square.
+    """
+    n, out = len(sets), []
+    size = np.fromiter(map(len, sets), np.int64, n)
+    start = np.cumsum(size) - size
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(count), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(count))
+    row = np.repeat(np.arange(n), size)
+    of = of[np.lexsort((place[of], row))]
+    may_miss = size - (SIMILAR * size + 99) // 100
+    rare = np.flatnonzero((np.arange(len(of)) - start[row] <= may_miss[row]) & (count[of] > 1))
+    by = np.lexsort((row[rare], of[rare]))
+    holders = row[rare][by]
+    at = np.empty(len(by), np.int64)
+    at[by] = np.arange(len(by))  # of each rare element of each set, its place among the element's holders
+    first = np.searchsorted(of[rare][by], of[rare])
+    bound = np.searchsorted(row[rare], np.arange(n + 1))
+    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int16)
+    part_of, met, mine = np.arange(n), np.zeros(n, bool), np.zeros(len(count), bool)
+    for i in range(1, n):
+        for k in range(bound[i], bound[i + 1]):
+            met[holders[first[k] : at[k]]] = True
+        meet = np.flatnonzero(met[:i])
+        if not len(meet):
+            continue
+        met[meet] = False
+        meet = meet[100 * np.minimum(size[meet], size[i]) >= SIMILAR * np.maximum(size[meet], size[i])]
+        meet = meet[_near(table, np.full(len(meet), i), meet, RADIUS)]
+        meet = meet[np.bitwise_count(fps[meet] ^ fps[i]) <= RADIUS]
+        mine[of[start[i] : start[i] + size[i]]] = True
+        step = 1
+        while len(meet):
+            now, meet = meet[:step], meet[step:]
+            held = mine[np.concatenate([of[start[j] : start[j] + size[j]] for j in now.tolist()])]
+            both = np.add.reduceat(held, np.cumsum(size[now]) - size[now], dtype=np.int64)
+            for j in now[100 * both >= SIMILAR * (size[now] + size[i] - both)].tolist():
+                if part_of[i] != part_of[j]:
+                    out.append((j, i))
+                    part_of[part_of == part_of[j]] = part_of[i]
+            meet, step = meet[part_of[meet] != part_of[i]], 2 * step
+        mine[of[start[i] : start[i] + size[i]]] = False
+    return out
+
+
+def _meet_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within runs of equal blocks; holds one run at a time."""
+
+    def linked(keys: list[int], fps: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        found = set_links(np.asarray(fps, np.int64).view(np.uint64), [np.frombuffer(x, "<u4") for x in sets]) if len(keys) > 1 else []
+        pairs = [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    block, held = None, ([], [], [])
+    for batch in batches:
+        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != block:
+                yield linked(*held)
+                block, held = b, ([], [], [])
+            for column, x in zip(held, row, strict=True):
+                column.append(x)
+    yield linked(*held)
+
+
+def similar_links(own: DataFrame) -> DataFrame:
+    """Links (a, b) among distinct sets: rows of key, fp, bands and shingles.
+
+    Buckets of a band are counted first; those of one member need no set, and
+    buckets of equal members are one. Larger ones than PIECE members or
+    PIECE_BYTES are cut into pieces, and every two pieces meet.
+    """
+    spark = own.sparkSession
+    band = own.select(F.explode("bands").alias("band"), "key", F.octet_length("shingles").cast("long").alias("bytes"))
+    buckets = band.groupBy("band").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("all"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
+    )
+    pieces = F.ceil(F.greatest(F.col("n") / PIECE, F.col("all") / PIECE_BYTES)).cast("int")
+    buckets = buckets.where("n > 1").select("band", F.struct("n", "x", "y").alias("bucket"), pieces.alias("pieces"))
+    met = band.join(buckets, "band").groupBy("bucket", "key").agg(F.max("pieces").alias("pieces"), F.max("bytes").alias("bytes"))
+    stored = Stored(met, "bucket-members")
+    free(spark)
+    met = stored.read()
+    total = met.agg(F.sum(F.col("bytes") * F.col("pieces"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PIECE_BYTES)
+    piece = F.pmod(F.xxhash64("key", F.lit(2)), F.col("pieces")).cast("int")
+    met = met.join(own.select("key", "fp", "shingles"), "key").withColumn("piece", piece)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    block = F.xxhash64("bucket", F.least("piece", "other"), F.greatest("piece", "other"))
+    met = met.select(block.alias("block"), "key", "fp", "shingles").repartition(tasks, "block").sortWithinPartitions("block")
+    found = Stored(met.mapInArrow(_meet_sets, "a long, b long").distinct(), "similar-pairs").read()
+    stored.drop()
+    free(spark)  # of the shuffles that gathered the sets
+    return found
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,40 +399,26 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents link when the Jaccard similarity of their sets of five-word
     shingles is 0.8 or more; texts without words link with each other. Pairs
-    are found by MinHash bands and fingerprints within RADIUS bits, and every
-    link is verified on the sets. Equal sets are one node. In a first round all
-    of a band meet its middle node, which the copies of one text have in common
-    with it; in a second those that are not yet connected
-    meet each other, so a large group of near copies costs no square. Of rows
-    that repeat both id and text one stays. No column's name clashes; an empty
-    table gives an empty result.
+    meet in MinHash bands, pass the pivot table and the fingerprints (within
+    RADIUS bits), and every link is verified on the sets. Equal sets are one
+    node. Rows leave a bucket as links that connect, never as all its pairs. Of
+    rows that repeat both id and text one stays. No column's name clashes; an
+    empty table gives an empty result.
     """
     bounded(df.sparkSession)
-    spark = df.sparkSession
     version = F.xxhash64(F.col(text_col))
     rows = df.select(F.col(id_col).alias("doc_id"), version.alias("version"), sketch(F.col(text_col)).alias("s")).select("doc_id", "version", "s.*")
-    stored = Stored(rows, "sketches")
-    sketches = stored.read()
-    own = sketches.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    own = Stored(own, "distinct-sets").read()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.count() * BANDS // 400_000)
-
-    def meet(nodes: DataFrame, *more: str) -> DataFrame:
-        met = nodes.select(F.explode("bands").alias("band"), "key", "fp", *more).repartition(tasks, "band")
-        return _verified(met.mapInArrow(_candidates, "a long, b long"), sketches)
-
-    links = meet(own)
-    roots = connected_components(links).withColumnRenamed("node", "key")
-    links = links.union(meet(own.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "root"))
-    roots = connected_components(links).withColumnRenamed("node", "key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
+    own = Stored(rows.groupBy("key").agg(first, *[F.first(c).alias(c) for c in ("fp", "bands", "shingles")]), "distinct-sets").read()
+    free(df.sparkSession)
+    roots = connected_components(similar_links(own)).withColumnRenamed("node", "key")
     stay = own.select("key", "first").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
     stay = Stored(stay.select("first.doc_id", "first.version"), "staying").read()
     same = lambda x: F.col("row")[id_col].eqNullSafe(x["doc_id"]) & (F.col("of_text") == x["version"])
     kept = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), version.alias("of_text"))
     kept = kept.join(stay, same(stay), "left_semi")
-    again = sketches.groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "version")
+    again = df.select(F.col(id_col).alias("doc_id"), version.alias("version")).groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "version")
     again = Stored(again, "repeated-rows").read()
-    stored.drop()
     if not again.isEmpty():
         one = kept.join(again, same(again), "left_semi").groupBy(F.col("row")[id_col], "of_text").agg(F.first("row").alias("row"))
         kept = kept.join(again, same(again), "left_anti").select("row").unionByName(one.select("row"))
