@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loomgraph.llm.simhash import fingerprint_links, fingerprint_of, links, near_duplicates
+from loomgraph.llm.simhash import fingerprint_links, fingerprint_of, links, near_duplicates, set_links, sketch_of
 from loomgraph.operators.components import connected_components
 
 
@@ -95,3 +95,30 @@ def test_near_duplicates(spark):
     assert len(got) == len(rows)
     assert all(g.fingerprint == f"{fp[g.doc_id]:016x}" and g.component_id == first[of[fp[g.doc_id]]] for g in got)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_set_links_connect_what_jaccard_connects():
+    r = random.Random(3)
+    for n, base, most in ((50, 300, 10), (120, 120, 12), (80, 120, 3)):
+        words = [r.randrange(9999) for _ in range(base)]
+        sketches = {}
+        for _ in range(n):
+            copy = list(words)
+            for _ in range(r.randrange(most)):
+                copy[r.randrange(base)] = r.randrange(9999)
+            s = sketch_of(" ".join(map(str, copy)).encode())
+            sketches[s[0]] = s
+        fps = np.asarray([s[1] for s in sketches.values()], np.int64).view(np.uint64)
+        sets = [np.frombuffer(s[3], "<u4") for s in sketches.values()]
+        plain = [set(x.tolist()) for x in sets]
+        want = [(i, j) for j in range(len(plain)) for i in range(j) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])]
+        got = set_links(fps, sets)
+        assert set(got) <= set(want) and len(got) < len(sets)
+
+        def parts(pairs):
+            root = list(range(len(sets)))
+            for i, j in pairs:
+                root = [root[i] if x == root[j] else x for x in root]
+            return {frozenset(i for i, x in enumerate(root) if x == k) for k in root}
+
+        assert parts(got) == parts(want)
