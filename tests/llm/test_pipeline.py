@@ -186,3 +186,15 @@ def test_near_copies_of_the_pipeline_are_those_of_jaccard(spark):
     got = corpus_pipeline.one_of_each(spark, again, "")
     assert got.columns == again.columns
     assert sorted(str(x.doc_id) for x in got.collect()) == sorted([*map(str, set(root.values())), "None"])
+
+
+def test_buckets_cut_into_pieces_lose_no_link(spark, monkeypatch):
+    import loomgraph.llm.simhash as simhash
+
+    monkeypatch.setattr(simhash, "PIECE", 4)
+    r = random.Random(6)
+    words = [f"w{r.randrange(5000)}" for _ in range(200)]
+    docs = [(i, " ".join([*words[:-1], f"x{i}"])) for i in range(30)]  # each pair of them shares 195 shingles of 196
+    docs += [(100 + i, " ".join(f"y{r.randrange(5000)}" for _ in range(60))) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.one_of_each(spark, df, "").collect()) == [0, 100, 101, 102, 103, 104]
