@@ -12,11 +12,17 @@ discarded by their largest coordinate difference; survivors are verified.
 
 Only distinct fingerprints enter, and a bucket yields a spanning forest of its
 links, not all pairs: components need no more.
+
+keep_one_similar goes the same way to another end, sets of Jaccard similarity
+0.8: fingerprints of 192 bits, buckets of sampled bits, a pivot table that
+keeps distances byte by byte, and the sets themselves to verify what is left.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -31,10 +37,18 @@ from loomgraph.session import Stored
 SEED, WORDS, MOST = 42, 4, 4
 #: keep_one_similar: words of a shingle, and the percentage of shingles that near copies share at least.
 COPY_WORDS, SIMILAR = 5, 80
-#: MinHash bands and rows of each: a pair of Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
-BANDS, ROWS = 20, 5
-#: Fingerprints at Jaccard 0.8 differ by 10 bits on average (deviation 3), unrelated ones by 32.
-RADIUS = 24
+#: Words of 64 bits of the fingerprint by which near copies are sought.
+COPY_FP = 3
+#: Probability that one bit tells two sets of Jaccard 0.8 apart: their angle over pi.
+APART = math.acos(2 * SIMILAR / (100 + SIMILAR)) / math.pi
+#: Computed probability that a pair at Jaccard 0.8 agrees on one table's bits at least.
+MEET = 0.9996
+#: Parts of the reference fingerprints, one byte each; a table of distances has them for every byte.
+BYTE_PIVOTS = (0b00000000, 0b00001111, 0b00110011, 0b01010101, 0b01101001)
+#: Runs of a table up to this length are compared pair by pair, vectorised over all of them.
+RUN = 256
+#: Fingerprints that one shard of a table holds; tables that are dealt at once.
+SHARD, DEALT = 1 << 17, 160
 #: Reference fingerprints of the table.
 PIVOTS = 16
 #: Runs up to this length are compared pair by pair, vectorised over all of them.
@@ -46,7 +60,10 @@ PIECE_BYTES = 16 << 20
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
-    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
@@ -263,39 +280,218 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return table.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch_of(text: bytes) -> tuple[int, int, list[int], bytes]:
-    """Digest of a text's set of five-word shingles, its fingerprint, its MinHash bands, and the set (sorted 32-bit hashes)."""
+def names(words: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each wide fingerprint (rows); two that share one are only held against each other once more."""
+    x = np.zeros(len(words), np.uint64)
+    for w in words.T:
+        x = mixed((x ^ w) + np.uint64(0x9E3779B97F4A7C15))
+    return x
+
+
+def sketch_of(text: bytes) -> tuple[int, int, list[int], bytes, int]:
+    """Digest of a text's set of five-word shingles, its fingerprint's first word, the others, the set (sorted 32-bit hashes), the fingerprint's name."""
     from xxhash import xxh3_64_intdigest
 
-    h = shingle_hashes(text, COPY_WORDS)
-    u = np.unique(h)
+    u = np.unique(shingle_hashes(text, COPY_WORDS))
     signed = lambda x: np.uint64(x).view(np.int64).item()
     if not len(u):
-        return 0, 0, [], b""
-    salt, factor = pivots(2 * BANDS * ROWS).reshape(2, -1)
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for lo in range(0, len(u), 2048):
-        low = np.minimum(low, ((u[None, lo : lo + 2048] ^ salt[:, None]) * (factor | np.uint64(1))[:, None]).min(axis=1))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for x in low.reshape(BANDS, ROWS).T:
-        key = (key ^ x) * np.uint64(0xD6E8FEB86659FD93)
-        key ^= key >> np.uint64(32)
-    return signed(xxh3_64_intdigest(u.tobytes())), signed(majority(u)), key.view(np.int64).tolist(), np.unique(u >> np.uint64(32)).astype("<u4").tobytes()
+        return 0, 0, [], b"", 0
+    salt = pivots(COPY_FP)
+    words = [majority(u), *(majority(mixed(u + x)) for x in salt[1:])]
+    name = names(np.asarray([words], np.uint64))[0]
+    return signed(xxh3_64_intdigest(u.tobytes())), signed(words[0]), list(map(signed, words[1:])), np.unique(u >> np.uint64(32)).astype("<u4").tobytes(), signed(name)
 
 
 def sketch(text: Column) -> Column:
-    @F.arrow_udf("key long, fp long, bands array<long>, shingles binary")
+    @F.arrow_udf("key long, fp long, more array<long>, shingles binary, name long")
     def run(texts: pa.Array) -> pa.Array:
-        cols = list(zip(*(sketch_of(t or b"") for t in texts.to_pylist()), strict=True)) or [[], [], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "fp", "bands", "shingles"])
+        cols = list(zip(*(sketch_of(t or b"") for t in texts.to_pylist()), strict=True)) or [[], [], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "fp", "more", "shingles", "name"])
 
     return run.asNondeterministic()(text.cast("binary"))
 
 
+def radius(bits: int) -> int:
+    """Bits by which fingerprints at Jaccard 0.8 differ: the mean and five deviations."""
+    return round(bits * APART + 5 * math.sqrt(bits * APART * (1 - APART)))
+
+
+class PivotTable:
+    """Distances of wide fingerprints (rows of 64-bit words) to the reference fingerprints, byte by byte.
+
+    In each byte no pivot's two distances differ by more than the two
+    fingerprints do, so the largest differences, added up over the bytes, are
+    at most their Hamming distance: a pair whose sum is over the radius is
+    discarded without a loss. Distances over all 192 bits at once discard
+    nothing at this radius: unrelated fingerprints are about equally far from
+    any reference.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        of = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :] ^ np.asarray(BYTE_PIVOTS, np.uint8)[:, None]).astype(np.int8)
+        at = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1)
+        self.far = [x[at].view(np.uint64) for x in of]
+        self.most = radius(64 * words.shape[1])
+
+    def bound(self, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        """What the table says each pair differs by at least."""
+        most = None
+        for x in self.far:
+            d = x.take(i, axis=0).view(np.int8)
+            d -= x.take(j, axis=0).view(np.int8)
+            np.abs(d, out=d)
+            most = d if most is None else np.maximum(most, d, out=most)
+        total = np.zeros(len(i), np.uint64)
+        for x in most.view(np.uint64).T:  # a byte holds 8 at most, so the sum of eight fits one
+            total += (x * np.uint64(0x0101010101010101)) >> np.uint64(56)
+        return total
+
+    def near(self, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        """Places of the pairs within the radius: those the table cannot discard, verified."""
+        left = np.flatnonzero(self.bound(i, j) <= self.most)
+        other = self.words[j] if np.isscalar(j) else self.words[j[left]]
+        return left[np.bitwise_count(self.words[i[left]] ^ other).sum(axis=1, dtype=np.int64) <= self.most]
+
+
+@lru_cache(maxsize=64)
+def meets(bits: int, tables: int, of: int = 64 * COPY_FP) -> float:
+    """Probability that two sets of Jaccard 0.8 agree on all of some table's bits, for as many bits of a fingerprint, drawn anew for each table."""
+    at = lambda h: math.comb(of, h) * APART**h * (1 - APART) ** (of - h)
+    return sum(at(h) * (1 - (1 - math.comb(of - h, bits) / math.comb(of, bits)) ** tables) for h in range(of + 1))
+
+
+def tables_for(n: int) -> np.ndarray:
+    """Masks (tables x words) of the bits that each table's keys take: 14 of them to a million fingerprints, then one more for each doubling."""
+    bits = max(14, math.ceil(math.log2(max(1, n))) - 6)
+    tables = 8
+    while meets(bits, tables) < MEET:
+        tables += 8
+    r = np.random.Generator(np.random.PCG64(SEED))
+    drawn = np.zeros((tables, 64 * COPY_FP), np.uint8)
+    for row in drawn:
+        row[r.permutation(64 * COPY_FP)[:bits]] = 1
+    return np.packbits(drawn, axis=1, bitorder="little").view("<u8")
+
+
+def _table_keys(words: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    return names(words & mask[None, :])
+
+
+def _groups(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest position that links (i, j) reach, for each of n."""
+    of = np.arange(n)
+    while len(i):
+        low = np.minimum(of[i], of[j])
+        np.minimum.at(of, of[i], low)
+        np.minimum.at(of, of[j], low)
+        while (of[of] != of).any():
+            of = of[of]
+        apart = of[i] != of[j]
+        i, j = i[apart], j[apart]
+    return of
+
+
+def candidates(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (positions) that connect whatever is connected by pairs of equal key within the radius; both arrays sorted by key."""
+    n, table = len(keys), PivotTable(words)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(starts, n))
+    a, b = [], []
+    i, step = np.flatnonzero(np.repeat(size, size) <= RUN), 1
+    while len(i := i[i + step < n]) and len(i := i[keys[i] == keys[i + step]]):
+        for lo in range(0, len(i), 4096):  # what a processor's cache holds
+            part = i[lo : lo + 4096]
+            hit = part[table.near(part, part + step)]
+            a.append(hit), b.append(hit + step)
+        step += 1
+    for s, m in zip(starts[size > RUN].tolist(), size[size > RUN].tolist(), strict=True):
+        rest, queue = np.arange(s, s + m), []
+        while len(rest):  # spreads from one fingerprint to all that it reaches; those reached are held against the rest only
+            x = queue.pop() if queue else int(rest[0])
+            rest = rest[rest != x]
+            hit = table.near(rest, x)
+            a.append(np.full(len(hit), x)), b.append(rest[hit])
+            queue += rest[hit].tolist()
+            rest = np.delete(rest, hit)
+    none = np.zeros(0, np.int64)
+    of = _groups(n, np.concatenate([none, *a]), np.concatenate([none, *b]))
+    other = np.flatnonzero(of != np.arange(n))
+    return of[other], other
+
+
+def _deal_copies(masks: np.ndarray, shards: int):
+    """For each table and shard the fingerprints whose keys fall there, packed."""
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate([np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) for b in held]).view(np.uint64)
+        blocks, packed = [], []
+        for t, mask in enumerate(masks):
+            shard = _table_keys(words, mask) % np.uint64(shards)
+            by = np.argsort(shard, kind="stable")
+            at = np.searchsorted(shard[by], np.arange(shards + 1))
+            for k in range(shards):
+                if at[k] < at[k + 1]:
+                    blocks.append(t * shards + k)
+                    packed.append(words[by[at[k] : at[k + 1]]].tobytes())
+            if len(blocks) >= 8 or t + 1 == len(masks):
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(packed, pa.binary())], ["block", "words"])
+                blocks, packed = [], []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= SHARD:
+                yield from dealt(held)
+                held = []
+        if held:
+            yield from dealt(held)
+
+    return run
+
+
+def _meet_copies(masks: np.ndarray, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(block, []).append(packed)
+        for block in sorted(held):
+            words = np.frombuffer(b"".join(held.pop(block)), np.uint64).reshape(-1, COPY_FP)
+            keys = _table_keys(words, masks[block // shards])
+            by = np.argsort(keys, kind="stable")
+            words = words[by]
+            name = names(words).view(np.int64)
+            i, j = candidates(keys[by], words)
+            yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j])], ["a", "b"])
+
+    return run
+
+
+def copy_groups(fps: DataFrame, n: int) -> DataFrame:
+    """(node, root): names of the fingerprints that candidate pairs connect, of n distinct ones (columns of words)."""
+    spark = fps.sparkSession
+    masks, shards = tables_for(n), -(-n // SHARD) or 1
+    out = None
+    for lo in range(0, len(masks), DEALT):
+        some = masks[lo : lo + DEALT]
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(some) // 2_000_000)
+        dealt = fps.mapInArrow(_deal_copies(some, shards), "block long, words binary")
+        found = dealt.repartition(tasks, "block").mapInArrow(_meet_copies(some, shards), "a long, b long").distinct()
+        found = Stored(found, "copy-candidates").read()
+        free(spark)  # of the tables' shuffle
+        out = found if out is None else out.union(found)
+    return connected_components(out)
+
+
 def set_links(fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links (positions) that connect whatever is connected among non-empty sets of Jaccard similarity SIMILAR or more.
 
+    Of each set fps holds the fingerprint: a word, or a row of words.
+
     Two such sets share one of the rarest elements of each: as many as may be
     missing, and one. Sets that do so meet; the pivot table and the
     fingerprints discard pairs, and what survives is counted out. Pairs already
@@ -317,7 +513,7 @@ def set_links(fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     at[by] = np.arange(len(by))  # of each rare element of each set, its place among the element's holders
     first = np.searchsorted(of[rare][by], of[rare])
     bound = np.searchsorted(row[rare], np.arange(n + 1))
-    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int16)
+    table = PivotTable(fps.reshape(n, -1))
     part_of, met, mine = np.arange(n), np.zeros(n, bool), np.zeros(len(count), bool)
     for i in range(1, n):
         for k in range(bound[i], bound[i + 1]):
@@ -327,8 +523,7 @@ def set_links(fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             continue
         met[meet] = False
         meet = meet[100 * np.minimum(size[meet], size[i]) >= SIMILAR * np.maximum(size[meet], size[i])]
-        meet = meet[_near(table, np.full(len(meet), i), meet, RADIUS)]
-        meet = meet[np.bitwise_count(fps[meet] ^ fps[i]) <= RADIUS]
+        meet = meet[table.near(meet, i)]
         mine[of[start[i] : start[i] + size[i]]] = True
         step = 1
         while len(meet):
@@ -345,53 +540,64 @@ def set_links(fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _meet_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within runs of equal blocks; holds one run at a time."""
-
-    def linked(keys: list[int], fps: list[int], sets: list[bytes]) -> pa.RecordBatch:
-        found = set_links(np.asarray(fps, np.int64).view(np.uint64), [np.frombuffer(x, "<u4") for x in sets]) if len(keys) > 1 else []
-        pairs = [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found]
+    """In runs of equal blocks the links from each component's smallest key to its others; holds one run at a time."""
+
+    def linked(keys: list[int], fps: list[int], more: list[list[int]], sets: list[bytes]) -> pa.RecordBatch:
+        words = np.asarray([[x, *y] for x, y in zip(fps, more, strict=True)], np.int64).view(np.uint64)
+        found = set_links(words, [np.frombuffer(x, "<u4") for x in sets]) if len(keys) > 1 else []
+        order = np.argsort(np.asarray(keys, np.int64), kind="stable")
+        at = np.argsort(order)
+        i, j = at[np.asarray(found, np.int64).reshape(-1, 2)].T
+        of = _groups(len(keys), i, j)  # of places in the order of keys, so a group's smallest is its root
+        pairs = [(keys[order[of[k]]], keys[order[k]]) for k in np.flatnonzero(of != np.arange(len(keys))).tolist()]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    block, held = None, ([], [], [])
+    block, held = None, ([], [], [], [])
     for batch in batches:
         for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != block:
                 yield linked(*held)
-                block, held = b, ([], [], [])
+                block, held = b, ([], [], [], [])
             for column, x in zip(held, row, strict=True):
                 column.append(x)
     yield linked(*held)
 
 
-def similar_links(own: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct sets: rows of key, fp, bands and shingles.
+def similar_roots(own: DataFrame) -> DataFrame:
+    """(node, root) of distinct sets that links connect, the roots' own rows left out at times: rows of key, fp, more, shingles and name.
 
-    Buckets of a band are counted first; those of one member need no set, and
-    buckets of equal members are one. Larger ones than PIECE members or
-    PIECE_BYTES are cut into pieces, and every two pieces meet.
+    Fingerprints that agree on all bits of a table meet there, the pivot table
+    discards pairs, and what it leaves within the radius is a candidate. The
+    sets that candidates connect are a group; only they are shipped, each once,
+    and every link is verified. Larger groups than PIECE members or PIECE_BYTES
+    are cut into pieces, and every two pieces meet; only then are there links
+    of one component in several blocks, which have to be connected.
     """
     spark = own.sparkSession
-    band = own.select(F.explode("bands").alias("band"), "key", F.octet_length("shingles").cast("long").alias("bytes"))
-    buckets = band.groupBy("band").agg(
-        F.count("*").alias("n"), F.sum("bytes").alias("all"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
-    )
+    own = own.where(F.octet_length("shingles") > 0)
+    words = [F.col("fp"), *(F.col("more")[i].alias(f"w{i}") for i in range(COPY_FP - 1))]
+    fps = Stored(own.select(*words).distinct(), "copy-fingerprints").read()
+    roots = copy_groups(fps, fps.count()).select(F.col("node").alias("name"), "root")
+    member = own.select("key", "name", F.octet_length("shingles").cast("long").alias("bytes")).join(roots, "name", "left")
+    member = member.select("key", "bytes", F.coalesce("root", "name").alias("group"))
+    groups = member.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("all")).where("n > 1")
     pieces = F.ceil(F.greatest(F.col("n") / PIECE, F.col("all") / PIECE_BYTES)).cast("int")
-    buckets = buckets.where("n > 1").select("band", F.struct("n", "x", "y").alias("bucket"), pieces.alias("pieces"))
-    met = band.join(buckets, "band").groupBy("bucket", "key").agg(F.max("pieces").alias("pieces"), F.max("bytes").alias("bytes"))
-    stored = Stored(met, "bucket-members")
+    met = member.join(groups.select("group", pieces.alias("pieces")), "group")
+    stored = Stored(met, "group-members")
     free(spark)
     met = stored.read()
-    total = met.agg(F.sum(F.col("bytes") * F.col("pieces"))).first()[0] or 0
+    total, most = met.agg(F.sum(F.col("bytes") * F.col("pieces")), F.max("pieces")).first()
+    total = total or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PIECE_BYTES)
     piece = F.pmod(F.xxhash64("key", F.lit(2)), F.col("pieces")).cast("int")
-    met = met.join(own.select("key", "fp", "shingles"), "key").withColumn("piece", piece)
+    met = met.join(own.select("key", "fp", "more", "shingles"), "key").withColumn("piece", piece)
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    block = F.xxhash64("bucket", F.least("piece", "other"), F.greatest("piece", "other"))
-    met = met.select(block.alias("block"), "key", "fp", "shingles").repartition(tasks, "block").sortWithinPartitions("block")
+    block = F.xxhash64("group", F.least("piece", "other"), F.greatest("piece", "other"))
+    met = met.select(block.alias("block"), "key", "fp", "more", "shingles").repartition(tasks, "block").sortWithinPartitions("block")
     found = Stored(met.mapInArrow(_meet_sets, "a long, b long").distinct(), "similar-pairs").read()
     stored.drop()
     free(spark)  # of the shuffles that gathered the sets
-    return found
+    return connected_components(found) if (most or 0) > 1 else found.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,9 +605,10 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents link when the Jaccard similarity of their sets of five-word
     shingles is 0.8 or more; texts without words link with each other. Pairs
-    meet in MinHash bands, pass the pivot table and the fingerprints (within
-    RADIUS bits), and every link is verified on the sets. Equal sets are one
-    node. Rows leave a bucket as links that connect, never as all its pairs. Of
+    meet where their fingerprints agree on all bits of one of many tables (a
+    pair at 0.8 does with probability MEET), pass the pivot table, and every
+    link is verified on the sets. Equal sets are one node. Rows leave a bucket
+    as links that connect, never as all its pairs. Of
     rows that repeat both id and text one stays. No column's name clashes; an
     empty table gives an empty result.
     """
@@ -409,9 +616,9 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     version = F.xxhash64(F.col(text_col))
     rows = df.select(F.col(id_col).alias("doc_id"), version.alias("version"), sketch(F.col(text_col)).alias("s")).select("doc_id", "version", "s.*")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
-    own = Stored(rows.groupBy("key").agg(first, *[F.first(c).alias(c) for c in ("fp", "bands", "shingles")]), "distinct-sets").read()
+    own = Stored(rows.groupBy("key").agg(first, *[F.first(c).alias(c) for c in ("fp", "more", "shingles", "name")]), "distinct-sets").read()
     free(df.sparkSession)
-    roots = connected_components(similar_links(own)).withColumnRenamed("node", "key")
+    roots = similar_roots(own).withColumnRenamed("node", "key")
     stay = own.select("key", "first").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
     stay = Stored(stay.select("first.doc_id", "first.version"), "staying").read()
     same = lambda x: F.col("row")[id_col].eqNullSafe(x["doc_id"]) & (F.col("of_text") == x["version"])

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loomgraph.llm.simhash import fingerprint_links, fingerprint_of, links, near_duplicates, set_links, sketch_of
+from loomgraph.llm.simhash import PivotTable, _table_keys, candidates, copy_groups, fingerprint_links, fingerprint_of, links, meets, names, near_duplicates, set_links, sketch_of, tables_for
 from loomgraph.operators.components import connected_components
 
 
@@ -122,3 +122,74 @@ def test_set_links_connect_what_jaccard_connects():
             return {frozenset(i for i, x in enumerate(root) if x == k) for k in root}
 
         assert parts(got) == parts(want)
+
+
+def wide(r, n, most):
+    """Fingerprints of three words: loners, and clusters in which the next differs from the one before by up to `most` bits."""
+    out = []
+    while len(out) < n:
+        x = [r.getrandbits(64) for _ in range(3)]
+        for _ in range(r.choice([1, 1, 6])):
+            out.append(x)
+            x = list(x)
+            for _ in range(r.randrange(1, most)):
+                x[r.randrange(3)] ^= 1 << r.randrange(64)
+    return np.asarray(out, np.uint64)
+
+
+def test_pivot_table_of_near_copies_discards_and_loses_nothing():
+    r = random.Random(4)
+    fps = wide(r, 600, 70)
+    table = PivotTable(fps)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(fps)), np.arange(len(fps))))
+    i, j = i[i < j], j[i < j]
+    apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1)
+    bound = table.bound(i, j)
+    assert (bound <= apart).all()
+    assert (bound[apart > 80] > table.most).mean() > 0.95  # the table, not the fingerprints, rejects what is unlike
+    assert table.near(i, j).tolist() == np.flatnonzero(apart <= table.most).tolist()
+
+
+def test_candidates_connect_what_shares_a_key(monkeypatch):
+    import loomgraph.llm.simhash as s
+
+    r = random.Random(5)
+    fps = wide(r, 400, 40)
+    keys = np.sort(np.asarray([r.choice([1, 1, 1, 2, 3, 4]) for _ in fps], np.uint64))
+    near = lambda i, j: keys[i] == keys[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= PivotTable(fps[:2]).most
+    root = list(range(len(fps)))
+    for j in range(len(fps)):
+        for i in range(j):
+            if root[i] != root[j] and near(i, j):
+                root = [root[i] if x == root[j] else x for x in root]
+    want = {frozenset(i for i, x in enumerate(root) if x == k) for k in root}
+    for run in (10**6, 3):  # pair by pair, and spreading
+        monkeypatch.setattr(s, "RUN", run)
+        of = np.arange(len(fps))
+        i, j = candidates(keys, fps)
+        of[j] = i
+        assert {frozenset(np.flatnonzero(of == k).tolist()) for k in of.tolist()} == want
+
+
+def test_near_copies_are_candidates_by_fingerprint_alone(spark, monkeypatch):
+    import loomgraph.llm.simhash as s
+
+    monkeypatch.setattr(s, "SHARD", 100)
+    monkeypatch.setattr(s, "DEALT", 100)  # in two rounds
+    assert len(tables_for(1000)) == 160 and meets(14, 160) >= 0.9996
+    r = random.Random(6)
+    rows = []
+    for _ in range(60):
+        words = [str(r.randrange(10**6)) for _ in range(150)]
+        copy = list(words)
+        for at in (20, 60, 100):  # 15 shingles of 146 differ: Jaccard 0.81
+            copy[at] = "x"
+        rows += [words, copy]
+    got = [sketch_of(" ".join(x).encode()) for x in rows]
+    fps = np.asarray([[x[1], *x[2]] for x in got], np.int64)
+    df = spark.createDataFrame(fps.tolist(), "fp long, w0 long, w1 long")
+    root = {x.node: x.root for x in copy_groups(df, len(rows)).collect()}
+    assert [x[4] for x in got] == names(fps.view(np.uint64)).view(np.int64).tolist()
+    assert all(root[got[k][4]] == root[got[k + 1][4]] for k in range(0, len(rows), 2)) and len(set(root.values())) == 60
+    masks = tables_for(1000)
+    assert all(len(set(_table_keys(fps.view(np.uint64), m).tolist())) > 60 for m in masks)  # no table holds them together by itself
