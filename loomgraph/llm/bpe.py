@@ -14,6 +14,7 @@ Ids travel packed as little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +26,7 @@ import numpy as np
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the two libraries' tables of letters, digits and spaces are the same for good.
 SETTLED = "ɏ"
+_BEYOND = re.compile(f"[^\0-{SETTLED}]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,13 +77,13 @@ class Codec:
     @staticmethod
     def _runs(text: str) -> Iterator[tuple[str, bool]]:
         """Parts of a text that meet at safe boundaries, and whether each has letters beyond those the two libraries agree on."""
-        if text.isascii() or max(text) <= SETTLED:
+        if text.isascii() or not _BEYOND.search(text):
             yield text, False
             return
         lo, begin, kind = 0, 0, None
         while lo < len(text):  # neighbouring segments of a kind stay together
             hi = safe_cut(text, lo + 1)
-            odd = max(text[lo:hi]) > SETTLED
+            odd = _BEYOND.search(text, lo, hi) is not None
             if kind is not None and odd != kind:
                 yield text[begin:lo], kind
                 begin = lo

@@ -71,9 +71,12 @@ class Index:
         self.n = len(parts)
         doc, token, tf, sizes = terms_of(parts)
         weight = corpus.weights(doc, token, tf, sizes)
-        self.terms, term, df = np.unique(token, return_inverse=True, return_counts=True)
+        df = np.bincount(token)
+        self.terms = np.flatnonzero(df).astype(np.uint32)
+        place, df = np.cumsum(df > 0) - 1, df[self.terms]
+        term = place[token].astype(np.uint16 if len(self.terms) <= 1 << 16 else np.int64)  # short numbers sort by radix
         # by document: its terms, best first; by term: its documents
-        best = np.lexsort((term, -weight, doc))
+        best = np.argsort((doc.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - weight.astype(np.float32).view(np.uint32)), kind="stable")  # weights are positive, so their bits sort as they do
         starts = np.searchsorted(doc, np.arange(self.n + 1))
         self.query = [term[best[a : min(a + QUERY_TERMS, b)]].tolist() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         by_term = np.argsort(term, kind="stable")

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 
 from loomgraph.llm.bpe import codec
-from loomgraph.llm.packing import Corpus, Index, pack, pack_documents
+from loomgraph.llm.packing import QUERY_TERMS, Corpus, Index, pack, pack_documents, terms_of
 
 
 
@@ -50,6 +50,23 @@ def test_index_equals_brute_force_bm25():
         assert np.allclose(index.score, want, atol=1e-4)
 
 
+def test_index_order_equals_a_sort_by_document_weight_and_term():
+    r = np.random.default_rng(6)
+    for vocabulary in (12, 200_000):
+        parts = [r.integers(0, vocabulary, r.integers(0, 90)).astype(np.uint32) for _ in range(1500)]
+        corpus = corpus_of(parts)
+        index = Index(parts, corpus)
+        doc, token, tf, sizes = terms_of(parts)
+        weight = corpus.weights(doc, token, tf, sizes)
+        terms, term = np.unique(token, return_inverse=True)
+        best = np.lexsort((term, -weight, doc))
+        assert index.terms.tolist() == terms.tolist()
+        assert index.query == [term[best[doc[best] == i][:QUERY_TERMS]].tolist() for i in range(len(parts))]
+        by = np.argsort(term, kind="stable")
+        assert (index.docs == doc[by]).all() and (index.weights == weight[by]).all()
+        assert index.at.tolist() == np.searchsorted(term[by], np.arange(len(terms) + 1)).tolist()
+
+
 def test_neighbours_are_alike():
     a = [np.arange(10 * k, 10 * k + 10, dtype=np.uint32) for k in range(5)]
     parts = [a[i % 5] for i in range(30)]
