@@ -47,8 +47,8 @@ MEET = 0.9996
 BYTE_PIVOTS = (0b00000000, 0b00001111, 0b00110011, 0b01010101, 0b01101001)
 #: Runs of a table up to this length are compared pair by pair, vectorised over all of them.
 RUN = 256
-#: Fingerprints that one shard of a table holds; tables that are dealt at once.
-SHARD, DEALT = 1 << 17, 160
+#: Fingerprints that one shard of a table holds; tables that are dealt at once, the first two times fewer.
+SHARD, DEALT, FIRST = 1 << 17, 160, (2, 14)
 #: Reference fingerprints of the table.
 PIVOTS = 16
 #: Runs up to this length are compared pair by pair, vectorised over all of them.
@@ -393,40 +393,55 @@ def _groups(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return of
 
 
-def candidates(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (positions) that connect whatever is connected by pairs of equal key within the radius; both arrays sorted by key."""
+def candidates(keys: np.ndarray, words: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of parts that connect whatever is connected by pairs of equal key within the radius; all arrays sorted by key.
+
+    part numbers what is connected already, from 0; without it each position is
+    a part. Positions of one part are not held against each other. A pair is a
+    part and the smallest that it reaches.
+    """
     n, table = len(keys), PivotTable(words)
+    part = np.arange(n) if part is None else part
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(starts, n))
     a, b = [], []
     i, step = np.flatnonzero(np.repeat(size, size) <= RUN), 1
     while len(i := i[i + step < n]) and len(i := i[keys[i] == keys[i + step]]):
-        for lo in range(0, len(i), 4096):  # what a processor's cache holds
-            part = i[lo : lo + 4096]
-            hit = part[table.near(part, part + step)]
+        apart = i[part[i] != part[i + step]]
+        for lo in range(0, len(apart), 4096):  # what a processor's cache holds
+            some = apart[lo : lo + 4096]
+            hit = some[table.near(some, some + step)]
             a.append(hit), b.append(hit + step)
         step += 1
     for s, m in zip(starts[size > RUN].tolist(), size[size > RUN].tolist(), strict=True):
         rest, queue = np.arange(s, s + m), []
-        while len(rest):  # spreads from one fingerprint to all that it reaches; those reached are held against the rest only
-            x = queue.pop() if queue else int(rest[0])
-            rest = rest[rest != x]
-            hit = table.near(rest, x)
-            a.append(np.full(len(hit), x)), b.append(rest[hit])
-            queue += rest[hit].tolist()
-            rest = np.delete(rest, hit)
-    none = np.zeros(0, np.int64)
-    of = _groups(n, np.concatenate([none, *a]), np.concatenate([none, *b]))
-    other = np.flatnonzero(of != np.arange(n))
+        while len(rest):  # spreads from one part to all that it reaches; those reached are held against the rest only
+            if not queue:
+                reached = part[rest] == part[rest[0]]
+            else:
+                x = queue.pop()
+                hit = rest[table.near(rest, x)]
+                if not len(hit):
+                    continue
+                a.append(np.full(len(hit), x)), b.append(hit)
+                reached = np.isin(part[rest], part[hit])
+            queue += rest[reached].tolist()
+            rest = rest[~reached]
+    none, parts = np.zeros(0, np.int64), int(part.max(initial=-1)) + 1
+    of = _groups(parts, part[np.concatenate([none, *a])], part[np.concatenate([none, *b])])
+    other = np.flatnonzero(of != np.arange(parts))
     return of[other], other
 
 
 def _deal_copies(masks: np.ndarray, shards: int):
-    """For each table and shard the fingerprints whose keys fall there, packed."""
+    """For each table and shard the fingerprints whose keys fall there, packed; those that have a root come first, with it."""
 
     def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate([np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) for b in held]).view(np.uint64)
-        blocks, packed = [], []
+        words = np.concatenate([np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]], axis=1) for b in held]).view(np.uint64)
+        root = pa.chunked_array([b.columns[-1] for b in held])
+        single = root.is_null().to_numpy()
+        words, root = words[np.argsort(single, kind="stable")], root.drop_null().to_numpy()
+        blocks, packed, roots = [], [], []
         for t, mask in enumerate(masks):
             shard = _table_keys(words, mask) % np.uint64(shards)
             by = np.argsort(shard, kind="stable")
@@ -434,10 +449,12 @@ def _deal_copies(masks: np.ndarray, shards: int):
             for k in range(shards):
                 if at[k] < at[k + 1]:
                     blocks.append(t * shards + k)
-                    packed.append(words[by[at[k] : at[k + 1]]].tobytes())
+                    mine = by[at[k] : at[k + 1]]
+                    packed.append(words[mine].tobytes())
+                    roots.append(root[mine[mine < len(root)]].tobytes())
             if len(blocks) >= 8 or t + 1 == len(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(packed, pa.binary())], ["block", "words"])
-                blocks, packed = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(packed, pa.binary()), pa.array(roots, pa.binary())], ["block", "words", "roots"])
+                blocks, packed, roots = [], [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -455,36 +472,62 @@ def _deal_copies(masks: np.ndarray, shards: int):
 
 def _meet_copies(masks: np.ndarray, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
-            for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(block, []).append(packed)
         for block in sorted(held):
-            words = np.frombuffer(b"".join(held.pop(block)), np.uint64).reshape(-1, COPY_FP)
+            packed, roots = zip(*held.pop(block), strict=True)
+            words = np.frombuffer(b"".join(packed), np.uint64).reshape(-1, COPY_FP)
+            root = names(words).view(np.int64)
+            start = 0
+            for x, known in zip(packed, roots, strict=True):
+                root[start : start + len(known) // 8] = np.frombuffer(known, np.int64)
+                start += len(x) // (8 * COPY_FP)
             keys = _table_keys(words, masks[block // shards])
             by = np.argsort(keys, kind="stable")
-            words = words[by]
-            name = names(words).view(np.int64)
-            i, j = candidates(keys[by], words)
-            yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j])], ["a", "b"])
+            node, part = np.unique(root[by], return_inverse=True)
+            i, j = candidates(keys[by], words[by], part)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names(words).view(np.int64))], [*batch.schema.names, "name"])
+
+
 def copy_groups(fps: DataFrame, n: int) -> DataFrame:
-    """(node, root): names of the fingerprints that candidate pairs connect, of n distinct ones (columns of words)."""
+    """(node, root): names of the fingerprints that candidate pairs connect, of n distinct ones (columns of words).
+
+    Tables are dealt a few first. What they connect goes into the next by its
+    root, so that those yield only links between groups, each the same from
+    every table that has it: a large group's links number about its members,
+    not its members times the tables.
+    """
     spark = fps.sparkSession
-    masks, shards = tables_for(n), -(-n // SHARD) or 1
-    out = None
-    for lo in range(0, len(masks), DEALT):
-        some = masks[lo : lo + DEALT]
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(some) // 2_000_000)
-        dealt = fps.mapInArrow(_deal_copies(some, shards), "block long, words binary")
+    masks, partitions = tables_for(n), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = fps.mapInArrow(_named, ", ".join(f"{c} long" for c in (*fps.columns, "name")))
+    groups, lo, few = None, 0, list(FIRST)
+    while lo < len(masks):
+        some = masks[lo : lo + (few.pop(0) if few else DEALT)]
+        lo += len(some)
+        shards = max(-(-n // SHARD), -(-partitions // len(some)))
+        tasks = max(partitions, n * len(some) // 2_000_000)
+        if groups is None:
+            rows = fps.withColumn("root", F.lit(None).cast("long"))
+        else:
+            rows = named.join(groups.withColumnRenamed("node", "name"), "name", "left").select(*fps.columns, "root")
+        dealt = rows.mapInArrow(_deal_copies(some, shards), "block long, words binary, roots binary")
         found = dealt.repartition(tasks, "block").mapInArrow(_meet_copies(some, shards), "a long, b long").distinct()
         found = Stored(found, "copy-candidates").read()
         free(spark)  # of the tables' shuffle
-        out = found if out is None else out.union(found)
-    return connected_components(out)
+        if groups is None or not found.isEmpty():
+            known = found if groups is None else found.union(groups.where("node <> root").select("root", "node"))
+            groups = Stored(connected_components(known), "copy-groups").read()
+    return groups
 
 
 def set_links(fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:

@@ -193,3 +193,51 @@ def test_near_copies_are_candidates_by_fingerprint_alone(spark, monkeypatch):
     assert all(root[got[k][4]] == root[got[k + 1][4]] for k in range(0, len(rows), 2)) and len(set(root.values())) == 60
     masks = tables_for(1000)
     assert all(len(set(_table_keys(fps.view(np.uint64), m).tolist())) > 60 for m in masks)  # no table holds them together by itself
+
+
+def test_a_large_group_of_near_copies_yields_links_by_members_not_by_tables(spark, monkeypatch):
+    import loomgraph.llm.simhash as s
+
+    r = random.Random(7)
+    words = [str(r.randrange(10**6)) for _ in range(100)]
+    texts = []
+    for _ in range(400):  # one dense group
+        copy = list(words)
+        for _ in range(r.randrange(1, 4)):
+            copy[r.randrange(100)] = str(r.randrange(10**6))
+        texts.append(copy)
+    for _ in range(40):  # chains, each text near the one before only, and loners
+        copy = [str(r.randrange(10**6)) for _ in range(100)]
+        for _ in range(r.choice([1, 1, 6])):
+            texts.append(list(copy))
+            for _ in range(3):
+                copy[r.randrange(100)] = str(r.randrange(10**6))
+    fps = np.unique(np.asarray([[x[1], *x[2]] for x in (sketch_of(" ".join(t).encode()) for t in texts)], np.int64), axis=0)
+    wide_fps, n = fps.view(np.uint64), len(fps)
+    i, j = np.triu_indices(n, 1)
+    near = np.bitwise_count(wide_fps[i] ^ wide_fps[j]).sum(axis=1) <= PivotTable(wide_fps[:2]).most
+    met = np.zeros(len(i), bool)
+    for m in tables_for(n):
+        keys = _table_keys(wide_fps, m)
+        met |= keys[i] == keys[j]
+    root = np.arange(n)
+    for x, y in zip(i[near & met].tolist(), j[near & met].tolist(), strict=True):
+        if root[x] != root[y]:
+            root[root == root[y]] = root[x]
+    name = names(wide_fps).view(np.int64)
+    want = {frozenset(name[root == k].tolist()) for k in set(root.tolist())}
+
+    entered = []
+
+    def counted(edges):
+        entered.append(edges.count())
+        return connected_components(edges)
+
+    monkeypatch.setattr(s, "connected_components", counted)
+    for run in (256, 3):  # pair by pair, and spreading
+        monkeypatch.setattr(s, "RUN", run)
+        entered.clear()
+        got = {x.node: x.root for x in copy_groups(spark.createDataFrame(fps.tolist(), "fp long, w0 long, w1 long"), n).collect()}
+        assert {frozenset(k for k, v in got.items() if v == x) for x in got.values()} == {g for g in want if len(g) > 1}
+        assert all(v == min(k for k, w in got.items() if w == v) for v in set(got.values()))
+        assert max(entered) <= 3 * n
