@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from loomgraph.llm import sql
 from loomgraph.llm.bpe_codec import encode_decode
 from loomgraph.llm.cover_tree import top_inner_products
+from loomgraph.llm.filter_audit import filter_audit
 from loomgraph.llm.language_id import language_id
 from loomgraph.llm.lm_scoring import lm_scores
+from loomgraph.llm.merkle import merkle_manifest
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality_rules import quality_rules
+from loomgraph.llm.sharding import shards
 from loomgraph.llm.simhash import near_duplicates
 from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.token_counts import token_counts
@@ -95,6 +98,24 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(table(spark, d, "documents"), public_tokenizers.path(BPE_50K))
 
 
+def op11_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What five filters remove from every source, in all their orders."""
+    ship(spark)
+    return filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's leaf, path digest and fold; of ids whose crc32 is even the text is folded without newlines."""
+    ship(spark)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle_manifest(table(spark, d, "documents"), tampered)
+
+
+def op13_sharding(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    return shards(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -106,10 +127,16 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.substring_dedup(),
     "op7_cover_tree": sql.top_inner_products(),
     "op9_quality_rules": sql.quality_rules(),
+    "op11_filter_audit": sql.filter_audit(),
+    "op12_merkle_manifest": sql.merkle_manifest(),
+    "op13_sharding": sql.sharding(),
 }
