@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ KEPT = {
     "js": ("if", "else", "for", "while", "do", "switch", "case", "default", "break", "continue", "return", "function", "class", "new", "typeof", "instanceof", "const", "let", "var", "of", "in", "try", "catch", "finally", "throw", "await", "async", "yield", "extends", "super", "this", "null", "true", "false", "void", "delete", "import", "export", "from", "static", "get", "set"),
     "py": ("if", "elif", "else", "for", "while", "def", "class", "return", "try", "except", "finally", "raise", "with", "as", "import", "from", "and", "or", "not", "in", "is", "lambda", "pass", "yield", "await", "async", "None", "True", "False", "global", "nonlocal", "del", "assert"),
 }
-# Tokens of a skeleton, longest operators first.
-SKELETON = r"""`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\d+\.?\d*|[A-Za-z_$][A-Za-z0-9_$]*|===|!==|>>>|<<=|>>=|\*\*|\.\.\.|&&|\|\||\?\?|\?\.|=>|==|!=|<=|>=|\+\+|--|\+=|-=|\*=|/=|[-+*/%=<>!&|^~?:;,.(){}\[\]]"""
-# Strings in each kind of quotes, comments.
+# Tokens of a skeleton.
+SKELETON = r"""`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\d+\.?\d*|[A-Za-z_$][\w$]*|===|!==|>>>|<<=|>>=|\*\*|\.\.\.|&&|\|\||\?\?|\?\.|=>|==|!=|<=|>=|\+\+|--|\+=|-=|\*=|\/=|&&|[-+*/%=<>!&|^~?:;,.(){}\[\]]"""
+# Comments, line comments going first, so that a block comment which one of them cuts off stays open; tokens of a body.
+LINE_COMMENT, BLOCK_COMMENT = r"\/\/[^\n]*", r"\/\*[\s\S]*?\*\/"
+TOKENS = r"[a-z_$][\w$]*|[{}();=><!+\-*/%]"
+# Strings by kind of quotes, one alternative each: DuckDB's patterns, which the results are held against, know no back-references.
 STRINGS = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`"""
-COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
-TOKENS = r"[a-z_$][a-z0-9_$]*|[{}();=><!+\-*/%]"
 SHINGLE = 3
 BODY_LINES = 400
 
@@ -26,9 +29,13 @@ def capped(body: Column, lines: int = BODY_LINES) -> Column:
     return F.array_join(F.slice(F.split(body, "\n"), 1, lines), "\n")
 
 
+def without_comments(body: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(body, LINE_COMMENT, " "), BLOCK_COMMENT, " ")
+
+
 def tokens(body: Column) -> Column:
     """M1: identifiers and operators in lower case; comments gone, strings as one word, keywords left out."""
-    clean = F.lower(F.regexp_replace(F.regexp_replace(body, COMMENTS, " "), f"(?s){STRINGS}", " STR "))
+    clean = F.lower(F.regexp_replace(without_comments(body), f"(?s){STRINGS}", " STR "))
     return F.filter(F.regexp_extract_all(clean, F.lit(TOKENS), F.lit(0)), lambda t: ~t.isin(*DROPPED))
 
 
@@ -41,7 +48,7 @@ def shingles(words: Column, k: int = SHINGLE) -> Column:
 
 def skeleton(body: Column, language: str = "js") -> Column:
     """M3: tokens with names as ID, numbers as NUM, strings as STR; keywords and operators stay."""
-    clean = F.regexp_replace(body, r"#[^\n]*" if language == "py" else COMMENTS, " ")
+    clean = F.regexp_replace(body, r"#[^\n]*", " ") if language == "py" else without_comments(body)
     kept = KEPT[language]
     first = lambda t: F.substring(t, 1, 1)
     word = lambda t: (
@@ -76,8 +83,10 @@ def stem(word: Column) -> Column:
 
 def complexity(body: Column, language: str = "js") -> Column:
     """1 and the decisions outside comments and strings."""
-    comments = r"'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"|#[^\n]*" if language == "py" else COMMENTS
-    s = F.regexp_replace(F.regexp_replace(body, comments, " "), STRINGS, " ")
+    clean = without_comments(body)
+    if language == "py":
+        clean = reduce(lambda b, p: F.regexp_replace(b, p, " "), (r"'''[\s\S]*?'''", r'"""[\s\S]*?"""', r"#[^\n]*"), body)
+    s = F.regexp_replace(clean, STRINGS, " ")
     if language == "py":
         return 1 + F.regexp_count(s, F.lit(r"\b(?:if|elif|for|while|except|and|or)\b"))
     rest = F.regexp_replace(s, r"\?\?|\?\.", " ")
@@ -86,7 +95,7 @@ def complexity(body: Column, language: str = "js") -> Column:
 
 def nesting(body: Column) -> Column:
     """Deepest nesting of braces outside comments and strings; a fold over the braces alone."""
-    s = F.regexp_replace(F.regexp_replace(body, COMMENTS, " "), STRINGS, " ")
+    s = F.regexp_replace(without_comments(body), STRINGS, " ")
     zero = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
     step = lambda a, c: F.struct(F.when(c == "{", a["d"] + 1).otherwise(F.greatest(a["d"] - 1, F.lit(0))).alias("d"), F.greatest(a["m"], F.when(c == "{", a["d"] + 1).otherwise(F.lit(0))).alias("m"))
     return F.aggregate(F.regexp_extract_all(s, F.lit("[{}]"), F.lit(0)), zero, step, lambda a: a["m"])

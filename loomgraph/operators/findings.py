@@ -42,13 +42,17 @@ def folded(pairs: DataFrame) -> DataFrame:
 
 
 def structural_confidence(members: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """M9: for groups (group, id, loc) whose bodies cannot be read: 2 points for a callee that all share, 1 for sizes alike (coefficient of variation below 0.4)."""
-    n = members.groupBy("group").agg(F.countDistinct("id").alias("n"), F.coalesce(F.stddev_pop("loc") / F.avg("loc"), F.lit(0.0)).alias("cv"))
-    calls = members.join(edges.where("kind = 'call'").select(F.col("src").alias("id"), "dst"), "id").join(labels.select(F.col("id").alias("dst"), "label"), "dst")
-    shared = calls.groupBy("group", "label").agg(F.countDistinct("id").alias("k")).join(n, "group").where("k = n").groupBy("group").agg(F.count("*").alias("shared"))
+    """M9: for groups (group, id, loc) whose bodies cannot be read: 2 points for a callee's label that all members which call anything share, if they are two at least; 1 for sizes alike (coefficient of variation below 0.4).
+
+    high from 2 points on, medium at 1, else low.
+    """
+    n = members.groupBy("group").agg(F.countDistinct("id").alias("n"), F.when(F.avg("loc") != 0, F.stddev_pop("loc") / F.avg("loc")).otherwise(0.0).alias("cv"))
+    calls = members.join(edges.where("kind = 'call'").select(F.col("src").alias("id"), "dst"), "id").join(labels.select(F.col("id").alias("dst"), "label"), "dst").select("group", "id", "label").distinct()
+    callers = calls.groupBy("group").agg(F.countDistinct("id").alias("callers")).where("callers >= 2")
+    shared = calls.groupBy("group", "label").agg(F.count("*").alias("k")).join(callers, "group").where("k = callers").groupBy("group").agg(F.count("*").alias("shared"))
     score = F.when(F.col("shared") > 0, 2).otherwise(0) + F.when(F.col("cv") < 0.4, 1).otherwise(0)
     out = n.join(shared, "group", "left").withColumn("shared", F.coalesce("shared", F.lit(0))).withColumn("score", score)
-    return out.select("group", "n", "shared", F.round("cv", 9).alias("cv"), "score", F.when(F.col("score") >= 3, "high").when(F.col("score") == 2, "medium").otherwise("low").alias("confidence"))
+    return out.select("group", "n", "shared", F.round("cv", 9).alias("cv"), "score", F.when(F.col("score") >= 2, "high").when(F.col("score") == 1, "medium").otherwise("low").alias("confidence"))
 
 
 def call_windows(callers: DataFrame, labels: DataFrame, around: int = 3, most: int = 8) -> DataFrame:
@@ -79,17 +83,75 @@ def context_pack(nodes: DataFrame, edges: DataFrame, ids: DataFrame, bodies: Dat
     return span(ids, "target").union(windows).union(silent).union(span(neighbours(edges, ids, "call", False), "callee")).union(blast)
 
 
-def reliance(sites: DataFrame) -> DataFrame:
-    """How callers rely on each symbol. sites: (id, label, code): lines that call it by its label.
+def _escaped(label: Column) -> Column:
+    return F.regexp_replace(label, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def argument_count(call: Column) -> Column:
+    """Arguments of the call whose bracket begins the text: commas at the top level and one, 0 where nothing but strings, brackets and space stands there; null if it does not end."""
+    start = F.struct(*[F.lit(v).alias(k) for k, v in (("depth", 0), ("commas", 0), ("some", False), ("quote", ""), ("last", ""), ("n", -1))])
+    depth, over = (lambda a: a["depth"]), (lambda a: a["n"] >= 0)
+
+    def step(a: Column, c: Column) -> Column:
+        quoted, opens, shuts = a["quote"] != "", c.isin("(", "[", "{"), c.isin(")", "]", "}")
+        plain = ~quoted & ~c.isin("'", '"', "`")
+        now = F.when(plain & opens, depth(a) + 1).when(plain & shuts, depth(a) - 1).otherwise(depth(a))
+        top = plain & ~opens & ~shuts & (depth(a) == 1)
+        quote = F.when(~quoted & ~plain, c).when(quoted & (c == a["quote"]) & (a["last"] != "\\"), "").otherwise(a["quote"])
+        n = F.when(plain & shuts & (now == 0), F.when(a["some"], a["commas"] + 1).otherwise(0)).otherwise(-1)
+        new = F.struct(now.alias("depth"), (a["commas"] + F.when(top & (c == ","), 1).otherwise(0)).alias("commas"), (a["some"] | (top & (c != ",") & ~c.rlike(r"\s"))).alias("some"), quote.alias("quote"), c.alias("last"), n.alias("n"))
+        return F.when(over(a), a).otherwise(new)
+
+    n = F.aggregate(F.split(call, ""), start, step, lambda a: a["n"])
+    return F.when(n >= 0, n)
 
-    Counts of sites, of those that await it, take its result apart, test it for
-    null, or stand in a try; the fewest and most arguments.
+
+def reliance(callers: DataFrame, most: int | None = None) -> DataFrame:
+    """How callers rely on each symbol. callers: (id, label, caller, text), a symbol's callers with their bodies.
+
+    Read off every line that calls the label, line comments aside: sites; how
+    many await that call (or chain then, catch or finally); fields taken off
+    its result, by name; the fewest and most arguments of calls that end on
+    the line; sites inside a try of the same body or with catch chained on;
+    sites that test the result for null. A call that spans lines counts
+    without arguments. Symbols no line calls have no row. most: look at so
+    many sites of a symbol, in the order of callers and lines; None: at all.
     """
-    call = F.concat(F.lit(r"\b"), F.col("label"), F.lit(r"\s*\(([^()]*)\)"))
-    args = F.trim(F.call_function("regexp_extract", F.col("code"), call, F.lit(1)))
-    of = sites.where(F.regexp_like("code", call)).withColumn("args", F.when(args == "", 0).otherwise(F.size(F.split(args, ","))))
-    says = lambda pattern: F.count_if(F.regexp_like("code", F.lit(pattern)))
-    return of.groupBy("id").agg(
-        F.count("*").alias("n_sites"), says(r"\bawait\b").alias("awaited"), says(r"(?:const|let|var)\s*[\{\[]").alias("taken_apart"),
-        says(r"\?\.|\?\?|[=!]==?\s*null\b").alias("null_checked"), says(r"\btry\b|\.catch\(").alias("guarded"), F.min("args").alias("least_args"), F.max("args").alias("most_args"),
+    label = _escaped(F.col("label"))
+    pattern = lambda before, after: F.concat(F.lit(before), label, F.lit(after))
+    call, closed = r"\s*\(", r"\s*\([^()]*\)"
+    body = Window.partitionBy("id", "caller").orderBy("line")
+    lines = callers.select("id", "label", "caller", F.posexplode(F.split("text", "\n")).alias("line", "code")).withColumn("code", F.regexp_replace("code", r"(^|[^:])\/\/.*$", "$1"))
+    step = F.regexp_count("code", F.lit(r"\btry\s*\{")) - F.regexp_count("code", F.lit(r"\}\s*(?:catch|finally)\b"))
+    lines = lines.withColumn("sum", F.sum(step).over(body)).withColumn("low", F.least(F.min("sum").over(body), F.lit(0)))
+    lines = lines.withColumn("tries", F.coalesce(F.lag(F.col("sum") - F.col("low")).over(body), F.lit(0)))  # opened and not closed before this line, never below 0
+    says = lambda *p: F.regexp_like("code", pattern(*p))
+    sites = lines.where(says(r"\b", call))
+    if most is not None:
+        sites = sites.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("caller", "line"))).where(F.col("r") <= most)
+    taken = pattern(r"(?:const|let|var)\s*\{([^}]*)\}\s*=\s*(?:await\s+)?[\w.$]*\b", call)
+    names = F.transform(F.split(F.regexp_extract_all("code", taken, F.lit(1))[0], ","), lambda x: F.trim(F.split(F.trim(x), "[:=]")[0]))
+    member = F.get(F.regexp_extract_all("code", pattern(r"\b", closed + r"\s*\.(\w+)"), F.lit(1)), 0)
+    apart, chained = F.regexp_like("code", taken), F.coalesce(member.isin("then", "catch", "finally"), F.lit(False))
+    fields = F.when(apart, F.filter(names, lambda x: (x != "") & ~x.startswith("..."))).when(member.isNotNull() & ~chained, F.array(member)).otherwise(F.array().cast("array<string>"))
+    first = F.regexp_instr("code", pattern(r"\b", call))
+    args = argument_count(F.regexp_replace(F.substring(F.col("code"), first, F.length("code")), r"^[^(]*", ""))
+    null = says(r"\b", closed + r"\s*\?\.") | says(r"\b", closed + r"\s*\?\?") | says(r"\b", closed + r"\s*[!=]==?\s*(?:null|undefined)") | says(r"!\s*[\w.$]*\b", call)
+    return sites.groupBy("id").agg(
+        F.count("*").alias("n_sites"), F.count_if(says(r"\bawait\s+[\w.$]*\b", call) | (~apart & chained)).alias("awaited"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(fields)))), ",").alias("fields"), F.min(args).alias("least_args"), F.max(args).alias("most_args"),
+        F.count_if((F.col("tries") > 0) | says(r"\b", closed + r"\s*\.catch\s*\(")).alias("handles_errors"), F.count_if(null).alias("null_checked"),
     )
+
+
+#: Array methods that write to their array.
+MUTATING = ("push", "pop", "shift", "unshift", "splice", "sort", "reverse", "fill", "copyWithin")
+
+
+def mutated_parameters(symbols: DataFrame) -> DataFrame:
+    """(id, param) for the parameters that a symbol's body writes through: a field or element set, Object.assign, a mutating method. symbols: (id, params array<string>, text)."""
+    lines = symbols.select("id", F.explode("params").alias("param"), "text").withColumn("line", F.explode(F.split("text", "\n"))).withColumn("line", F.regexp_replace("line", r"(^|[^:])\/\/.*$", "$1"))
+    p = _escaped(F.col("param"))
+    says = lambda before, after: F.regexp_like("line", F.concat(F.lit(before), p, F.lit(after)))
+    hit = says(r"\b", r"\s*(?:\.[\w$]+|\[[^\]]+\])\s*[+\-*/]?=(?!=)") | says(r"Object\.assign\(\s*", r"\b") | says(r"\b", rf"\s*(?:\.[\w$]+)*\.(?:{'|'.join(MUTATING)})\s*\(")
+    return lines.where(hit).select("id", "param").distinct()

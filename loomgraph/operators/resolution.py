@@ -117,11 +117,20 @@ def append_edges(edges: DataFrame, more: DataFrame, nodes: DataFrame, keys: tupl
     return edges.unionByName(new.select(edges.columns))
 
 
-def declarations_out(nodes: DataFrame, misc: str = "misc") -> DataFrame:
-    """Nodes that take part in findings: no modules, nothing from declaration files; an absent or catch-all domain is the file's first directory."""
-    top = F.when(F.instr("file", "/") > 0, F.substring_index("file", "/", 1)).otherwise("(root)")
-    named = F.col("domain").isNotNull() & ~F.lower("domain").isin(misc, "")
-    return nodes.where(~F.col("file").endswith(".d.ts") & (F.col("kind") != "module")).withColumn("domain", F.when(named, F.col("domain")).otherwise(top))
+# Fixed value: a domain whose name holds one of these is a catch-all.
+CATCH_ALL = r"(?i)misc|loose|unassigned"
+
+
+def top_dir(file: Column) -> Column:
+    """A file's first directory; (root) where the first part is a file's name."""
+    first = F.substring_index(file, "/", 1)
+    return F.when(first.rlike(r"\.[^.]+$"), "(root)").otherwise(first)
+
+
+def declarations_out(nodes: DataFrame) -> DataFrame:
+    """Nodes that take part in findings: no modules, nothing from declaration files; an absent, empty or catch-all domain is the file's first directory."""
+    named = F.col("domain").isNotNull() & (F.col("domain") != "") & ~F.col("domain").rlike(CATCH_ALL)
+    return nodes.where(~F.col("file").endswith(".d.ts") & (F.col("kind") != "module")).withColumn("domain", F.when(named, F.col("domain")).otherwise(top_dir(F.col("file"))))
 
 
 #: Columns that a page about the graph does not show.

@@ -73,13 +73,21 @@ def x27_append_edges(spark, d):
     return resolution.append_edges(e, turned.union(e), n)
 
 
+#: Lines of code around a call of S, by number.
+CALL_FORMS = (
+    "const { a, b: c, ...rest } = await S(x, y);", "if (S(x) === null) return;", "try {", "S(g(x), [1, 2]);", "} catch (e) {", "S(a, b, c).catch(stop);",
+    "// S(old)", "let v = S('a, b')?.r;", "y = S(z).total + 1;", "if (!S()) stop();", "S(", "w = S(k) ?? d;",
+)
+
+
 def x28_reliance(spark, d):
-    n = F.col("l_linenumber")
-    code = (
-        F.when(n == 1, "const { a } = await fn(x, y);").when(n == 2, "if (fn(x) === null) return;").when(n == 3, "try { fn() } catch (e) {}")
-        .when(n == 4, "fn(a, b, c).catch(stop);").when(n == 5, "other(1);").otherwise("let [q] = fn(z)?.r;")
-    )
-    return findings.reliance(table(spark, d, "lineitem").select(_name("p", "l_partkey").alias("id"), F.lit("fn").alias("label"), code.alias("code")))
+    """Orders as bodies, a line of code for each of their lines; symbols are called by the lines of their suppliers."""
+    label = F.concat(F.lit("f"), (F.col("l_suppkey") % 7).cast("string"))
+    form = F.element_at(F.array(*map(F.lit, CALL_FORMS)), (F.col("l_partkey") % len(CALL_FORMS) + 1).cast("int"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.replace(form, F.lit("S"), label).alias("code"))
+    bodies = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.collect_set(label).alias("labels"))
+    callers = bodies.select(F.explode("labels").alias("label"), _name("o", "l_orderkey").alias("caller"), F.array_join("lines.code", "\n").alias("text"))
+    return findings.reliance(callers.select(F.col("label").alias("id"), "label", "caller", "text"))
 
 
 def x10_languages(spark, d):
@@ -93,8 +101,8 @@ def x10_languages(spark, d):
 def p7_declarations(spark, d):
     k = F.col("p_partkey")
     nodes = table(spark, d, "part").select(
-        k.alias("id"), F.concat(F.lit("lib"), (k % 6).cast("string"), F.when(k % 4 == 0, "/a.d.ts").otherwise("/a.ts")).alias("file"),
-        F.when(k % 9 == 0, "module").otherwise("function").alias("kind"), F.when(k % 3 == 0, "Misc").when(k % 3 == 1, F.col("p_brand")).alias("domain"), F.lit("x").alias("t3"),
+        k.alias("id"), F.concat(F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("lib"), (k % 6).cast("string"), F.lit("/"))), F.when(k % 4 == 0, "a.d.ts").otherwise("a.ts")).alias("file"),
+        F.when(k % 9 == 0, "module").otherwise("function").alias("kind"), F.when(k % 5 == 0, "Misc").when(k % 5 == 1, F.col("p_brand")).when(k % 5 == 2, "unassigned").when(k % 5 == 3, F.concat(F.col("p_brand"), F.lit(" loose"))).alias("domain"), F.lit("x").alias("t3"),
     )
     return resolution.pruned(resolution.declarations_out(nodes)).groupBy("domain", "file").agg(F.count("*").alias("n"))
 
@@ -180,8 +188,13 @@ R AS (SELECT i FROM I WHERE i IN (1, 4) UNION SELECT (2 * R.i + 1) % 50 FROM R J
     "x24_typed_receivers": """WITH M AS (SELECT 'm' || p_partkey AS id, p_partkey % 97 AS t, 's' || CASE WHEN p_partkey % 97 < 50 THEN p_partkey % 97 % 10 ELSE p_size END AS file, p_partkey % 13 AS l FROM part), K AS (SELECT t FROM M GROUP BY t HAVING count(DISTINCT file) = 1), G AS (SELECT t, l, min(id) AS dst FROM M GROUP BY t, l)
 SELECT DISTINCT 'o' || l_orderkey AS src, dst, CASE WHEN l_orderkey % 4 = 0 THEN 'test' ELSE 'call' END AS kind, 1 AS weight FROM lineitem JOIN K ON K.t = l_partkey % 120 JOIN G ON G.t = K.t AND G.l = l_suppkey % 13""",
     "x27_append_edges": f"{TRADE}, T AS (SELECT dst AS src, CASE WHEN weight % 2 = 0 THEN src ELSE src || 'x' END AS dst, kind, weight FROM E) SELECT src, dst, kind, weight FROM E UNION ALL SELECT src, dst, kind, min(weight) FROM T WHERE src <> dst AND src IN (SELECT id FROM N) AND dst IN (SELECT id FROM N) AND (src, dst, kind) NOT IN (SELECT src, dst, kind FROM E) GROUP BY 1, 2, 3",
-    "x28_reliance": "SELECT 'p' || l_partkey AS id, count(*) AS n_sites, count(*) FILTER (WHERE l_linenumber = 1) AS awaited, count(*) FILTER (WHERE l_linenumber = 1 OR l_linenumber >= 6) AS taken_apart, count(*) FILTER (WHERE l_linenumber = 2 OR l_linenumber >= 6) AS null_checked, count(*) FILTER (WHERE l_linenumber IN (3, 4)) AS guarded, CAST(min(a) AS INTEGER) AS least_args, CAST(max(a) AS INTEGER) AS most_args FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 3 ELSE 1 END AS a FROM lineitem WHERE l_linenumber <> 5) GROUP BY l_partkey",
-    "p7_declarations": "SELECT CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE 'lib' || p_partkey % 6 END AS domain, 'lib' || p_partkey % 6 || '/a.ts' AS file, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 9 <> 0 GROUP BY 1, 2",
+    "x28_reliance": """WITH L AS (SELECT 'f' || l_suppkey % 7 AS id, l_orderkey AS o, l_partkey % 12 AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem),
+D AS (SELECT *, sum(CASE m WHEN 2 THEN 1 WHEN 4 THEN -1 ELSE 0 END) OVER (PARTITION BY o ORDER BY r) AS s FROM L), C AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY o ORDER BY r)) AS open FROM D), T AS (SELECT *, coalesce(lag(open) OVER (PARTITION BY o ORDER BY r), 0) AS tries FROM C),
+A AS (SELECT *, CASE WHEN m = 10 THEN NULL WHEN m IN (7, 9) THEN 0 WHEN m IN (1, 8, 11) THEN 1 WHEN m = 5 THEN 3 ELSE 2 END AS args FROM T WHERE m NOT IN (2, 4, 6)),
+F AS (SELECT id, unnest(CASE m WHEN 0 THEN ['a', 'b'] WHEN 8 THEN ['total'] ELSE [] END) AS x FROM A), G AS (SELECT id, string_agg(DISTINCT x, ',' ORDER BY x) AS fields FROM F GROUP BY id)
+SELECT A.id, count(*) AS n_sites, count(*) FILTER (WHERE m IN (0, 5)) AS awaited, coalesce(any_value(fields), '') AS fields, CAST(min(args) AS INTEGER) AS least_args, CAST(max(args) AS INTEGER) AS most_args,
+count(*) FILTER (WHERE tries > 0 OR m = 5) AS handles_errors, count(*) FILTER (WHERE m IN (1, 7, 9, 11)) AS null_checked FROM A LEFT JOIN G ON G.id = A.id GROUP BY A.id""",
+    "p7_declarations": "WITH P AS (SELECT p_partkey AS k, p_brand, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'lib' || p_partkey % 6 END AS dir FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 9 <> 0) SELECT CASE WHEN k % 5 = 1 THEN p_brand WHEN dir = '' THEN '(root)' ELSE dir END AS domain, CASE WHEN dir = '' THEN 'a.ts' ELSE dir || '/a.ts' END AS file, count(*) AS n FROM P GROUP BY 1, 2",
     "p9_caveats": f"{COMMERCE}, A AS (SELECT DISTINCT dst FROM E WHERE kind = 'call') SELECT domain, CASE WHEN id IN (SELECT dst FROM A) THEN '' WHEN exports AND loc % 2 = 0 THEN 'public API: callers may be outside' WHEN exports THEN 'exported: callers may be outside' WHEN loc % 3 = 0 THEN 'dynamic calls in this file' ELSE 'no caller found' END AS caveat, count(*) AS n FROM N GROUP BY 1, 2",
     "w4_folded": """WITH P AS (SELECT 'p' || x.p_partkey AS a, 'p' || y.p_partkey AS b, least(x.p_brand, y.p_brand) AS l1, greatest(x.p_brand, y.p_brand) AS l2, (x.p_partkey % 10) / 10 AS sim FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1),
 R AS (SELECT *, row_number() OVER (PARTITION BY l1, l2 ORDER BY sim DESC, a, b) AS r, count(*) OVER (PARTITION BY l1, l2) AS n FROM P), F AS (SELECT * FROM R WHERE r = 1), O AS (SELECT R.l1, R.l2, unnest([R.a, R.b]) AS x FROM R)
@@ -189,9 +202,10 @@ SELECT F.l1, F.l2, F.a, F.b, F.sim, n - 1 AS folded, coalesce((SELECT string_agg
     "w11_findings": """WITH G AS (SELECT p_brand AS identity, count(DISTINCT p_size) % 7 AS f, count(DISTINCT split_part(p_type, ' ', 1)) % 4 AS m, count(*) AS rank FROM part GROUP BY 1),
 S AS (SELECT identity, CASE WHEN greatest(f, m) >= 5 THEN 'high' WHEN greatest(f, m) >= 3 THEN 'medium' ELSE 'low' END AS severity, CASE rank % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, rank FROM G)
 SELECT *, 'ov' || row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, CASE confidence WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END DESC, rank DESC, identity) AS id FROM S""",
-    "m9_structural": f"""{COMMERCE}, M AS (SELECT 'c' || o_custkey AS grp, id, loc FROM orders JOIN N ON id = 'o:' || o_orderkey), G AS (SELECT grp, count(DISTINCT id) AS n, coalesce(stddev_pop(loc) / avg(loc), 0) AS cv FROM M GROUP BY grp),
-C AS (SELECT grp, N.label, count(DISTINCT M.id) AS k FROM M JOIN E ON E.src = M.id AND E.kind = 'call' JOIN N ON N.id = E.dst GROUP BY 1, 2), S AS (SELECT C.grp, count(*) AS shared FROM C JOIN G ON G.grp = C.grp AND k = n GROUP BY 1),
-Z AS (SELECT G.grp, n, coalesce(shared, 0) AS shared, round(cv, 9) AS cv, CAST(CASE WHEN shared > 0 THEN 2 ELSE 0 END + CASE WHEN cv < 0.4 THEN 1 ELSE 0 END AS INTEGER) AS score FROM G LEFT JOIN S ON S.grp = G.grp) SELECT grp AS "group", n, shared, cv, score, CASE WHEN score >= 3 THEN 'high' WHEN score = 2 THEN 'medium' ELSE 'low' END AS confidence FROM Z""",
+    "m9_structural": f"""{COMMERCE}, M AS (SELECT 'c' || o_custkey AS grp, id, loc FROM orders JOIN N ON id = 'o:' || o_orderkey), G AS (SELECT grp, count(DISTINCT id) AS n, CASE WHEN avg(loc) <> 0 THEN stddev_pop(loc) / avg(loc) ELSE 0 END AS cv FROM M GROUP BY grp),
+C AS (SELECT DISTINCT grp, M.id, N.label FROM M JOIN E ON E.src = M.id AND E.kind = 'call' JOIN N ON N.id = E.dst), Q AS (SELECT grp, count(DISTINCT id) AS callers FROM C GROUP BY grp HAVING count(DISTINCT id) >= 2),
+S AS (SELECT grp, count(*) AS shared FROM (SELECT C.grp, label FROM C JOIN Q ON Q.grp = C.grp GROUP BY C.grp, label, callers HAVING count(*) = callers) GROUP BY grp),
+Z AS (SELECT G.grp, n, coalesce(shared, 0) AS shared, round(cv, 9) AS cv, CAST(CASE WHEN shared > 0 THEN 2 ELSE 0 END + CASE WHEN cv < 0.4 THEN 1 ELSE 0 END AS INTEGER) AS score FROM G LEFT JOIN S ON S.grp = G.grp) SELECT grp AS "group", n, shared, cv, score, CASE WHEN score >= 2 THEN 'high' WHEN score = 1 THEN 'medium' ELSE 'low' END AS confidence FROM Z""",
     "a9_upper_median": "SELECT l_returnflag, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS upper_median FROM lineitem GROUP BY 1",
     "a17_rates": "SELECT event_type, count(*) FILTER (WHERE value > 1e9) AS hits, count(*) AS n, round(CASE WHEN count(*) FILTER (WHERE value > 1e9) = 0 THEN least(1.0, 3.0 / count(*)) END, 9) AS upper FROM events GROUP BY 1",
     "a17_cliffs_delta": "WITH A AS (SELECT value FROM events WHERE event_type = 'purchase'), B AS (SELECT value FROM events WHERE event_type = 'click') SELECT round(avg(sign(A.value - B.value)), 9) AS delta FROM A, B",

@@ -109,7 +109,8 @@ QUERIES = {f.__name__: f for f in (m1_tokens, m2_shingles, m3_skeleton, m4_simil
 
 _Q = lambda s: s.replace("'", "''")
 _DROP = ", ".join(f"'{w}'" for w in text.DROPPED)
-_TOK = f"list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(text, '{_Q(text.COMMENTS)}', ' ', 'g'), '(?s){_Q(text.STRINGS)}', ' STR ', 'g')), '{text.TOKENS}'), lambda t: t NOT IN ({_DROP}))"
+_BARE = lambda c: rf"regexp_replace(regexp_replace({c}, '//[^\n]*', ' ', 'g'), '/\*[\s\S]*?\*/', ' ', 'g')"
+_TOK = f"list_filter(regexp_extract_all(lower(regexp_replace({_BARE('text')}, '(?s){_Q(text.STRINGS)}', ' STR ', 'g')), '{text.TOKENS}'), lambda t: t NOT IN ({_DROP}))"
 
 
 def _sets(name: str, key: str) -> str:
@@ -119,7 +120,7 @@ def _sets(name: str, key: str) -> str:
 _SIM = "len(list_intersect(a.sh, b.sh)) / (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh)))"
 _ITEMS = "I AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM S)"
 _KEEP = ", ".join(f"'{w}'" for w in text.KEPT["js"])
-_STRIP = f"regexp_replace(regexp_replace(html, '{_Q(text.COMMENTS)}', ' ', 'g'), '{_Q(text.STRINGS)}', ' ', 'g')"
+_STRIP = f"regexp_replace({_BARE('html')}, '{_Q(text.STRINGS)}', ' ', 'g')"
 _STEM = "CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' ELSE CASE WHEN length(f) > 4 AND f LIKE '%e' THEN left(f, length(f) - 1) ELSE f END END"
 _FIRST = "CASE WHEN length(w) > 5 AND w LIKE '%ing' THEN left(w, length(w) - 3) WHEN length(w) > 4 AND (w LIKE '%ed' OR w LIKE '%es' OR w LIKE '%er') THEN left(w, length(w) - 2) WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END"
 _SPLIT = lambda c: f"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -137,7 +138,7 @@ ORACLE_SQL = {
     "p4_suggest": f"WITH {COMMERCE_SQL} " + " UNION ALL ".join(_suggest(w) for w in ("BUILDNG", "machine", "AMERIC")),
     "m1_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS t FROM documents)",
     "m2_shingles": f"SELECT id AS doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), '|')) AS digest FROM {_sets('documents', 'doc_id')}",
-    "m3_skeleton": f"SELECT page_id, len(t) AS n, md5(array_to_string(list_transform(t, lambda x: CASE WHEN x[1] IN ('`', '\"', '''') THEN 'STR' WHEN regexp_matches(x[1], '[0-9]') THEN 'NUM' WHEN regexp_matches(x[1], '[A-Za-z_$]') AND x NOT IN ({_KEEP}) THEN 'ID' ELSE x END), ' ')) AS digest FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '{_Q(text.COMMENTS)}', ' ', 'g'), '{_Q(text.SKELETON)}') AS t FROM pages)",
+    "m3_skeleton": f"SELECT page_id, len(t) AS n, md5(array_to_string(list_transform(t, lambda x: CASE WHEN x[1] IN ('`', '\"', '''') THEN 'STR' WHEN regexp_matches(x[1], '[0-9]') THEN 'NUM' WHEN regexp_matches(x[1], '[A-Za-z_$]') AND x NOT IN ({_KEEP}) THEN 'ID' ELSE x END), ' ')) AS digest FROM (SELECT page_id, regexp_extract_all({_BARE('html')}, '{_Q(text.SKELETON)}') AS t FROM pages)",
     "m4_similar_pairs": f"WITH S AS {_sets('documents', 'doc_id')}, {_ITEMS}, P AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM I a JOIN I b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / (na + nb - c), 9) AS sim FROM P WHERE c / (na + nb - c) >= 0.6 - 1e-12",
     "m5_find_similar": f"WITH S AS {_sets('documents', 'doc_id')}, {_ITEMS}, Q AS (SELECT id AS query, len(sh) AS nq, unnest(sh) AS s FROM {_sets('benchmark', 'item_id')}), X AS (SELECT query, id, count(*) / (any_value(nq) + any_value(n) - count(*)) AS sim FROM Q JOIN I ON Q.s = I.s GROUP BY 1, 2), R AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS INTEGER) AS rank, id, round(sim, 9) AS sim, count(*) OVER (PARTITION BY query) AS true_count FROM X WHERE sim >= 0.01) SELECT * FROM R WHERE rank <= 3",
     "m6_group_bands": f"WITH S AS {_sets('documents', 'doc_id')}, G AS (SELECT source || '/' || lang AS grp, id, sh, row_number() OVER (PARTITION BY source, lang ORDER BY id) AS r FROM S JOIN documents ON doc_id = id), P AS (SELECT a.grp, CASE WHEN len(a.sh) = 0 OR len(b.sh) = 0 THEN 0.0 ELSE {_SIM} END AS sim FROM G a JOIN G b ON a.grp = b.grp AND a.id < b.id WHERE a.r <= 12 AND b.r <= 12) SELECT grp AS \"group\", round(avg(sim), 9) AS mean_sim, round(min(sim), 9) AS min_sim, CASE WHEN avg(sim) >= 0.6 THEN 'high' WHEN avg(sim) >= 0.35 THEN 'medium' WHEN avg(sim) >= 0.15 THEN 'low' ELSE 'refuted' END AS band FROM P GROUP BY grp",

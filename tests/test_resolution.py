@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text
 from loomgraph.functions.paths import language_of
 from loomgraph.operators import findings, resolution, series
 
@@ -39,3 +40,35 @@ def test_windows_statistics_and_names(spark):
     assert 4.2 < r.lo < 4.5 < r.hi < 4.8
     p = spark.createDataFrame([("a.kts",), ("b.mts",), ("c.weird",), ("d.py",)], "p string")
     assert [x[0] for x in p.select(language_of(F.col("p"))).collect()] == ["kotlin", "typescript", "javascript", "python"]
+
+
+def test_reliance_reads_each_call(spark):
+    body = "\n".join([
+        "const { a, b: c, ...rest } = await x.fn(g(1), [2, 3]);", "  try {", "fn(h(y))", "}", "catch (e) { fn() }  // fn(1)", "z = fn('p, q').total", "fn(1,", "const u = 'http://x' + fn(q, {a, b}).then(r)",
+        "await other(); fn(v)", "const [k] = fn(w) === undefined ? 1 : 2; !fn(w)", "} finally { fn(1) }", "xfn(1); fnx(2)",
+    ])
+    callers = spark.createDataFrame([("s", "fn", "c1", body), ("s", "fn", "c2", "fn(a)?.b ?? 1"), ("d", "$d.e", "c1", "x$d.e(1, 2)\nx$dze(1)"), ("none", "nope", "c1", body)], "id string, label string, caller string, text string")
+    got = {r.id: r for r in findings.reliance(callers).collect()}
+    r = got["s"]
+    assert (r.n_sites, r.awaited, r.fields, r.least_args, r.most_args) == (10, 2, "a,b,total", 0, 2)
+    assert (r.handles_errors, r.null_checked) == (4, 2)  # the try ends with the second line that closes one: `}` and `catch` stand on two lines
+    assert got.keys() == {"s", "d"} and (got["d"].n_sites, got["d"].most_args) == (1, 2)
+    assert {x.id: x.n_sites for x in findings.reliance(callers, 3).collect()}["s"] == 3
+    mut = spark.createDataFrame([("m", ["p", "q", "r", "s", "t"], "p.x = 1\nif (q.x == 2) {}\nr[0] += 1\nObject.assign( s, {})\n// t.x = 1\nt.a.sort")], "id string, params array<string>, text string")
+    assert {x.param for x in findings.mutated_parameters(mut).collect()} == {"p", "r", "s"}
+
+
+def test_fallback_confidence_and_domains(spark):
+    members = spark.createDataFrame([("g", "a", 10), ("g", "b", 10), ("g", "c", 90), ("h", "a", 10), ("h", "d", 90), ("i", "c", 5), ("i", "d", 5)], "group string, id string, loc int")
+    edges = spark.createDataFrame([("a", "x", "call"), ("b", "y", "call"), ("a", "b", "import")], "src string, dst string, kind string")
+    labels = spark.createDataFrame([("x", "run"), ("y", "run")], "id string, label string")
+    got = {r.group: (r.shared, r.score, r.confidence) for r in findings.structural_confidence(members, edges, labels).collect()}
+    assert got == {"g": (1, 2, "high"), "h": (0, 0, "low"), "i": (0, 1, "medium")}
+    nodes = spark.createDataFrame([(str(i), f, "function", dom) for i, (f, dom) in enumerate([("lib/a.ts", "Unassigned"), ("a.ts", None), ("lib/b.ts", "core"), ("x/y.ts", "looseends"), ("Makefile", "")])], "id string, file string, kind string, domain string")
+    assert [r.domain for r in resolution.declarations_out(nodes).orderBy("id").collect()] == ["lib", "(root)", "core", "x", "Makefile"]
+
+
+def test_comments_go_line_by_line_first(spark):
+    df = spark.createDataFrame([("/* a // b */ f()\ng() /* h */ `k` 'l\\'m'",)], "b string")
+    r = df.select(text.tokens(F.col("b")).alias("t"), text.skeleton(F.col("b")).alias("s")).first()
+    assert r.t == ["str", "str"] and r.s == ["STR", "STR"]
