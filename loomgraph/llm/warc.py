@@ -21,17 +21,18 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.arrow import bounded
 
-# Elements without text, and elements that end a line.
-SILENT = "script|style|noscript|template|head"
-BLOCK = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|body|blockquote|pre|hr|form|figure|figcaption"
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-MUTE = re.compile(rf"<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAK = re.compile(rf"</?(?:{BLOCK})\b[^>]*>", re.I)
-TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Elements whose content is no text, and elements that end a line.
+SILENT = ("script", "style", "noscript", "template")
+BLOCK = frozenset("p div br li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer main aside body blockquote pre hr form figure figcaption".split())
+#: What begins a comment or a tag; group 1 is an end tag's slash, group 2 the name.
+OPEN = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*)|/?[!?])")
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*SILENT, "title")}
+HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 SPACE, LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
+LONG_NUMBER = re.compile(r"&#(?:([0-9]{8,})|([xX])([0-9a-fA-F]{7,}));?")
+#: Bytes of a record's header, and of a payload with its codings undone, beyond which they do not count as such.
+HEADER_MOST, UNPACKED_MOST = 1 << 20, 256 << 20
 
 
 def digest(data: bytes) -> str:
@@ -43,25 +44,87 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
+def _shortened(m: re.Match) -> str:
+    digits = (m[1] or m[3]).lstrip("0")
+    return f"&#{m[2] or ''}{digits or '0'};" if len(digits) < 8 else "&#x110000;"
+
+
+def unescaped(text: str) -> str:
+    """Character references resolved; a number beyond any character is U+FFFD, however many digits it has."""
+    return html.unescape(LONG_NUMBER.sub(_shortened, text) if "&#" in text else text)
+
+
+def page_parts(page: str) -> tuple[str, str | None, list[str]]:
+    """Text, title and links of a page, in one pass that never goes back.
+
+    Text: comments, the head, scripts, styles and the like gone, blocks on
+    lines of their own, character references resolved. A comment or silent
+    element that nothing ends goes on to the page's end; a tag goes to the next
+    `>`, and where there is none, `<` is text. The head ends with its end tag
+    or the body. Links: of a elements outside comments and silent elements,
+    each once. The title is the first one that is closed.
+    """
+    out: list[str] = []
+    links: dict[str, None] = {}
+    title, sought, in_head, at = None, False, False, 0
+    while m := OPEN.search(page, at):
+        lt, name = m.start(), (m[2] or "").lower()
+        if not in_head:
+            out.append(page[at:lt])
+        if m[0] == "<!--":
+            end = page.find("-->", lt + 4)
+            if end < 0:
+                at = len(page)
+                break
+            at = end + 3
+            continue
+        end = page.find(">", m.end())
+        if end < 0:  # no tag and no end of a comment any more
+            comment = page.find("<!--", lt)
+            if not in_head:
+                out.append(page[lt : comment if comment >= 0 else len(page)])
+            at = len(page)
+            break
+        at = end + 1
+        if m[1]:
+            in_head = in_head and name != "head"
+        elif name in CLOSE and name != "title":
+            shut = CLOSE[name].search(page, at)
+            at = shut.end() if shut else len(page)
+            out.append("\n")
+        elif name == "title" and not sought:
+            shut, sought = CLOSE[name].search(page, at), True
+            title = page[at : shut.start()] if shut else None
+        elif name == "a" and (href := HREF.search(page, m.end(), end + 1)):
+            links[unescaped(href[1] or href[2] or href[3] or "")] = None
+        elif name == "head":
+            in_head = True
+        if name in BLOCK:
+            in_head = in_head and name != "body"
+            out.append("\n")
+    if not in_head:
+        out.append(page[at:])
+    text = LINES.sub("\n", SPACE.sub(" ", unescaped("".join(out)))).strip()
+    return text, None if title is None else " ".join(unescaped(title).split()), list(links)
+
+
 def plain_text(page: str) -> str:
-    """Text of a page: scripts, styles, comments and the head gone, blocks on lines of their own, character references resolved."""
-    t = MUTE.sub("\n", COMMENT.sub("", page))
-    t = html.unescape(TAG.sub("", BREAK.sub("\n", t)))
-    return LINES.sub("\n", SPACE.sub(" ", t)).strip()
+    return page_parts(page)[0]
 
 
 def outlinks(page: str) -> list[str]:
-    return list(dict.fromkeys(html.unescape(a or b or c) for a, b, c in LINK.findall(COMMENT.sub("", page))))
+    return page_parts(page)[2]
 
 
-CODING = re.compile(r"^(content-encoding|transfer-encoding)\s*:\s*(.+?)\s*$", re.I | re.M)
+CHUNK_SIZE = re.compile(rb"[0-9a-fA-F]{1,15}")
 
 
 def unchunked(data: bytes) -> bytes:
-    """The body of a chunked transfer; what follows a torn chunk is lost."""
+    """The body of a chunked transfer; what follows a torn chunk, or a size that is no plain hexadecimal number, is lost."""
     out, at = [], 0
     while (end := data.find(b"\r\n", at)) >= 0:
-        n = int(data[at:end].split(b";")[0].strip() or b"0", 16)
+        size = data[at : min(end, at + 4096)].split(b";")[0].strip()
+        n = int(size, 16) if CHUNK_SIZE.fullmatch(size) else 0
         if not n:
             break
         out.append(data[end + 2 : end + 2 + n])
@@ -69,17 +132,33 @@ def unchunked(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def identity(headers: str, payload: bytes) -> bytes:
-    """The payload without the transfer and content codings its headers name; as it is where they are unknown or do not hold."""
-    codings = [(k.lower(), c.strip().lower()) for k, v in CODING.findall(headers) for c in v.split(",")]
+def unpacked(data: bytes, wbits: int, most: int) -> bytes:
+    """Compressed data, member by member; ValueError beyond `most` bytes."""
+    out, size = [], 0
+    while data:
+        d = zlib.decompressobj(wbits)
+        out.append(d.decompress(data, most + 1 - size))
+        size += len(out[-1])
+        if size > most:
+            raise ValueError("more than is unpacked")
+        if wbits != 31 or d.unused_data[:2] != b"\x1f\x8b":
+            break
+        data = d.unused_data
+    return b"".join(out)
+
+
+def identity(headers: str, payload: bytes, most: int = UNPACKED_MOST) -> bytes:
+    """The payload without the transfer and content codings its headers name; as it is where they are unknown, do not hold, or would make more than `most` bytes of it."""
+    fields = [(k.strip().lower(), v) for k, _, v in (x.partition(":") for x in headers.splitlines())]
+    codings = [(k, c.strip().lower()) for k, v in fields if k in ("content-encoding", "transfer-encoding") for c in v.split(",")]
     for _, coding in sorted(codings, key=lambda c: c[0] != "transfer-encoding"):
         try:
             if coding == "chunked":
                 payload = unchunked(payload)
             elif coding in ("gzip", "x-gzip"):
-                payload = zlib.decompressobj(31).decompress(payload)
+                payload = unpacked(payload, 31, most)
             elif coding == "deflate":
-                payload = zlib.decompressobj(15 if payload[:1] == b"\x78" else -15).decompress(payload)
+                payload = unpacked(payload, 15 if payload[:1] == b"\x78" else -15, most)
         except (zlib.error, ValueError):
             break
     return payload
@@ -136,6 +215,9 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (at := held.find(b"WARC/")) < 0 or (end := held.find(b"\r\n\r\n", at)) < 0:
             if at < 0:
                 del held[: max(0, len(held) - 4)]
+            elif len(held) - at > HEADER_MOST:  # no header is so long
+                del held[: at + 5]
+                continue
             if not more(len(held) + 1):
                 return
         headers = dict(x.split(": ", 1) for x in held[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
@@ -199,13 +281,11 @@ def _derive(row: dict) -> list[tuple]:
     source, uri, date = row["record_id"], row["target_uri"], row["date"]
     payload_digest = row["payload_digest"] or digest(payload)
     ids = {k: record_id(k, source or "", uri or "", *(() if source else (date or "", payload_digest))) for k in ("metadata", "conversion")}
-    text = plain_text(page)
-    title = TITLE.search(page)
-    links = outlinks(page)
+    text, title, links = page_parts(page)
     names = [("source-record-id", source), ("source-date", date), ("source-payload-digest", payload_digest), ("source-payload-length", str(len(payload)))]
     names += [("source-http-status", http.split("\r\n")[0])] + [(f"source-http-{k.lower()}", v) for k, _, v in (x.partition(": ") for x in http.split("\r\n")[1:]) if v]
-    names += [("title", SPACE.sub(" ", html.unescape(title[1]).replace("\n", " ")).strip() if title else None)] + [("outlink", x) for x in links]
-    fields = "".join(f"{k}: {LINES.sub(' ', v)}\r\n" for k, v in names if v is not None).encode()
+    names += [("title", title)] + [("outlink", x) for x in links]
+    fields = "".join(f"{k}: {' '.join(filter(None, map(str.strip, v.splitlines())))}\r\n" for k, v in names if v is not None).encode("utf-8", "replace")
     out = []
     for kind, other, content, block in (("metadata", "conversion", "application/warc-fields", fields), ("conversion", "metadata", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
         block_digest = digest(block)
@@ -231,7 +311,8 @@ def derivatives(df: DataFrame, key_col: str | None = None) -> DataFrame:
     payload is an empty page; a null URI or date leaves its header out; a
     digest that the source has is kept, a missing one computed over the payload
     as it came. Transfer and content codings are undone for the text. A charset
-    that is none counts as UTF-8. Both records' ids follow from the source's id
+    that is none counts as UTF-8. A coded payload of more than UNPACKED_MOST
+    bytes, unpacked, is read as it came; see page_parts for torn pages. Both records' ids follow from the source's id
     and URI, and where it has no id from date and digest too. Repeated
     responses give repeated records with the same ids. Other columns are not
     read; an empty table gives an empty result. No shuffle.

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -8,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.llm.cover_tree import CoverTree, Search, met_share, top_inner_products
-from loomgraph.llm.warc import RESPONSE, derivatives, parsed, plain_text, read_warc, responses, serialised
+from loomgraph.llm.warc import RESPONSE, derivatives, identity, outlinks, page_parts, parsed, plain_text, read_warc, responses, serialised, unchunked
 
 
 def brute(ids, points, queries, k):
@@ -83,10 +84,12 @@ class Text(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.silent, self.words = 0, []
+        self.silent, self.words, self.links = 0, [], []
 
     def handle_starttag(self, tag, attrs):
         self.silent += tag in ("script", "style", "head")
+        if tag == "a" and (href := dict(attrs).get("href")) is not None:
+            self.links.append(href)
 
     def handle_endtag(self, tag):
         self.silent -= tag in ("script", "style", "head")
@@ -106,6 +109,44 @@ def test_plain_text():
     assert plain_text("") == "" and plain_text("<script>never closed") == "" and plain_text("a < b") == "a < b"
 
 
+def test_text_of_all_pages_equals_a_parser(spark):
+    """Words and links of every given page, against the standard library's parser."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert len(pages) > 100
+    for page in pages:
+        p = Text()
+        p.feed(page or "")
+        p.close()
+        assert " ".join(plain_text(page or "").split()) == " ".join(" ".join(p.words).split())
+        assert outlinks(page or "") == list(dict.fromkeys(p.links))
+
+
+def test_hostile_pages_take_linear_time():
+    for piece in ("<a ", "<a href=", "<a href='", "<title>", "<", "</", "<!--", "<!", "<script>", "<p", "&#1", "&", " ", "\n", "<a href=\"", "</title ", "<head>", "<a >", "<script></script >"):
+        page = piece * (10_000_000 // len(piece))
+        began = time.perf_counter()
+        page_parts(page)
+        assert time.perf_counter() - began < (12 if piece in ("<a >", "<p", "<head>", "<script></script >", "&") else 4), piece
+    assert page_parts("<a href=" + " " * 100 + "x>y</a>")[2] == ["x"]
+    assert plain_text("&#" + "1" * 9000 + ";&#x" + "f" * 9000 + "&#00000000065;&#xZ") == "\ufffd\ufffdA&#xZ"
+    began = time.perf_counter()
+    assert identity("Content-Encoding:" + " a " * 300_000, b"x") == b"x"
+    assert unchunked(b" " * 20 + b"-14\r\nabc\r\n") == b"" and unchunked(b"1_0\r\nabc") == b"" and unchunked(b"f" * 40 + b"\r\nabc") == b""
+    assert unchunked(b"2\r\nab\r\n+2\r\ncd\r\n") == b"ab" and unchunked(b"a" * 10_000_000) == b""
+    bomb = gzip.compress(b"x" * 1_000_000)
+    assert identity("Content-Encoding: gzip", bomb, 999_999) == bomb and len(identity("Content-Encoding: gzip", bomb, 1_000_000)) == 1_000_000
+    assert identity("Content-Encoding: gzip", gzip.compress(b"a") + gzip.compress(b"b")) == b"ab"
+    assert not list(parsed(b"WARC/1.1\r\n" + b"x" * 3_000_000))
+    assert time.perf_counter() - began < 10
+
+
+def test_pages_that_end_in_the_middle():
+    assert page_parts("<html><head><title>a\n b</title><body>x<p>y") == ("x\ny", "a b", [])
+    assert page_parts("a<b c<!-- d") == ("a<b c", None, []) and page_parts("a <!-- b") == ("a", None, [])
+    assert page_parts("<head>a<title>t") == ("", None, []) and page_parts("x<STYLE>p</style >y<a-b>z") == ("x\nyz", None, [])
+    assert page_parts("<a href=1>p</a><!-- <a href=2> --><script><a href=3></script><A HREF='4&amp;'>q<a href=1>") == ("p\nq", None, ["1", "4&"])
+
+
 def test_derivatives(spark, tmp_path):
     rows = [(1, "http://a/", PAGE), (2, None, "<p>x</p>"), (3, "http://c/", None), (4, "http://d/", ""), (4, "http://d/", ""), (5, "http://e/", "<p>" + "long " * 50000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_id", F.lit("clash"))
