@@ -10,41 +10,71 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.paths import is_test_file
+from loomgraph.functions.lexing import masked_text
 
-# Declarations by language: (kind, pattern with the name as its only group).
+# Declarations by language: kind, pattern. Groups: name; in, the space before it; owner; shown, what makes it exported.
 DECLARATIONS = {
-    "py": (("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"), ("class", r"^\s*class\s+([A-Za-z_]\w*)")),
-    "js": (("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)")),
-    "go": (("function", r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\("), ("class", r"^type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b")),
-    "rs": (("function", r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?(?:unsafe\s+)?(?:const\s+)?fn\s+([A-Za-z_]\w*)"), ("class", r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)")),
-    "rb": (("function", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)"), ("class", r"^\s*(?:class|module)\s+([A-Z]\w*)")),
+    "py": (("function", r"^(?P<in>\s*)(?:async\s+)?def\s+(?P<name>[A-Za-z_]\w*)"), ("class", r"^\s*class\s+(?P<name>[A-Za-z_]\w*)")),
+    "js": (
+        ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[A-Za-z_$][\w$]*)"),
+        ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)\s*=(?!\s*\(\()\s*(?:async\s*)?(?:function\b|\*?\s*\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)"),
+        ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[A-Za-z_$][\w$]*)"),
+        ("method", r"^\s{2,}(?:(?:public|private|protected|static|readonly|async|get|set)\s+)*(?:\*\s*)?(?P<name>[A-Za-z_$][\w$]*)\s*\([^;]*\)(?:\s*:\s*[^{;=]+)?\s*\{"),
+        ("field", r"^\s{2,}(?:public\s+|private\s+|protected\s+|readonly\s+|static\s+)*(?P<name>[A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"),
+    ),
+    "go": (
+        ("method", r"^\s*func\s+\((?P<owner>[^)]*)\)\s+(?P<name>[A-Za-z_]\w*)"), ("function", r"^\s*func\s+(?P<name>[A-Za-z_]\w*)"), ("class", r"^\s*type\s+(?P<name>[A-Za-z_]\w*)\s+(?:struct|interface)\b"),
+    ),
+    "rs": (
+        ("function", r"^(?P<in>\s*)(?P<shown>pub(?:\([a-z]+\))?\s+)?(?:async\s+)?(?:unsafe\s+)?(?:const\s+)?fn\s+(?P<name>[A-Za-z_]\w*)"),
+        ("class", r"^\s*(?P<shown>pub(?:\([a-z]+\))?\s+)?(?:async\s+)?(?:unsafe\s+)?(?:const\s+)?(?:struct|enum|trait)\s+(?P<name>[A-Za-z_]\w*)"),
+    ),
+    "java": (
+        ("class", r"^\s*(?:@[\w.$]+(?:\([^)]*\))?\s+)?(?:(?:public|protected|private|static|final|abstract|sealed|non-sealed|strictfp)\s+)*(?:class|interface|enum|record)\s+(?P<name>[A-Za-z_$][\w$]*)"),
+        ("method", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>]+>\s+)?(?:[\w$<>\[\],.?\s]+?\s+)?(?P<name>[A-Za-z_$][\w$]*)\s*\([^;{]*\)\s*(?:throws\s+[\w$,.\s]+)?\{"),
+    ),
+    "cs": (
+        ("class", r"^\s*(?:\[[^\]]*\]\s*)?(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref)\s+)*(?:class|interface|struct|record|enum)\s+(?P<name>[A-Za-z_][\w]*)"),
+        ("method", r"^\s+(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|extern|unsafe|new|partial)\s+)+(?:[\w<>\[\],.?\s]+?\s+)?(?P<name>[A-Za-z_][\w]*)\s*\([^;{]*\)\s*(?:where\s+[^{]+)?(?:\{|=>|$)"),
+    ),
+    "rb": (("class", r"^\s*(?:class|module)\s+(?P<name>[A-Z]\w*)"), ("function", r"^(?P<in>\s*)def\s+(?:self\.)?(?P<name>[A-Za-z_]\w*[?!]?)")),
+    "php": (
+        ("class", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(?P<name>[A-Za-z_]\w*)"),
+        ("function", r"^(?P<in>\s*)(?:(?:public|protected|private|static|final|abstract)\s+)*function\s+&?\s*(?P<name>[A-Za-z_]\w*)\s*\("),
+    ),
+    "kt": (
+        ("class", r"^\s*(?:(?:public|private|internal|protected|open|final|abstract|sealed|data|inner|enum|annotation|value)\s+)*(?:class|object|interface)\s+(?P<name>[A-Za-z_]\w*)"),
+        ("function", r"^(?P<in>\s*)(?:(?:public|private|internal|protected|open|override|final|abstract|suspend|inline|operator|infix|tailrec|external|actual|expect)\s+)*fun\s+(?:<[^>]+>\s+)?(?:(?P<owner>[A-Za-z_][\w.]*)\.)?(?P<name>[A-Za-z_]\w*)\s*\("),
+    ),
+    "swift": (
+        ("class", r"^\s*(?:(?:public|open|internal|fileprivate|private|final|indirect)\s+)*(?:class|struct|enum|protocol|extension|actor)\s+(?P<name>[A-Za-z_]\w*)"),
+        ("function", r"^(?P<in>\s*)(?:(?:public|open|internal|fileprivate|private|final|static|class|override|mutating|nonmutating|convenience|required|dynamic|@\w+(?:\([^)]*\))?)\s+)*func\s+(?P<name>[A-Za-z_]\w*)\s*[(<]"),
+    ),
 }
+# Words that are no names of symbols, of any language and of one.
+KEYWORDS = frozenset("if for while switch catch return function typeof await new super constructor else do try finally class import export const let var async yield case in of instanceof delete void throw with print".split())
+CONTROL = {
+    "java": frozenset("if for while switch catch try do synchronized assert return throw new else".split()),
+    "cs": frozenset("if for foreach while switch catch try do using lock fixed return throw new else".split()),
+}
+# What makes a declaration exported where the pattern does not say; languages whose names may be keywords of another.
+SHOWN = {"js": r"\bexport\b", "java": r"\bpublic\b", "cs": r"\bpublic\b", "swift": r"\b(?:public|open)\b"}
+HIDDEN = {"php": r"\b(?:private|protected)\b", "kt": r"\b(?:private|internal)\b"}
+ANY_NAME = ("go", "rs")
+IMPL = re.compile(r"^impl(?:\s*<[^>]*>)?\s+(?:.*?\bfor\s+)?([A-Za-z_]\w*)")
 # Calls that leave no name behind.
 DYNAMIC = r"""\[[A-Za-z_$][\w$]*\]\s*\(|\bgetattr\s*\(|require\s*\(\s*[^'"`)\s]|\.emit\s*\(|globalThis\s*\[|window\s*\["""
-_TOKEN = {
-    "py": re.compile(r"'''[\s\S]*?(?:'''|\Z)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)|#[^\n]*|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?"),
-    "js": re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|`(?:\\[\s\S]|[^`\\])*(?:`|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?"),
-    "rb": re.compile(r"^=begin[\s\S]*?^=end|#(?!\{)[^\n]*|'(?:\\.|[^'\\])*'?|\"(?:\\.|[^\"\\])*\"?", re.M),
-}
-
-
-def masked_text(text: str, language: str) -> str:
-    """Comments and strings blanked; every other character keeps its place and every line its number."""
-    return _TOKEN.get(language, _TOKEN["js"]).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-
-
 def body_end(lines: list[str], start: int, language: str) -> int:
     """Last line of the body that starts on a line (both from 0), of masked lines."""
-    if language in ("py",):
+    if language in ("py", "rb"):
         base, end = len(lines[start]) - len(lines[start].lstrip()), start
         for i in range(start + 1, len(lines)):
             if lines[i].strip():
                 if len(lines[i]) - len(lines[i].lstrip()) <= base:
-                    break
+                    return i if language == "rb" and re.match(r"\s*end\b", lines[i]) else end
                 end = i
         return end
     depth = paren = 0
@@ -63,6 +93,47 @@ def body_end(lines: list[str], start: int, language: str) -> int:
     return len(lines) - 1
 
 
+def declared(text: str, language: str) -> list[dict]:
+    """The symbols of one file's masked text in the order of their lines: label, kind, owner, line, end, exports, place (owner and label, told apart by the line where a file has it twice), and whether it lies inside a function's body."""
+    lines = text.split("\n")
+    rules = [(kind, re.compile(p)) for kind, p in DECLARATIONS.get(language, DECLARATIONS["js"])]
+    impls = [(m[1], i, next((j for j in range(i + 1, len(lines)) if lines[j].startswith("}")), len(lines) - 1)) for i, x in enumerate(lines) if language == "rs" and (m := IMPL.match(x))]
+    out, classes, functions, places = [], [], [], set()
+    for i, x in enumerate(lines):
+        kind, m = next(((k, m) for k, p in rules if (m := p.match(x))), (None, None))
+        if m is None:
+            continue
+        of, name = m.groupdict(), m["name"]
+        if name in CONTROL.get(language, ()) or language not in ANY_NAME and name in KEYWORDS:
+            continue
+        classes = [c for c in classes if c[2] >= i]  # bodies that are over own nothing any more
+        around = next((c[0] for c in reversed(classes) if c[1] < i), None)
+        owner = of.get("owner")
+        if owner is not None:
+            last = re.search(r"([A-Za-z_]\w*)\s*$", re.sub(r"\[[^\]]*\]", "", owner).replace("*", "").strip())
+            owner = last[1] if last else None
+        if kind == "field" and around is None:
+            continue
+        if kind == "function" and (of.get("in") or owner) and (language != "rb" or around):
+            kind = "method"
+        kind = "method" if kind == "field" else kind
+        if kind == "method" and owner is None:
+            owner = next((t for t, a, b in reversed(impls) if a < i <= b), None) if language == "rs" else around
+        shown = bool(of["shown"]) if "shown" in of else name[:1].isupper() if language == "go" else not re.search(HIDDEN[language], x) if language in HIDDEN else bool(re.search(SHOWN[language], x)) if language in SHOWN else True
+        end = body_end(lines, i, language)
+        functions = [f for f in functions if f[1] >= i]
+        nested = any(a < i and end <= b for a, b in functions)
+        if kind == "class":
+            classes.append((name, i, end))
+        else:
+            functions.append((i, end))
+        place = f"{owner}.{name}" if owner else name
+        place = f"{place}@{i + 1}" if place in places else place
+        places.add(place)
+        out.append({"label": name, "kind": kind, "owner": owner, "line": i + 1, "end": end + 1, "exports": shown and not (language == "js" and kind == "method"), "place": place, "local": nested})
+    return out
+
+
 def mask(text: Column, language: Column) -> Column:
     @F.arrow_udf("string")
     def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
@@ -71,33 +142,24 @@ def mask(text: Column, language: Column) -> Column:
     return run(text, language)
 
 
+FOUND = "array<struct<label string, kind string, owner string, line int, end int, exports boolean, place string, local boolean>>"
+
+
 def symbols(files: DataFrame) -> DataFrame:
-    """(file, label, kind, line, end, loc, exports) of (file, text, language). Masked text goes in, so strings declare nothing."""
-    clean = files.select("file", "language", mask(F.col("text"), F.col("language")).alias("text"))
-
-    @F.arrow_udf("array<int>")
-    def ends(texts: pa.Array, languages: pa.Array) -> pa.Array:
-        out = []
-        for t, lang in zip(texts.to_pylist(), languages.to_pylist(), strict=True):
-            lines = (t or "").split("\n")
-            marks = [re.compile(p) for _, p in DECLARATIONS.get(lang, ())]
-            out.append([body_end(lines, i, lang) + 1 if any(m.search(x) for m in marks) else 0 for i, x in enumerate(lines)])
-        return pa.array(out, pa.list_(pa.int32()))
-
-    rows = clean.withColumn("ends", ends("text", "language")).select("file", "language", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("l"), F.col("ends").alias("e"))).alias("pos", "x"))
-    rows = rows.select("file", "language", (F.col("pos") + 1).alias("line"), F.col("x.l").alias("text"), F.col("x.e").alias("end"))
-    found = None
-    for lang, rules in DECLARATIONS.items():
-        cases = [(F.regexp_extract("text", p, 1), kind) for kind, p in rules]
-        name, kind = F.lit(""), F.lit(None).cast("string")
-        for n, k in reversed(cases):
-            name, kind = F.when(n != "", n).otherwise(name), F.when(n != "", F.lit(k)).otherwise(kind)
-        part = rows.where(F.col("language") == lang).select("file", "line", "end", "text", name.alias("label"), kind.alias("kind")).where("label <> ''")
-        exports = {"js": F.col("text").rlike(r"^\s*export\b"), "rs": F.col("text").rlike(r"^\s*pub\b"), "go": F.col("label").rlike("^[A-Z]")}.get(lang, F.lit(True))
-        method = (F.col("kind") == "function") & F.col("text").rlike(r"^\s") & F.lit(lang in ("py", "rs", "rb"))
-        part = part.select("file", "label", F.when(method, "method").otherwise(F.col("kind")).alias("kind"), "line", "end", (F.col("end") - F.col("line") + 1).alias("loc"), exports.alias("exports"))
-        found = part if found is None else found.union(part)
-    return found
+    """(id, file, label, kind, owner, line, end, loc, exports, local) of (file, text, language); local: inside a function's body. Masked text goes in, so strings declare nothing.
+
+    A method's owner is its receiver's or implementation's type, else the class
+    around it; ids are file:owner.label, file:label without an owner, and end
+    with @line where a file would have one twice. A null text has no symbols.
+    """
+
+    @F.arrow_udf(FOUND)
+    def find(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("label", pa.string()), ("kind", pa.string()), ("owner", pa.string()), ("line", pa.int32()), ("end", pa.int32()), ("exports", pa.bool_()), ("place", pa.string()), ("local", pa.bool_())]))
+        return pa.array([declared(masked_text(t or "", x or "js"), x or "js") for t, x in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], kind)
+
+    s = files.select("file", F.explode(find("text", "language")).alias("s"))
+    return s.select(F.concat_ws(":", "file", "s.place").alias("id"), "file", "s.label", "s.kind", "s.owner", "s.line", "s.end", (F.col("s.end") - F.col("s.line") + 1).alias("loc"), "s.exports", "s.local")
 
 
 def innermost(lines: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -108,10 +170,8 @@ def innermost(lines: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def owners(symbols_: DataFrame) -> DataFrame:
-    """Each method's class: the innermost class that starts before it and ends no sooner."""
-    c = symbols_.where("kind = 'class'").select("file", F.col("label").alias("owner"), F.col("line").alias("s"), F.col("end").alias("e"))
-    w = Window.partitionBy("file", "label", "line").orderBy(F.desc("s"))
-    return symbols_.where("kind = 'method'").join(c, "file").where("line > s AND line <= e").withColumn("r", F.row_number().over(w)).where("r = 1").select("file", "label", "line", "owner")
+    """Each method's class or type."""
+    return symbols_.where("kind = 'method' AND owner IS NOT NULL").select("file", "label", "line", "owner")
 
 
 def signature(line: Column, name: Column) -> Column:
@@ -147,28 +207,6 @@ def resolve_modules(imports: DataFrame, known: DataFrame) -> DataFrame:
     return imports.join(hit, ["file", "module"], "left")
 
 
-def call_edges(files: DataFrame, symbols_: DataFrame) -> DataFrame:
-    """(src, dst, kind) from calls in masked text.
-
-    A name means the same file's symbol, else the only one of that name
-    anywhere; an ambiguous name gives no edge. Names under three letters,
-    declarations and calls from outside any symbol give none. A call from a
-    test file to another kind of file is a test edge.
-    """
-    s = symbols_.withColumn("id", F.concat_ws(":", "file", "label"))
-    clean = files.select("file", mask(F.col("text"), F.col("language")).alias("text"))
-    lines = clean.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line"), "text")
-    names = F.regexp_extract_all("text", F.lit(r"(?<![\w$.])([A-Za-z_$][\w$]{2,})\s*\("), F.lit(1))
-    calls = lines.select("file", "line", F.explode(names).alias("name")).join(s.select("file", "line", F.col("label").alias("name")), ["file", "line", "name"], "left_anti")
-    inside = innermost(calls, s.where("kind <> 'class'").select("id", "file", "line", "end"))
-    own = s.groupBy("file", F.col("label").alias("name")).agg(F.min("id").alias("own"))
-    only = s.groupBy(F.col("label").alias("name")).agg(F.countDistinct("id").alias("n"), F.min("id").alias("only"), F.min("file").alias("only_file")).where("n = 1").drop("n")
-    hit = inside.join(own, ["file", "name"], "left").join(only, "name", "left").withColumn("dst", F.coalesce("own", "only")).where("dst IS NOT NULL AND dst <> id")
-    to_file = F.when(F.col("own").isNotNull(), F.col("file")).otherwise(F.col("only_file"))
-    kind = F.when(is_test_file(F.col("file")) & ~is_test_file(to_file), "test").otherwise("call")
-    return hit.select(F.col("id").alias("src"), "dst", kind.alias("kind")).distinct()
-
-
 def dynamic_files(files: DataFrame) -> DataFrame:
     """Files whose calls a static map cannot see."""
     return files.where(F.col("text").rlike(DYNAMIC)).select("file")
@@ -176,8 +214,7 @@ def dynamic_files(files: DataFrame) -> DataFrame:
 
 def closure_locals(symbols_: DataFrame) -> DataFrame:
     """Symbols whose lines lie strictly inside a function of the same file."""
-    f = symbols_.where("kind IN ('function', 'method')").select("file", F.col("line").alias("s"), F.col("end").alias("e"))
-    return symbols_.join(f, "file").where("line > s AND end <= e").select(*symbols_.columns).distinct()
+    return symbols_.where("local")
 
 
 def package_of(files: DataFrame, manifests: DataFrame) -> DataFrame:

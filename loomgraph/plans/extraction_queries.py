@@ -1,88 +1,108 @@
-"""Extraction queries over a small fixed source tree; the SQL lists the rows it must give."""
+"""Extraction queries over a source tree made of the documents; the SQL knows from the words what each file holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.paths import syntax_of
-from loomgraph.operators import extraction
-
-TREE = {
-    "src/a.py": 'import os\n\ndef alpha(x, y=1):\n    """def hidden(): pass"""\n    return beta(x)\n\nclass Box:\n    def area(self):\n        return alpha(1)\n',
-    "src/b.py": "def beta(x):\n    return x\n",
-    "src/pkg/__init__.py": "",
-    "src/pkg/json/x.py": "def load(path):\n    def inner(p):\n        return getattr(p, 'q')\n    return inner(path)\n",
-    "tests/a.js": "export function checks(a, {b}) {\n  const s = 'function no() {';\n  return beta(a); }\nconst gamma = (q) => {\n  return checks(q);\n};\n",
-    "lib/m.go": "package m\n\nfunc Sum(xs []int) int {\n\ttotal := 0\n\tfor _, x := range xs {\n\t\ttotal += x\n\t}\n\treturn total\n}\n\ntype Box struct {\n}\n",
-    "lib/n.rs": "pub fn make(n: u32) -> u32 {\n    helper(n)\n}\n\nfn helper(n: u32) -> u32 {\n    n + 1\n}\n",
-}
-
-
-def _files(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(list(TREE.items()), "file string, text string")
-    return df.withColumn("language", syntax_of(F.col("file")))
+from loomgraph.operators import edges, extraction
+from loomgraph.session import table
+from loomgraph.sources.trees import TREE_SQL, document_tree
 
 
 def x1_masking(spark, d):
-    return _files(spark).select("file", F.length(extraction.mask(F.col("text"), F.col("language"))).alias("n"), F.regexp_count(extraction.mask(F.col("text"), F.col("language")), F.lit("hidden|no")).alias("leaks"))
+    """Every file with comments and strings blanked, and with comments alone."""
+    t = document_tree(spark, d)
+    return t.select("file", F.md5(extraction.mask(F.col("text"), F.col("language"))).alias("masked"), F.length("text").alias("n"))
 
 
 def x2_symbols(spark, d):
-    return extraction.symbols(_files(spark)).select("file", "label", "kind", "line", "end", "exports")
+    return extraction.symbols(document_tree(spark, d)).select("id", "file", "label", "kind", "owner", "line", "end", "exports")
 
 
 def x4_signatures(spark, d):
-    f = _files(spark).where("language = 'py'").select("file", F.explode(F.split("text", "\n")).alias("l")).where(F.col("l").rlike(r"^\s*def "))
-    return f.select("file", F.regexp_extract("l", r"def (\w+)", 1).alias("label"), F.array_join(extraction.signature(F.col("l"), F.lit("")), ",").alias("params"))
+    t = document_tree(spark, d)
+    lines = t.select("file", F.explode(F.split("text", "\n")).alias("l")).where(F.col("l").rlike(r"^export function"))
+    return lines.select("file", F.regexp_extract("l", r"function (\w+)", 1).alias("label"), F.array_join(extraction.signature(F.col("l"), F.lit("")), ",").alias("params"))
 
 
 def x9_dynamic(spark, d):
-    return extraction.dynamic_files(_files(spark))
+    return extraction.dynamic_files(document_tree(spark, d))
 
 
 def x12_owners(spark, d):
-    return extraction.owners(extraction.symbols(_files(spark))).select("file", "label", "owner")
+    return extraction.owners(extraction.symbols(document_tree(spark, d))).select("file", "label", "owner")
 
 
 def x14_modules(spark, d):
-    wanted = spark.createDataFrame([("t.py", m) for m in ("pkg", "json.x", "json", "a")], "file string, module string")
-    return extraction.resolve_modules(wanted, _files(spark)).select("module", "target")
-
+    """Documents as modules of five packages; each asks for the module of twice its number, with and without its package, and for a package."""
+    k = F.col("doc_id")
+    files = table(spark, d, "documents").select(k, F.concat(F.lit("src/p"), (k % 5).cast("string"), F.lit("/m"), k.cast("string"), F.lit(".py")).alias("file"))
+    name = F.concat(F.lit("m"), (2 * k).cast("string"))
+    package = F.concat(F.lit("p"), (2 * k % 5).cast("string"))
+    wanted = files.select("file", F.explode(F.array(F.concat_ws(".", package, name), name, package)).alias("module"))
+    return extraction.resolve_modules(wanted, files.select("file")).select("file", "module", "target")
 
-def x18_calls(spark, d):
-    f = _files(spark)
-    return extraction.call_edges(f, extraction.symbols(f))
 
+def x17_aliases(spark, d):
+    """Names that imports bind to symbols of other files."""
+    t = document_tree(spark, d)
+    return edges.bound_names(t, extraction.symbols(t))[0]
 
-def x21_closures(spark, d):
-    return extraction.closure_locals(extraction.symbols(_files(spark))).select("file", "label")
 
+def x18_edges(spark, d):
+    t = document_tree(spark, d)
+    return edges.edges(t, extraction.symbols(t), t.select("file", "package"))
 
-def x22_packages(spark, d):
-    return extraction.package_of(_files(spark), spark.createDataFrame([("src",), ("src/pkg",)], "dir string"))
 
+def x19_dropped(spark, d):
+    """Mentions that give no edge, by reason."""
+    t = document_tree(spark, d)
+    s = extraction.symbols(t)
+    return edges.ladder(t, s, *edges.bound_names(t, s), t.select("file", "package")).where("why IS NOT NULL").groupBy("file", "form", "why").agg(F.count("*").alias("n"))
 
-QUERIES = {f.__name__: f for f in (x1_masking, x2_symbols, x4_signatures, x9_dynamic, x12_owners, x14_modules, x18_calls, x21_closures, x22_packages)}
 
+def x21_closures(spark, d):
+    return extraction.closure_locals(extraction.symbols(document_tree(spark, d))).select("file", "label")
 
-def _rows(names: str, *rows: tuple) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS INTEGER)" if isinstance(v, int) else f"'{v}'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
 
+def x22_packages(spark, d):
+    """Directories of even packages, and the tests of all, have a manifest."""
+    t = document_tree(spark, d)
+    dirs = t.where(F.substring("package", 4, 9).cast("int") % 2 == 0).select(F.col("package").alias("dir")).union(t.select(F.concat("package", F.lit("/tests")))).distinct()
+    return extraction.package_of(t.select("file"), dirs)
+
+
+QUERIES = {f.__name__: f for f in (x1_masking, x2_symbols, x4_signatures, x9_dynamic, x12_owners, x14_modules, x17_aliases, x18_edges, x19_dropped, x21_closures, x22_packages)}
+
+#: S: the symbols; M: the mentions, with what the imports, the file and the package make of them.
+_SYMBOLS = f"""WITH {TREE_SQL}, S AS (SELECT file || ':C_' || w[8] AS id, file, package, role, 'C_' || w[8] AS label, 'class' AS kind, NULL AS owner, 3 AS line, 5 AS e, true AS exports FROM T
+UNION ALL SELECT file || ':C_' || w[8] || '.' || w[1], file, package, role, w[1], 'method', 'C_' || w[8], 4, 4, false FROM T UNION ALL SELECT file || ':' || w[2], file, package, role, w[2], 'function', NULL, 7, 11, true FROM T
+UNION ALL SELECT file || ':in_' || w[8], file, package, role, 'in_' || w[8], 'function', NULL, 9, 9, false FROM T)"""
+_EDGES = f"""{_SYMBOLS}, A AS (SELECT file, w[6] AS name, fi || ':' || a AS id FROM T WHERE fi IS NOT NULL),
+L AS (SELECT file, package, role, file || ':C_' || w[8] AS src, 'inherit' AS form, 'C_' || w[4] AS name, false AS bound FROM T UNION ALL SELECT file, package, role, file || ':C_' || w[8] || '.' || w[1], 'call', w[3], false FROM T
+UNION ALL SELECT file, package, role, file || ':' || w[2], unnest(['call', 'call', 'ref', 'ref', 'ref', 'ref', 'call']), unnest([w[3], w[4], w[1], w[5], 'q_r', w[6], w[6]]), unnest([true, false, false, false, true, false, false]) FROM T
+UNION ALL SELECT file, package, role, file || ':in_' || w[8], 'call', w[4], false FROM T UNION ALL SELECT file, package, role, file || ':<module>', unnest(['call', 'ref']), unnest([w[6], w[1]]), false FROM T),
+U AS (SELECT package, label AS name, count(*) AS n, min(id) AS id, min(role) AS role FROM S WHERE label NOT LIKE 'in\\_%' ESCAPE '\\' GROUP BY 1, 2),
+M AS (SELECT L.file, L.role, L.src, L.form, coalesce(A.id, o.id) AS known, U.id AS one, U.role AS one_role, coalesce(U.n, 0) AS n, bound FROM L LEFT JOIN A ON A.file = L.file AND A.name = L.name LEFT JOIN S o ON o.file = L.file AND o.label = L.name LEFT JOIN U ON U.package = L.package AND U.name = L.name),
+R AS (SELECT *, CASE WHEN known IS NOT NULL THEN NULL WHEN form <> 'inherit' AND bound THEN 'bound' WHEN n = 0 THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN form = 'ref' AND role = 'src' AND one_role <> 'src' THEN 'role' END AS why FROM M)"""
 
 ORACLE_SQL = {
-    "x1_masking": _rows("file, n, leaks", *[(f, len(t), 0) for f, t in TREE.items()]),
-    "x2_symbols": _rows(
-        'file, label, kind, line, "end", exports', ("src/a.py", "alpha", "function", 3, 5, True), ("src/a.py", "Box", "class", 7, 9, True), ("src/a.py", "area", "method", 8, 9, True), ("src/b.py", "beta", "function", 1, 2, True),
-        ("src/pkg/json/x.py", "load", "function", 1, 4, True), ("src/pkg/json/x.py", "inner", "method", 2, 3, True), ("tests/a.js", "checks", "function", 1, 3, True), ("tests/a.js", "gamma", "function", 4, 6, False),
-        ("lib/m.go", "Sum", "function", 3, 9, True), ("lib/m.go", "Box", "class", 11, 12, True), ("lib/n.rs", "make", "function", 1, 3, True), ("lib/n.rs", "helper", "function", 5, 7, False),
-    ),
-    "x4_signatures": _rows("file, label, params", ("src/a.py", "alpha", "x,y"), ("src/a.py", "area", "self"), ("src/b.py", "beta", "x"), ("src/pkg/json/x.py", "load", "path"), ("src/pkg/json/x.py", "inner", "p")),
-    "x9_dynamic": _rows("file", ("src/pkg/json/x.py",)),
-    "x12_owners": _rows("file, label, owner", ("src/a.py", "area", "Box")),
-    "x14_modules": _rows("module, target", ("pkg", "src/pkg/__init__.py"), ("json.x", "src/pkg/json/x.py"), ("json", None), ("a", "src/a.py")),
-    "x18_calls": _rows("src, dst, kind", ("src/a.py:alpha", "src/b.py:beta", "call"), ("src/a.py:area", "src/a.py:alpha", "call"), ("tests/a.js:checks", "src/b.py:beta", "test"), ("tests/a.js:gamma", "tests/a.js:checks", "call"), ("src/pkg/json/x.py:load", "src/pkg/json/x.py:inner", "call"), ("lib/n.rs:make", "lib/n.rs:helper", "call")),
-    "x21_closures": _rows("file, label", ("src/pkg/json/x.py", "inner")),
-    "x22_packages": _rows("file, package", *[(f, "src/pkg" if f.startswith("src/pkg") else "src" if f.startswith("src") else "") for f in TREE]),
+    "x1_masking": rf"""WITH {TREE_SQL}, P AS (SELECT file, k, w, a, b, 'import {{ ' || a || ' as ' || w[6] || ' }} from ' AS l1, '''./f' || (k - 35) || '.js''' AS q1, ' import {{ ' || w[1] || ' }} from ''./f' || (k - 35) || '.js''' AS c1, '''./f' || (k - 70) || '.js''' AS q2,
+'/* ' || w[2] || '(' || w[3] || ') */' AS c6, '''' || w[5] || '(''' AS q8 FROM T),
+Q AS (SELECT file, l1 || repeat(' ', length(q1)) || '; ' || repeat(' ', length(c1) + 2) || chr(10) || 'import * as ' || w[7] || ' from ' || repeat(' ', length(q2)) || ';' || chr(10) || 'export class C_' || w[8] || ' extends C_' || w[4] || ' {{' || chr(10)
+|| '  ' || w[1] || '(p_q, ' || w[2] || ') {{ return ' || w[3] || '(p_q, ' || w[5] || ', ' || w[2] || '); }}' || chr(10) || '}}' || chr(10) || repeat(' ', length(c6)) || chr(10) || 'export function ' || w[2] || '(' || w[3] || ', q_r) {{' || chr(10)
+|| '  ' || w[3] || '(q_r); ' || w[4] || '(' || w[1] || ', ' || repeat(' ', length(q8)) || ', ' || w[5] || ');' || chr(10) || '  function in_' || w[8] || '() {{ ' || w[4] || '(); }}' || chr(10)
+|| '  return ' || w[7] || '.' || b || '(' || w[6] || ') instanceof C_' || w[8] || ' ? C_' || w[4] || '.' || w[1] || '() : ' || repeat(' ', length(w[5]) + 5) || w[6] || '(1)  ;' || chr(10) || '}}' || chr(10) || w[6] || '(' || w[1] || ');' || CASE WHEN k % 3 = 0 THEN chr(10) || 'handlers[' || w[1] || '](2);' ELSE '' END AS m FROM P) SELECT file, md5(m) AS masked, CAST(length(m) AS INTEGER) AS n FROM Q""".replace("{{", "{").replace("}}", "}"),
+    "x2_symbols": f'{_SYMBOLS} SELECT id, file, label, kind, owner, CAST(line AS INTEGER) AS line, CAST(e AS INTEGER) AS "end", exports FROM S',
+    "x4_signatures": f"WITH {TREE_SQL} SELECT file, w[2] AS label, w[3] || ',q_r' AS params FROM T",
+    "x9_dynamic": f"WITH {TREE_SQL} SELECT file FROM T WHERE k % 3 = 0",
+    "x12_owners": f"WITH {TREE_SQL} SELECT file, w[1] AS label, 'C_' || w[8] AS owner FROM T",
+    "x14_modules": """WITH F AS (SELECT doc_id AS k, 'src/p' || doc_id % 5 || '/m' || doc_id || '.py' AS file FROM documents), A AS (SELECT file, unnest(['p' || 2 * k % 5 || '.m' || 2 * k, 'm' || 2 * k, 'p' || 2 * k % 5]) AS module, unnest([2 * k, -1, -1]) AS j FROM F)
+SELECT A.file, A.module, F.file AS target FROM A LEFT JOIN F ON F.k = A.j""",
+    "x17_aliases": f"{_EDGES} SELECT file, name AS local, id FROM A",
+    "x18_edges": f"""{_EDGES}, E AS (SELECT src, coalesce(known, one) AS dst, form, role FROM R WHERE why IS NULL UNION ALL SELECT file || ':' || w[2], file || ':C_' || w[8], 'ref', role FROM T UNION ALL SELECT file || ':' || w[2], fj || ':' || b, 'call', role FROM T WHERE fj IS NOT NULL)
+SELECT DISTINCT src, dst, CASE WHEN form <> 'inherit' AND E.role = 'tests' AND S.role <> 'tests' THEN 'test' ELSE form END AS kind, CAST(1 AS INTEGER) AS weight FROM E JOIN S ON S.id = E.dst WHERE src <> dst""",
+    "x19_dropped": f"{_EDGES} SELECT file, form, why, count(*) AS n FROM R WHERE why IS NOT NULL GROUP BY 1, 2, 3",
+    "x21_closures": f"WITH {TREE_SQL} SELECT file, 'in_' || w[8] AS label FROM T",
+    "x22_packages": f"WITH {TREE_SQL} SELECT file, CASE WHEN role = 'tests' THEN package || '/tests' WHEN k % 5 % 2 = 0 THEN package ELSE '' END AS package FROM T",
 }

@@ -51,7 +51,7 @@ def test_reliance_reads_each_call(spark):
     got = {r.id: r for r in findings.reliance(callers).collect()}
     r = got["s"]
     assert (r.n_sites, r.awaited, r.fields, r.least_args, r.most_args) == (10, 2, "a,b,total", 0, 2)
-    assert (r.handles_errors, r.null_checked) == (4, 2)  # the try ends with the second line that closes one: `}` and `catch` stand on two lines
+    assert (r.handles_errors, r.null_checked) == (8, 2)  # the try ends where `}` and `finally` stand on one line
     assert got.keys() == {"s", "d"} and (got["d"].n_sites, got["d"].most_args) == (1, 2)
     assert {x.id: x.n_sites for x in findings.reliance(callers, 3).collect()}["s"] == 3
     mut = spark.createDataFrame([("m", ["p", "q", "r", "s", "t"], "p.x = 1\nif (q.x == 2) {}\nr[0] += 1\nObject.assign( s, {})\n// t.x = 1\nt.a.sort")], "id string, params array<string>, text string")

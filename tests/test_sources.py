@@ -1,7 +1,7 @@
 import json
 
 from loomgraph.functions.paths import glob_regex, override_role
-from loomgraph.operators import extraction
+from loomgraph.operators import edges, extraction
 from loomgraph.sources import readers, sinks
 from loomgraph.sources.adapters import trade  # noqa: F401
 
@@ -55,8 +55,8 @@ def test_extraction(spark):
     s = extraction.symbols(files)
     got = {(r.file, r.label, r.kind, r.line, r.end) for r in s.collect()}
     assert got == {("src/a.py", "alpha", "function", 3, 5), ("src/a.py", "Box", "class", 7, 9), ("src/a.py", "area", "method", 8, 9), ("src/b.py", "beta", "function", 1, 2), ("tests/a.js", "checks", "function", 1, 3), ("tests/a.js", "gamma", "function", 4, 6)}
-    e = {tuple(r) for r in extraction.call_edges(files, s).collect()}
-    assert e == {("src/a.py:alpha", "src/b.py:beta", "call"), ("src/a.py:area", "src/a.py:alpha", "call"), ("tests/a.js:checks", "src/b.py:beta", "test"), ("tests/a.js:gamma", "tests/a.js:checks", "call")}
+    e = {tuple(r)[:3] for r in edges.edges(files, s).collect()}
+    assert e == {("src/a.py:alpha", "src/b.py:beta", "call"), ("src/a.py:Box.area", "src/a.py:alpha", "call"), ("tests/a.js:checks", "src/b.py:beta", "test"), ("tests/a.js:gamma", "tests/a.js:checks", "call")}
     assert [(r.label, r.owner) for r in extraction.owners(s).collect()] == [("area", "Box")]
     for text in (v[1] for v in SOURCES.values()):
         m = extraction.masked_text(text, "js")
