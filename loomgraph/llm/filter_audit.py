@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrow import bounded
+from loomgraph.session import Stored
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 MARKS = b"#$%&*|"
+#: A text is hot if more than one row in so many has it.
+HOT = 1000
 #: Parts whose counts a task holds before it hands them on (23 KB each).
 PARTS_HELD = 256
 
@@ -108,15 +111,18 @@ def filter_audit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     of them says so; one without labels is neither. Other columns, whatever
     their names, are not read; an empty table gives an empty result.
 
-    Texts are read once; rows of about 60 bytes are joined with the first id
-    of each repeated text and with the labels (sort-merge joins, which AQE
-    splits at a hot text), and a row for each part and order leaves a task.
+    Texts are read once. Rows of about 60 bytes get the first id of their text:
+    by a broadcast where one text has over a HOT-th of all rows (fewer than HOT
+    can), by a shuffle of the rest; then their labels. A row for each part and
+    order leaves a task of the audit.
     """
-    rows = measured(df, id_col, text_col, part_col)
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("times")).where("times > 1").select("digest", "first")
+    rows = Stored(measured(df, id_col, text_col, part_col), "audit-rows").read()
+    first = Stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1"), "audit-repeated").read()
+    often = F.col("times") > rows.count() / HOT
+    hot, rest = F.broadcast(first.where(often).select("digest", "first")), first.where(~often).select("digest", "first")
     said = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("int"))
     label = labels.groupBy(F.col(f"`{id_col}`").cast("long").alias("doc_id")).agg((said("quality") + 2 * said("toxic")).alias("label")).where("label > 0")
-    of = rows.join(first, "digest", "left").join(label, "doc_id", "left")
+    of = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(rest, "digest", "left")).join(label, "doc_id", "left")
     late = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int")
     n = removals(of.select("part", (F.col("fails") + 16 * late).alias("fails"), F.coalesce("label", F.lit(0)).alias("label")))
     return by_step(n)
