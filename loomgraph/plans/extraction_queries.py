@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import edges, extraction
+from loomgraph.operators import dispatch, edges, extraction
 from loomgraph.session import table
-from loomgraph.sources.trees import TREE_SQL, document_tree
+from loomgraph.sources.trees import TREE_SQL, class_tree, document_tree
 
 
 def x1_masking(spark, d):
@@ -72,7 +72,21 @@ def x22_packages(spark, d):
     return extraction.package_of(t.select("file"), dirs)
 
 
-QUERIES = {f.__name__: f for f in (x1_masking, x2_symbols, x4_signatures, x9_dynamic, x12_owners, x14_modules, x17_aliases, x18_edges, x19_dropped, x21_closures, x22_packages)}
+def x26_intents(spark, d):
+    """Calls through a receiver in seven languages."""
+    t = class_tree(spark, d)
+    return dispatch.intents(t, extraction.symbols(t))
+
+
+def x26_dispatch(spark, d):
+    """The methods they mean, the classes' ancestors looked through."""
+    t = class_tree(spark, d)
+    s = extraction.symbols(t)
+    up = edges.edges(t, s, aliases=spark.createDataFrame([], "file string, local string, id string"), namespaces=spark.createDataFrame([], "file string, local string, target string")).where("kind = 'inherit'")
+    return dispatch.dispatch_edges(dispatch.intents(t, s), s, dispatch.ranked_ancestors(up))
+
+
+QUERIES = {f.__name__: f for f in (x1_masking, x2_symbols, x4_signatures, x9_dynamic, x12_owners, x14_modules, x17_aliases, x18_edges, x19_dropped, x21_closures, x22_packages, x26_intents, x26_dispatch)}
 
 #: S: the symbols; M: the mentions, with what the imports, the file and the package make of them.
 _SYMBOLS = f"""WITH {TREE_SQL}, S AS (SELECT file || ':C_' || w[8] AS id, file, package, role, 'C_' || w[8] AS label, 'class' AS kind, NULL AS owner, 3 AS line, 5 AS e, true AS exports FROM T
@@ -86,6 +100,11 @@ U AS (SELECT package, label AS name, count(*) AS n, min(id) AS id, min(role) AS
 M AS (SELECT L.file, L.role, L.src, L.form, coalesce(A.id, o.id) AS known, U.id AS one, U.role AS one_role, coalesce(U.n, 0) AS n, bound FROM L LEFT JOIN A ON A.file = L.file AND A.name = L.name LEFT JOIN S o ON o.file = L.file AND o.label = L.name LEFT JOIN U ON U.package = L.package AND U.name = L.name),
 R AS (SELECT *, CASE WHEN known IS NOT NULL THEN NULL WHEN form <> 'inherit' AND bound THEN 'bound' WHEN n = 0 THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN form = 'ref' AND role = 'src' AND one_role <> 'src' THEN 'role' END AS why FROM M)"""
 
+#: C: the classes with their base and their parameter's type; I: the calls through a receiver (Ruby knows no types). Classes of php, py, java and cs have bases.
+_CLASSES = f"""{TREE_SQL}, C AS (SELECT T.k, 't' || T.k || '.' || ['rb', 'php', 'py', 'go', 'rs', 'java', 'cs'][T.k % 7 + 1] AS file, 'T_' || T.w[8] AS label, T.w[1] AS m1, T.w[2] AS m2, 'T_' || coalesce(b.w[8], 'Object') AS base, coalesce(b.w[2], 'none') AS h, 'T_' || coalesce(p.w[8], 'Object') AS type, coalesce(p.w[1], 'none') AS m
+FROM T LEFT JOIN T b ON b.k = T.k - 49 LEFT JOIN T p ON p.k = T.k - 98),
+I AS (SELECT DISTINCT file || ':' || label || '.' || m1 AS src, file, unnest([label, label, type]) AS type, unnest([m2, h, m]) AS method, unnest([true, true, false]) AS own, k FROM C), J AS (SELECT src, file, type, method, own FROM I WHERE own OR k % 7 <> 0)"""
+
 ORACLE_SQL = {
     "x1_masking": rf"""WITH {TREE_SQL}, P AS (SELECT file, k, w, a, b, 'import {{ ' || a || ' as ' || w[6] || ' }} from ' AS l1, '''./f' || (k - 35) || '.js''' AS q1, ' import {{ ' || w[1] || ' }} from ''./f' || (k - 35) || '.js''' AS c1, '''./f' || (k - 70) || '.js''' AS q2,
 '/* ' || w[2] || '(' || w[3] || ') */' AS c6, '''' || w[5] || '(''' AS q8 FROM T),
@@ -104,5 +123,12 @@ SELECT A.file, A.module, F.file AS target FROM A LEFT JOIN F ON F.k = A.j""",
 SELECT DISTINCT src, dst, CASE WHEN form <> 'inherit' AND E.role = 'tests' AND S.role <> 'tests' THEN 'test' ELSE form END AS kind, CAST(1 AS INTEGER) AS weight FROM E JOIN S ON S.id = E.dst WHERE src <> dst""",
     "x19_dropped": f"{_EDGES} SELECT file, form, why, count(*) AS n FROM R WHERE why IS NOT NULL GROUP BY 1, 2, 3",
     "x21_closures": f"WITH {TREE_SQL} SELECT file, 'in_' || w[8] AS label FROM T",
+    "x26_intents": f"WITH {_CLASSES} SELECT * FROM J",
+    "x26_dispatch": f"""WITH RECURSIVE {_CLASSES}, D AS (SELECT file, label AS type, unnest([m1, m2]) AS method FROM C), U AS (SELECT label, min(file) AS file FROM C GROUP BY label HAVING count(*) = 1),
+B AS (SELECT C.file, U.file AS up, U.label AS up_type FROM C JOIN U ON U.label = C.base WHERE k % 7 IN (1, 2, 5, 6) AND U.file <> C.file),
+A AS (SELECT file, up, up_type, 1 AS n FROM B UNION SELECT A.file, B.up, B.up_type, n + 1 FROM A JOIN B ON B.file = A.up WHERE n < 1000),
+P AS (SELECT J.*, CASE WHEN own THEN J.file ELSE U.file END AS home FROM J LEFT JOIN U ON U.label = J.type), H AS (SELECT P.*, D.method IS NOT NULL AS hit FROM P LEFT JOIN D ON D.file = home AND D.type = P.type AND D.method = P.method WHERE home IS NOT NULL),
+R AS (SELECT H.src, H.method, H.type, up, up_type, row_number() OVER (PARTITION BY H.src, H.type, H.method, H.own ORDER BY n) AS r FROM H JOIN A ON A.file = H.home JOIN D ON D.file = A.up AND D.type = A.up_type AND D.method = H.method WHERE NOT hit),
+E AS (SELECT src, home || ':' || type || '.' || method AS dst FROM H WHERE hit UNION SELECT src, up || ':' || up_type || '.' || method FROM R WHERE r = 1) SELECT src, dst, 'call' AS kind, CAST(1 AS INTEGER) AS weight FROM E WHERE src <> dst""",
     "x22_packages": f"WITH {TREE_SQL} SELECT file, CASE WHEN role = 'tests' THEN package || '/tests' WHEN k % 5 % 2 = 0 THEN package ELSE '' END AS package FROM T",
 }

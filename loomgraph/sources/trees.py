@@ -55,3 +55,28 @@ TREE_SQL = f"""W AS (SELECT doc_id AS k, list_filter(regexp_extract_all(translat
 V AS (SELECT k, list_filter(u, lambda x, i: list_position(u, x) = i) AS w, 'pkg' || k % 5 AS package, CASE k % 7 WHEN 0 THEN 'tests' WHEN 1 THEN 'bench' ELSE 'src' END AS role FROM W),
 X AS (SELECT k, w, package, role, package || '/' || role || '/f' || k || '.js' AS file FROM V WHERE len(w) >= 8),
 T AS (SELECT X.*, i.file AS fi, j.file AS fj, coalesce(i.w[2], 'none') AS a, coalesce(j.w[2], 'none') AS b FROM X LEFT JOIN X i ON i.k = X.k - 35 LEFT JOIN X j ON j.k = X.k - 70)"""
+
+#: A class in each of seven languages, by extension: {8} is its name, {c} its base's, {d} the type of a parameter; {1}, {2} its methods, {m} one of the type's, {h} one of the base's.
+CLASSES = {
+    "rb": "class T_{8} < T_{c}\n  def {1}(p)\n    self.{2}\n    {h}(1)\n    p.{m}(2)\n  end\n  def {2}\n  end\nend\n",
+    "php": "<?php\nclass T_{8} extends T_{c} {\n  function {1}(?T_{d} $p) {\n    $this->{2}();\n    $this->{h}(1);\n    $p->{m}(2); // $this->{m}()\n  }\n  function {2}() {\n  }\n}\n",
+    "py": "class T_{8}(T_{c}):\n    def {1}(self, p: T_{d}):\n        self.{2}()\n        self.{h}(1)\n        p.{m}(2)  # self.{m}()\n\n    def {2}(self):\n        pass\n",
+    "go": "type T_{8} struct {\n}\nfunc (r *T_{8}) {1}(p *T_{d}) {\n\tr.{2}()\n\tr.{h}(1)\n\tp.{m}(2)\n}\nfunc (r T_{8}) {2}() {\n}\n",
+    "rs": "struct T_{8};\nimpl T_{8} {\n    fn {1}(&self, p: &mut T_{d}) {\n        self.{2}();\n        self.{h}(1);\n        p.{m}(2);\n    }\n    fn {2}(&self) {\n    }\n}\n",
+    "java": "class T_{8} extends T_{c} {\n    void {1}(T_{d} p) {\n        this.{2}();\n        this.{h}(1);\n        p.{m}(2);\n    }\n    void {2}() {\n    }\n}\n",
+    "cs": "class T_{8} : T_{c} {\n    public void {1}(T_{d} p) {\n        this.{2}();\n        this.{h}(1);\n        p.{m}(2);\n    }\n    public void {2}() {\n    }\n}\n",
+}
+
+
+def class_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, file, text, language): a class for each document, its language by the number. The base is the class 49 documents back (Object where there is none), the parameter's type that 98 back; both are of the same language."""
+    d = document_words(spark, sf_dir)
+    back = lambda n, names: d.select((F.col("k") + n).alias("k"), *[F.col("w")[i].alias(c) for c, i in names.items()])
+    d = d.join(back(49, {"c": 7, "h": 1}), "k", "left").join(back(98, {"d": 7, "m": 0}), "k", "left")
+    d = d.withColumns({c: F.coalesce(c, F.lit("Object" if c in "cd" else "none")) for c in "chdm"})
+    kinds = list(CLASSES)
+    language = F.element_at(F.array(*map(F.lit, kinds)), (F.col("k") % len(kinds) + 1).cast("int"))
+    text = F.element_at(F.array(*map(F.lit, CLASSES.values())), (F.col("k") % len(kinds) + 1).cast("int"))
+    for name, value in [(str(i), F.col("w")[i - 1]) for i in (1, 2, 8)] + [(c, F.col(c)) for c in "chdm"]:
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return d.select("k", F.concat(F.lit("t"), F.col("k").cast("string"), F.lit("."), language).alias("file"), text.alias("text"), language.alias("language"))
