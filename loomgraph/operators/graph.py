@@ -81,11 +81,10 @@ def impact(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def blast_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Q8: for every id (dangling ones too) how many others its change reaches."""
-    e = edges.where(F.col("kind").isin(*IMPACT_KINDS))
-    universe = nodes.select("id").union(edges.select("src")).union(edges.select("dst")).distinct()
-    hit = closure(e, e.select(F.col("dst").alias("id")).distinct()).where("seed <> id").groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("blast"))
-    return universe.join(hit, "id", "left").select("id", F.coalesce("blast", F.lit(0)).alias("blast"))
+    """Q8: for every id (dangling ones too) how many others its change reaches; see operators/blast.py."""
+    from loomgraph.operators.blast import blast
+
+    return blast(nodes, edges).counts()
 
 
 def file_edges(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CYCLE_KINDS) -> DataFrame:
@@ -96,6 +95,10 @@ def file_edges(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CYCL
     return both.groupBy(F.col("file_src").alias("src"), F.col("file_dst").alias("dst")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
+#: Layers of nodes off all cycles that a round of strong_components trims.
+LAYERS = 3
+
+
 def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(id, root) of every node on a cycle of two or more; root is the component's smallest id.
 
@@ -108,7 +111,9 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     for _ in range(most_rounds):
         while True:
             n = left.count()
-            trimmed = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            trimmed = left
+            for _ in range(LAYERS):
+                trimmed = trimmed.join(trimmed.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(trimmed.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             trimmed = checkpoint(trimmed)
             left, before = trimmed, n
             if trimmed.count() == before:
@@ -130,27 +135,29 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     return found.join(size, "root", "left_semi").select("id", "root")
 
 
-def _least_that_reaches(edges: DataFrame) -> DataFrame:
+def _least_that_reaches(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(id, colour): the smallest id from which a path leads to it, itself included."""
     now = checkpoint(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("colour", F.col("id")))
-    while True:
+    for _ in range(most_rounds):
         offer = edges.join(now.toDF("src", "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("c"))
         new = checkpoint(now.join(offer, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
         if new.where("moved").isEmpty():
             return new.select("id", "colour")
         now = new.select("id", "colour")
+    raise RuntimeError(f"a way of over {most_rounds} steps inside the graph's cycles")
 
 
-def _back_from_root(inside: DataFrame) -> DataFrame:
+def _back_from_root(inside: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """Within each colour, the nodes from which its root is reached: with the colouring, its strong component."""
     got = checkpoint(inside.select(F.col("root").alias("id"), "root").distinct())
     frontier = got
-    while True:
+    for _ in range(most_rounds):
         new = inside.join(frontier.select(F.col("id").alias("dst"), "root"), ["dst", "root"]).select(F.col("src").alias("id"), "root").distinct().join(got, ["id", "root"], "left_anti")
         new = checkpoint(new)
         if new.isEmpty():
             return got
         got, frontier = checkpoint(got.union(new)), new
+    raise RuntimeError(f"a way of over {most_rounds} steps inside the graph's cycles")
 
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:

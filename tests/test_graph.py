@@ -107,3 +107,43 @@ def test_similarity_joins_agree(spark):
     assert lsh <= want and len(lsh) >= 0.9 * len(want)
     assert similarity.item_hash("") == similarity.FNV_START and similarity.signature([], 4).tolist() == [2**32 - 1] * 4
     assert F is not None
+
+
+def test_blast_is_carried_over_edits(spark):
+    import random
+
+    from loomgraph.operators.blast import blast, carried
+
+    r = random.Random(11)
+    ids = [f"n{i}" for i in range(150)]
+    edges = {(a, b) for a, b in ((r.choice(ids), r.choice(ids)) for _ in range(110))} | {(ids[i], ids[i + 1]) for i in range(10)} | {(ids[10], ids[3])}
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    frame = lambda e: spark.createDataFrame(sorted((a, b, "call") for a, b in e), "src string, dst string, kind string")
+
+    def want(e, ids):
+        into = {i: set() for i in ids}
+        for a, b in e:
+            into.setdefault(b, set()).add(a)
+            into.setdefault(a, set())
+        out = {}
+        for i in into:
+            seen, todo = {i}, [i]
+            while todo:
+                new = into[todo.pop()] - seen
+                seen |= new
+                todo += new
+            out[i] = len(seen) - 1
+        return out
+
+    state = blast(nodes, frame(edges))
+    assert {x.id: x.blast for x in state.counts().collect()} == want(edges, ids)
+    for step in range(1):
+        new = set(edges) - set(r.sample(sorted(edges), 4)) | {(r.choice(ids), r.choice(ids)) for _ in range(3)} | {(f"new{step}", ids[3]), (ids[5], f"new{step}")}
+        state = carried(state, nodes, frame(edges), frame(new))
+        edges = new
+        assert {x.id: x.blast for x in state.counts().collect()} == want(edges, ids)
+    rows = state.rows.count()
+    assert rows < len(ids) ** 2 / 8
+    same = carried(state, nodes, frame(edges), frame(edges))
+    assert {x.id: x.blast for x in same.counts().collect()} == want(edges, ids)
+    assert blast(nodes.limit(0), frame(edges).limit(0)).counts().count() == 0
