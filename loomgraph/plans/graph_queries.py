@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import diff, graph, planning, ranking
-from loomgraph.sources.adapters import COMMERCE_SQL, FLOW_SQL, commerce, flow, trade, trade_sql
+from loomgraph.operators import blast, diff, graph, planning, ranking
+from loomgraph.sources.adapters import COMMERCE_SQL, FLOW_SQL, commerce, flow, market, market_sql, trade, trade_sql
 from loomgraph.session import table
 
 COMMERCE = f"WITH {COMMERCE_SQL}"
@@ -354,11 +354,42 @@ def c1_clusters(spark, d):
     return spark.createDataFrame(planning.propagate_labels(n.join(on, "id", "left_semi"), e), "id string, domain string").groupBy("domain").agg(F.count("*").alias("n"))
 
 
+def q8_blast_market(spark, d):
+    return graph.blast_counts(*market(spark, d))
+
+
+def q9_cycles_market(spark, d):
+    return graph.cycles(*market(spark, d)).select("root", F.array_join("files", ",").alias("files"), "n")
+
+
+def q9_components_market(spark, d):
+    """Strong components of nodes."""
+    return graph.strong_components(market(spark, d)[1])
+
+
+def q20_risk_market(spark, d):
+    n, e = market(spark, d)
+    return ranking.risk(n, e, _churn(n, e)).withColumn("risk", F.round("risk", 9))
+
+
+def p5_changed_risk_market(spark, d):
+    n, e = market(spark, d)
+    return ranking.risk(n, e, _churn(n, e), n.where("domain = 'customer-1'").select("file")).select("id", F.round("risk", 9).alias("risk"))
+
+
+def q31_lenses_carried(spark, d):
+    """Blast counts of the market, carried over from the market without the edges that leave every twentieth customer and those that some suppliers inherit by."""
+    n, e = market(spark, d)
+    number = F.substring("src", 3, 20).cast("long")
+    before = e.where(~((number % 20 == 0) & F.col("src").startswith("c:")) & ~((number % 40 == 0) & F.col("src").startswith("s:")))
+    return blast.carried(blast.blast(n, before), n, before, e).counts()
+
+
 QUERIES = {f.__name__: f for f in (
     a1_fan_in, q1_callers, q2_callees, q3_tests, q4_importers, q5_dependents, q6_impact, q7_impact_count, q8_blast_all, q9_cycles, q10_orphans, q11_cuts, q12_review, q13_regressions, q14_gate,
     q15_merge_simulator, q16_edit_merge, q16_edit_move, q17_simulate_delete, q18_diff_nodes, q18_diff_edges, q20_risk, q21_hotspots, q22_dead_code, q23_fitness, q24_optimize, q25_campaign, q26_reading_order,
     q27_placement, q28_cards, q30_brief, q31_lenses, q32_codemod, q33_trend, c1_clusters, a2_indegree, a4_domains, a5_coupling, a6_cross_edges, a7_matrix, a12_common_callees, a13_files,
-    p1_scope, p3_resolve, p5_changed_risk, p8_suppressed, p10_dangling, p12_sample, w1_page, w3_canonical, u1_union, u4_identity, u5_merge,
+    p1_scope, p3_resolve, p5_changed_risk, p8_suppressed, p10_dangling, p12_sample, w1_page, w3_canonical, u1_union, u4_identity, u5_merge, q8_blast_market, q9_cycles_market, q9_components_market, q20_risk_market, p5_changed_risk_market, q31_lenses_carried,
 )}
 
 _FAN = "SELECT dst AS id, count(DISTINCT src) AS fan_in FROM E WHERE kind = 'call' GROUP BY dst"
@@ -426,3 +457,15 @@ UNION ALL SELECT 'fan', 'error', id, CAST(fan_in AS VARCHAR) FROM ({_FAN}) WHERE
     "u4_identity": f"{TRADE} SELECT domain, 'group|' || string_agg(id, ',' ORDER BY id) AS identity FROM N GROUP BY domain",
     "u5_merge": f"WITH {FLOW_SQL} SELECT src, dst, kind, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT * FROM E UNION ALL SELECT * FROM E WHERE src < dst) GROUP BY 1, 2, 3",
 }
+
+MARKET = f"WITH RECURSIVE {market_sql()}"
+_FILES = f"""{MARKET}, FE AS (SELECT DISTINCT a.file AS x, b.file AS y FROM E JOIN N a ON a.id = src JOIN N b ON b.id = dst WHERE a.file <> b.file), FR AS (SELECT x, y FROM FE UNION SELECT FR.x, FE.y FROM FR JOIN FE ON FE.x = FR.y)"""
+_RISK_MARKET = _RISK.replace(TRADE, MARKET).replace("LEFT JOIN H ON H.file = N.file)", "LEFT JOIN H ON H.file = N.file WHERE N.role = 'product')")
+ORACLE_SQL |= {
+    "q8_blast_market": ORACLE_SQL["q8_blast_all"].replace(TRADE, MARKET),
+    "q31_lenses_carried": ORACLE_SQL["q8_blast_all"].replace(TRADE, MARKET),
+    "q20_risk_market": f"{_RISK_MARKET} SELECT id, fan_in, fan_out, loc, blast, churn, risk FROM Y",
+    "p5_changed_risk_market": f"{_RISK_MARKET} SELECT id, risk FROM Y WHERE id IN (SELECT id FROM N WHERE file IN (SELECT file FROM N WHERE domain = 'customer-1'))",
+    "q9_components_market": f"{MARKET}, {CLOSURE} SELECT a.a AS id, least(a.a, min(a.b)) AS root FROM R a JOIN R b ON b.a = a.b AND b.b = a.a WHERE a.a <> a.b GROUP BY a.a",
+    "q9_cycles_market": f"{_FILES}, M AS (SELECT a.x, least(a.x, min(a.y)) AS root FROM FR a JOIN FR b ON b.x = a.y AND b.y = a.x WHERE a.x <> a.y GROUP BY a.x) SELECT root, string_agg(x, ',' ORDER BY x) AS files, count(*) AS n FROM M GROUP BY root",
+}

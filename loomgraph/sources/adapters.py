@@ -6,7 +6,7 @@ role) and edges (src, dst, kind, weight).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.session import table
@@ -117,6 +117,38 @@ E AS (SELECT 'n:' || c_nationkey AS src, 'n:' || s_nationkey AS dst, 'call' AS k
 N AS (SELECT 'n:' || n_nationkey AS id, n_name AS label, 'function' AS kind, 'nation/' || n_nationkey AS file, 1 AS line, CAST(n_nationkey + 1 AS INTEGER) AS loc, n_nationkey % 5 = 0 AS exports, r_name AS domain, 'product' AS role FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 
+def market(spark: SparkSession, d: str, top: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers, each with edges to the `top` of the others that it trades with most; cyclic, and as large as the tables. Some suppliers inherit from their customers, some customers are tests."""
+    t = lambda n: table(spark, d, n)
+    trades = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").cast("int").alias("n"))
+
+    def best(by: str, other: str) -> DataFrame:
+        return trades.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), other))).where(F.col("r") <= top)
+
+    buys = best("o_custkey", "l_suppkey").select(_ref("c:", "o_custkey").alias("src"), _ref("s:", "l_suppkey").alias("dst"), F.lit("call").alias("kind"), F.col("n").alias("weight"))
+    kind = F.when(F.col("l_suppkey") % 10 == 0, "inherit").otherwise("call")
+    sells = best("l_suppkey", "o_custkey").select(_ref("s:", "l_suppkey").alias("src"), _ref("c:", "o_custkey").alias("dst"), kind.alias("kind"), F.col("n").alias("weight"))
+
+    def node(name: str, key: str, prefix: str, files: int, label: Column, role: Column) -> DataFrame:
+        k = F.col(key)
+        return t(name).select(
+            _ref(prefix, key).alias("id"), label.alias("label"), F.lit("function").alias("kind"), F.concat(F.lit(f"{name}/"), (k % files).cast("string")).alias("file"), F.lit(1).alias("line"),
+            (1 + k % 40).cast("int").alias("loc"), (k % 5 == 0).alias("exports"), F.concat(F.lit(f"{name}-"), (k % 4).cast("string")).alias("domain"), role.alias("role"),
+        )
+
+    role = F.when(F.col("c_custkey") % 11 == 0, "test").otherwise("product")
+    return node("customer", "c_custkey", "c:", 50, F.col("c_mktsegment"), role).union(node("supplier", "s_suppkey", "s:", 10, F.col("s_name"), F.lit("product"))), buys.union(sells)
+
+
+def market_sql(top: int = 2) -> str:
+    best = lambda by, other: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, {other}) AS r FROM V) WHERE r <= {top})"
+    return f"""
+V AS (SELECT o_custkey AS c, l_suppkey AS s, CAST(count(*) AS INTEGER) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+E AS (SELECT 'c:' || c AS src, 's:' || s AS dst, 'call' AS kind, n AS weight FROM {best("c", "s")} UNION ALL SELECT 's:' || s, 'c:' || c, CASE WHEN s % 10 = 0 THEN 'inherit' ELSE 'call' END, n FROM {best("s", "c")}),
+N AS (SELECT 'c:' || c_custkey AS id, c_mktsegment AS label, 'function' AS kind, 'customer/' || c_custkey % 50 AS file, 1 AS line, CAST(1 + c_custkey % 40 AS INTEGER) AS loc, c_custkey % 5 = 0 AS exports, 'customer-' || c_custkey % 4 AS domain, CASE WHEN c_custkey % 11 = 0 THEN 'test' ELSE 'product' END AS role FROM customer
+UNION ALL SELECT 's:' || s_suppkey, s_name, 'function', 'supplier/' || s_suppkey % 10, 1, CAST(1 + s_suppkey % 40 AS INTEGER), s_suppkey % 5 = 0, 'supplier-' || s_suppkey % 4, 'product' FROM supplier)"""
+
+
 def flow(spark: SparkSession, d: str) -> DataFrame:
     """Transitions between a user's consecutive events: (src, dst, kind, weight)."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

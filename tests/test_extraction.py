@@ -4,7 +4,7 @@ import time
 import pytest
 
 from loomgraph.functions.lexing import LANGUAGES, masked_text
-from loomgraph.operators import edges, extraction
+from loomgraph.operators import dispatch, edges, extraction
 
 CODE = [
     ("js", "a `x ${ f(`y ${g('}')} z`) + {k:1}.k } w` b // c\nh = /re[/]'x/g.test(i) + j / k / l\n'open\nm", "a f g + {k:1}.k b h = .test(i) + j / k / l m"),
@@ -99,3 +99,46 @@ def test_edge_ladder_and_guards(spark):
     split = spark.createDataFrame([("lib.js", "one"), ("other.js", "two"), ("tests/t.js", "two")], "file string, package string")
     assert ("use.js:<module>", "other.js:lonely", "ref") not in {(r.src, r.dst, r.kind) for r in edges.edges(files, s, split).collect()}
     assert edges.edges(files.limit(0), s.limit(0)).count() == 0
+
+
+DISPATCH = {
+    "a.rb": "class A\n  def go(p)\n    self.low\n    low2(1)\n    other\n    p.low\n    self.x = 1\n    B.low(1)\n  end\n  def low\n  end\n  def low2(x)\n  end\nend\n",
+    "a.php": "<?php\nclass P {\n  function go(?Q $q, int $n, $u) {\n    $this->low(); $q->make(1); $u->make(2); $n->make(3); // $q->gone()\n    $this->q->low();\n  }\n  function low() {}\n}\nclass Q {\n  public function make($x) {}\n}\n",
+    "a.py": "class Base:\n    def up(self):\n        pass\nclass Sub(Base):\n    def go(self, b: Base, n=1, m: int = 2):\n        self.up(); b.up(); self.b.up(); n.up()\n    @classmethod\n    def make(cls, s: \"Base\"):\n        cls.go(1); s.up()\ndef free(b: Base): return b.up()\n",
+    "a.go": "type R struct {\n}\nfunc (r *R) Go(a, s *S, n int) {\n\tr.low()\n\ts.Do()\n\ta.Do()\n\tx.Do()\n}\nfunc (q R) low() {\n\tr.Go()\n}\nfunc (s S) Do() {\n}\n",
+    "a.rs": "struct T;\nimpl T {\n    fn go(&self, u: &mut U, v: Vec<U>) {\n        self.low();\n        u.act();\n        v.act();\n    }\n    fn low(&self) {\n    }\n}\nimpl U {\n    fn act(&self) {\n    }\n}\n",
+    "a.java": "class J extends K {\n    void go(final L l, int n) {\n        this.low();\n        this.up();\n        l.run();\n        n.run();\n        low();\n    }\n    void low() {\n    }\n}\nclass L {\n    void run() {\n    }\n}\n",
+    "b.java": "class K {\n    void up() {\n    }\n}\n",
+    "a.cs": "class M {\n    public void Go(ref N n, V v) {\n        this.Low(); n.Act(); v.Act();\n    }\n    public void Low() {\n    }\n}\nclass N {\n    public void Act() {\n    }\n}\nclass V {\n    public void Act() {\n    }\n}\n",
+    "b.cs": "class V {\n    public void Act() {\n    }\n}\n",
+    "tests/c.java": "class CTest {\n    void check(L l) {\n        l.run();\n    }\n}\n",
+}
+
+
+def test_dispatch_in_seven_languages(spark):
+    files = spark.createDataFrame([(k, v, k.split(".")[-1]) for k, v in DISPATCH.items()] + [("n.py", None, "py"), ("x.js", "class A {\n  go() { this.low(); }\n}", "js")], "file string, text string, language string")
+    s = extraction.symbols(files)
+    i = dispatch.intents(files, s)
+    got = {(r.src, r.dst, r.kind) for r in dispatch.dispatch_edges(i, s).collect()}
+    plain = {
+        ("a.rb:A.go", "a.rb:A.low", "call"), ("a.rb:A.go", "a.rb:A.low2", "call"), ("a.php:P.go", "a.php:P.low", "call"), ("a.php:P.go", "a.php:Q.make", "call"),
+        ("a.py:Sub.go", "a.py:Base.up", "call"), ("a.py:free", "a.py:Base.up", "call"), ("a.py:Sub.make", "a.py:Sub.go", "call"),
+        ("a.go:R.Go", "a.go:R.low", "call"), ("a.go:R.Go", "a.go:S.Do", "call"), ("a.rs:T.go", "a.rs:T.low", "call"), ("a.rs:T.go", "a.rs:U.act", "call"),
+        ("a.java:J.go", "a.java:J.low", "call"), ("a.java:J.go", "a.java:L.run", "call"), ("a.cs:M.Go", "a.cs:M.Low", "call"), ("a.cs:M.Go", "a.cs:N.Act", "call"), ("tests/c.java:CTest.check", "a.java:L.run", "test"),
+    }
+    assert got == plain
+    up = edges.edges(files, s).where("kind = 'inherit'")
+    assert {(r.src, r.dst) for r in up.collect()} == {("a.py:Sub", "a.py:Base"), ("a.java:J", "b.java:K")}
+    more = {(r.src, r.dst, r.kind) for r in dispatch.dispatch_edges(i, s, dispatch.ranked_ancestors(up)).collect()}
+    assert more == plain | {("a.java:J.go", "b.java:K.up", "call")}
+    assert dispatch.dispatch_edges(i.limit(0), s).count() == 0
+
+
+def test_nearest_ancestor_counts_and_two_as_near_do_not(spark):
+    r = "file string, id string, label string, kind string, owner string, line int"
+    s = spark.createDataFrame([(f"{c}.py", f"{c}.py:{c}", c, "class", None, 1) for c in "ABCDE"] + [(f"{c}.py", f"{c}.py:{c}.{m}", m, "method", c, 2) for c, m in ("Bf", "Df", "Cg", "Bg", "Eh", "Df")[:5]], r)
+    up = spark.createDataFrame([("A.py:A", "B.py:B"), ("A.py:A", "C.py:C"), ("B.py:B", "D.py:D"), ("C.py:C", "E.py:E"), ("E.py:E", "A.py:A")], "src string, dst string")
+    a = dispatch.ranked_ancestors(up)
+    assert {(x.ancestor, x.distance) for x in a.where("id = 'A.py:A'").collect()} == {("B.py:B", 1), ("C.py:C", 1), ("D.py:D", 2), ("E.py:E", 2)}
+    i = spark.createDataFrame([("A.py:A.x", "A.py", "A", m, True) for m in "fgh"], "src string, file string, type string, method string, own boolean")
+    assert {x.dst for x in dispatch.dispatch_edges(i, s, a).collect()} == {"B.py:B.f", "E.py:E.h"}  # g is as near in B as in C
