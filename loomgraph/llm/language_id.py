@@ -18,14 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded, slices
+from loomgraph.llm.arrow import bounded, slices, tidy
 
 #: Characters of an n-gram; bits of a symbol, so that an n-gram's code has ORDER * BITS = 24.
 ORDER, BITS = 4, 6
 #: Symbol 0 is whatever is no letter; the most frequent letters of the sample have their own, others share one by their block.
 OWN_LETTERS = 48
-#: Bounds of the fitting sample: rows of a language, characters of a language, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGS = 1500, 4_000_000, 200
+#: Bounds of the fitting sample: rows of a language, characters of a language.
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 4_000_000
+#: Lengths, in counted positions, for which the rejection is calibrated; each on so many pieces at least.
+LENGTHS, PIECES = tuple(1 << k for k in range(13)), 100
 UNKNOWN = "und"
 
 
@@ -153,35 +155,49 @@ def fit(samples: dict[str, list[str]]) -> Model:
             by = np.argsort(hashed)
             keys.append(hashed[by])
             values.append(v[by])
-    limit = []
-    for j, k in enumerate(langs):
-        codes, n = grams(parts[k][1], table)
-        own = -model.log2(codes)[:, j]
-        ends = np.concatenate([[0], np.cumsum(own, dtype=np.float64)])
-        at = np.concatenate([[0], np.cumsum(n)])
-        h = ((ends[at[1:]] - ends[at[:-1]]) / np.maximum(n, 1))[n >= 40]
-        limit.append(np.quantile(h, 0.999) if len(h) else float(BITS))
-    model.limit = np.asarray(limit)
+    model.limit = np.array([limits(*_bits(model, j, grams(parts[k][1], table))) for j, k in enumerate(langs)]).reshape(len(langs), len(LENGTHS))
     return model
 
 
+def _bits(model: Model, j: int, of: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    codes, n = of
+    return -model.log2(codes)[:, j].astype(np.float64), n
+
+
+def limits(bits: np.ndarray, n: np.ndarray) -> list[float]:
+    """For each of LENGTHS the highest cross-entropy that a language's own calibration texts show over so many positions in a row.
+
+    bits: of each position; n: positions of each text. A longer text averages
+    over more positions, so it stays below. A length of too few pieces takes
+    the shorter one's limit; without any the limit is that of no evidence.
+    """
+    ends, out = np.concatenate([[0], np.cumsum(bits)]), []
+    starts = np.cumsum(n) - n
+    for length in LENGTHS:
+        count = n // length
+        first = np.repeat(starts, count) + length * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        h = (ends[first + length] - ends[first]) / length
+        out.append(float(h.max()) if len(h) >= PIECES else out[-1] if out else float("inf"))
+    return out
+
+
 class Scorer:
     """Scores texts; n-grams met once are kept in a table that their code addresses."""
 
     def __init__(self, model: Model):
         self.model, self.table = model, symbols(model.letters)
-        self.at = np.full(1 << (ORDER * BITS), -1, np.int32)
+        self.at = np.zeros(1 << (ORDER * BITS), np.int32)  # 1 and the place in rows; pages that no code falls into take no memory
         self.rows = np.zeros((0, len(model.langs)), np.float32)
 
     def values(self, codes: np.ndarray) -> np.ndarray:
         at = self.at[codes]
-        new = codes[at < 0]
+        new = codes[at == 0]
         if len(new):
             new = np.unique(new)
-            self.at[new] = np.arange(len(self.rows), len(self.rows) + len(new), dtype=np.int32)
+            self.at[new] = np.arange(len(self.rows), len(self.rows) + len(new), dtype=np.int32) + 1
             self.rows = np.concatenate([self.rows, self.model.log2(new)])
             at = self.at[codes]
-        return at
+        return at - 1
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits per position, by text and language; positions of each text."""
@@ -196,18 +212,14 @@ class Scorer:
         return out, n
 
 
-_SCORERS: dict[str, Scorer] = {}
-
 FIELDS = "lang_pred string, score double, bits double, accepted boolean"
 
 
-def classifier(model: Model, token: str, bc) -> Column:
+def classifier(model: Model, bc) -> Column:
     @F.arrow_udf(FIELDS)
-    def classify(texts: pa.Array) -> pa.Array:
-        if token not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[token] = Scorer(bc.value)
-        return _classify(_SCORERS[token], texts)
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(bc.value)  # one a task: what it has learned of n-grams goes with it
+        yield from tidy(lambda texts: (_classify(scorer, t) for t in texts))(batches)
 
     return classify
 
@@ -226,7 +238,7 @@ def _classify(s: Scorer, texts: pa.Array) -> pa.Array:
             j = int(np.argmin(h[i]))
             p = np.exp2((h[i, j] - h[i]) * min(float(n[i]), 200.0))
             lang.append(m.langs[j]), score.append(float(1 / p.sum())), bits.append(float(h[i, j]))
-            ok.append(bool(h[i, j] <= m.limit[j] + 1.0 + 6 / np.sqrt(n[i])))
+            ok.append(bool(h[i, j] <= m.limit[j, min(int(n[i]).bit_length(), len(LENGTHS)) - 1]))
     return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(ok, pa.bool_())], [x.split()[0] for x in FIELDS.split(", ")])
 
 
@@ -234,12 +246,12 @@ def sample(df: DataFrame, text_col: str, lang_col: str, key: Column, rows: int =
     """Distinct texts by language, picked by a hash of `key`, whole: about `rows` of each, and in the order of that hash no more once they have `chars` characters.
 
     This is the bounded sample the models are fitted on. No text is cut, so one
-    longer than `chars` stands alone. Languages: at most LANGS, those with the
-    most texts (ties to the smaller name).
+    longer than `chars` stands alone. Every language is learned; the driver gets
+    its name and count.
     """
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     named = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
-    there = {r.lang: r.n for r in named.orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    there = {r.lang: r.n for r in named.collect()}
     if not there:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in there.items() for x in (k, min(1.0, rows / n))])[F.col(lang_col)]
@@ -261,15 +273,14 @@ def language_id(train: DataFrame, df: DataFrame, id_col: str = "doc_id", text_co
     it is the learned language of lowest cross-entropy; ties go to the smaller
     name. score is that language's share of the likelihoods over at most 200
     characters' worth of evidence. accepted says whether the cross-entropy is
-    within the calibrated limit of that language. Only text and language of
+    within the limit that the calibration fifth of that language sets for texts
+    of this length. Rows that repeat are learned once and each predicted. Only text and language of
     `train` are read; columns of other names don't matter.
     """
     bounded(df.sparkSession)
     model = fit(sample(train, text_col, lang_col, F.col(id_col)))
     bc = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's size
-    import uuid
-
-    return classifier(model, uuid.uuid4().hex, bc)
+    return classifier(model, bc)
 
 
 def predict(df: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

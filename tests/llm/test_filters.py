@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from loomgraph.llm.language_id import fit, grams, language_id, predict, symbols
+from loomgraph.llm.language_id import BITS, ORDER, fit, grams, language_id, limits, points, predict, symbols
 from loomgraph.llm.quality_rules import RULES, Doc, keep_good, plan, quality_rules
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -66,6 +66,67 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(p, 1.0, atol=1e-4)
 
 
+def brute_kneser_ney(texts, table):
+    """The textbook estimator over dictionaries: probability of each symbol after a history, by orders 1 to ORDER."""
+    seen = Counter()
+    for t in texts:
+        codes = [0] * (ORDER - 1) + [int(table[c]) for c in points(t)]
+        for i in range(ORDER - 1, len(codes)):
+            if codes[i] or codes[i - 1]:
+                seen[tuple(codes[i - ORDER + 1 : i + 1])] += 1
+    counts = {ORDER: seen}
+    for k in range(ORDER - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {}
+    for k, c in counts.items():
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(history, w, k=ORDER):
+        if k == 0:
+            return 2.0**-BITS
+        h = history[len(history) - k + 1 :]
+        after = {g[-1]: v for g, v in counts[k].items() if g[:-1] == h}
+        if not after:
+            return p(history, w, k - 1)
+        total = sum(after.values())
+        return max(after.get(w, 0) - d[k], 0) / total + d[k] * len(after) / total * p(history, w, k - 1)
+
+    return p
+
+
+def test_kneser_ney_equals_the_textbook():
+    import numpy as np
+
+    m = fit(SAMPLES)
+    table = symbols(m.letters)
+    for j, lang in enumerate(m.langs):
+        p = brute_kneser_ney([t for i, t in enumerate(SAMPLES[lang]) if i % 5], table)
+        text = "the katze sat, im zug!  und 7 hats"
+        codes, n = grams([text], table)
+        got = -m.log2(codes)[:, j]
+        row = [0] * (ORDER - 1) + [int(table[c]) for c in points(text)]
+        want = [p(tuple(row[i - ORDER + 1 : i]), row[i]) for i in range(ORDER - 1, len(row)) if row[i] or row[i - 1]]
+        assert len(want) == n[0] and np.allclose(np.exp2(-got), want, rtol=1e-4)
+
+
+def test_rejection_follows_the_calibration_texts():
+    import numpy as np
+
+    bits = np.concatenate([np.tile([1.0, 3.0], 200), [9.0] * 4, np.full(396, 2.0)])
+    got = limits(bits, np.array([400, 400]))
+    assert got[:4] == [9.0, 9.0, 9.0, 5.5] and got[4:] == [5.5] * (len(got) - 4)  # from 16 positions on there are under 100 pieces
+    assert limits(np.zeros(0), np.zeros(0, int)) == [float("inf")] * len(got)
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * k + i, f"{letters[k % 26]}{letters[k // 26]}{letters[k % 7]} " * 30, f"l{k:03d}") for k in range(230) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = predict(df, language_id(df, df)).collect()
+    assert len({g.lang_pred for g in got}) > 200
+
+
 def test_language_id(spark):
     rows = [(i, t, k) for k, v in SAMPLES.items() for i, t in enumerate(v)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
