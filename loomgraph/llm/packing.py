@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
-from loomgraph.llm.arrow import bounded
+from loomgraph.llm.arrow import bounded, tidy
 from loomgraph.llm.bpe import codec
 from loomgraph.session import Stored
 
@@ -284,14 +284,14 @@ def keyed_documents(df: DataFrame, tokenizer: str, id_col: str, text_col: str, l
     shards = max(1, -(-size // shard_bytes))
     wide = len(codec(tokenizer).pieces) > 1 << 16
     layout = f"doc_id {kind}, doc_tokens long, sums array<long>, full binary, rest binary"
-    cut = Stored(docs.mapInArrow(_tokenize(tokenizer, length, end_id, with_ids), layout), "packing-tokens").read()
-    counts = dict(cut.select("rest").mapInArrow(_frequencies(wide), "token int, n long").groupBy("token").agg(F.sum("n")).collect())
+    cut = Stored(docs.mapInArrow(tidy(_tokenize(tokenizer, length, end_id, with_ids)), layout), "packing-tokens").read()
+    counts = dict(cut.select("rest").mapInArrow(tidy(_frequencies(wide)), "token int, n long").groupBy("token").agg(F.sum("n")).collect())
     df = np.zeros(max([0, *counts]) + 1, np.int64)
     for token, n in counts.items():
         if token >= 0:
             df[token] = n
     corpus = Corpus.of(counts.get(-1, 0), counts.get(-2, 0), df)
-    keyed = cut.mapInArrow(_keyed(wide, corpus), layout + "".join(f", {k} long" for k in KEYS)).withColumn("row", F.monotonically_increasing_id())
+    keyed = cut.mapInArrow(tidy(_keyed(wide, corpus)), layout + "".join(f", {k} long" for k in KEYS)).withColumn("row", F.monotonically_increasing_id())
     # rows that only their place in the stored table tells apart can still be parted
     return keyed.repartitionByRange(shards, *KEYS, F.xxhash64("doc_id", "doc_tokens"), "row").drop(*KEYS, "row"), field, length, wide, with_ids, corpus
 
@@ -300,4 +300,4 @@ def pack_keyed(dealt: DataFrame, field: StructField, length: int, wide: bool, wi
     from pyspark.sql.pandas.types import to_arrow_type
 
     out = f"doc_id {field.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return dealt.mapInArrow(_pack_shard(length, wide, with_ids, to_arrow_type(field.dataType), corpus), out)
+    return dealt.mapInArrow(tidy(_pack_shard(length, wide, with_ids, to_arrow_type(field.dataType), corpus)), out)

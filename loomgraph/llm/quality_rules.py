@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded
+from loomgraph.llm.arrow import bounded, columnwise, tidy
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -122,7 +122,7 @@ RULES = (
 
 
 def plan(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = 2000) -> tuple[Rule, ...]:
-    """The rules in the order of rejection per cost, as estimated on about `rows` rows, taken by a hash of their texts with a share that follows from the table's size.
+    """The rules in the order of rejection per cost, as estimated on about `rows` rows, drawn row by row with a share that follows from the table's size.
 
     Every rule runs on a fresh measure of every sampled text; only each
     rule's seconds and rejections leave the executors. A rule that rejects
@@ -142,9 +142,8 @@ def plan(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent), pa.array(hits, pa.int64())], ["rule", "spent", "hits"])
 
     share = min(1.0, rows / max(1, df.count()))  # the count reads no column
-    picked = F.pmod(F.xxhash64(text_col, F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = df.where(picked).select(F.col(text_col).cast("binary").alias("text"))
-    got = sample.mapInArrow(tried, "rule int, spent double, hits long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("hits").alias("hits")).collect()
+    sample = df.where(F.rand(9) < share).select(F.col(text_col).cast("binary").alias("text"))
+    got = sample.mapInArrow(tidy(tried), "rule int, spent double, hits long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("hits").alias("hits")).collect()
     rank = {r.rule: (-r.hits / max(r.spent, 1e-9), r.spent) for r in got}
     return tuple(rules[i] for i in sorted(range(len(rules)), key=lambda i: (*rank.get(i, (0.0, 0.0)), i)))
 
@@ -157,7 +156,7 @@ def verdict(order: tuple[Rule, ...], counts: bool = True) -> Callable[[Column],
     """
     fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 
-    @F.arrow_udf(fields)
+    @columnwise(fields)
     def judge(texts: pa.Array) -> pa.Array:
         cols: list[list] = [[] for _ in range(8)]
         for text in texts.to_pylist():

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded, free
+from loomgraph.llm.arrow import bounded, columnwise, free, tidy
 from loomgraph.operators.components import connected_components
 from loomgraph.session import Stored
 
@@ -101,7 +101,7 @@ def majority(h: np.ndarray) -> int:
 def fingerprint(text: Column, words: int = WORDS) -> Column:
     """Fingerprint as a signed 64-bit number of a text column; 0 for null and for texts without words."""
 
-    @F.arrow_udf("long")
+    @columnwise("long")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(np.fromiter((fingerprint_of(t or b"", words) for t in texts.to_pylist()), np.uint64, len(texts)).view(np.int64))
 
@@ -241,7 +241,7 @@ def fingerprint_links(fps: DataFrame, n: int, most: int = MOST) -> DataFrame:
     spark = fps.sparkSession
     blocks = blocks_for(n)
     agree = masks(blocks, blocks - most)
-    rows = fps.toDF("fp").mapInArrow(_keys(agree), "key long, fp long")
+    rows = fps.toDF("fp").mapInArrow(tidy(_keys(agree)), "key long, fp long")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(agree) // 400_000)
     hot = rows.groupBy("key").count().where(F.col("count") > PIECE).withColumn("pieces", F.ceil(F.col("count") * 2 / PIECE).cast("int")).drop("count")
     cut = rows.join(hot, "key", "left")
@@ -249,7 +249,7 @@ def fingerprint_links(fps: DataFrame, n: int, most: int = MOST) -> DataFrame:
     other = F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.select("key", "fp", "pieces", piece.alias("piece"), other.alias("other"))
     of = F.when(F.col("pieces").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")))
-    return cut.select(of.alias("key"), "fp").repartition(tasks, "key").mapInArrow(_meet(most), "a long, b long").distinct()
+    return cut.select(of.alias("key"), "fp").repartition(tasks, "key").mapInArrow(tidy(_meet(most)), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
@@ -303,7 +303,7 @@ def sketch_of(text: bytes) -> tuple[int, int, list[int], bytes, int]:
 
 
 def sketch(text: Column) -> Column:
-    @F.arrow_udf("key long, fp long, more array<long>, shingles binary, name long")
+    @columnwise("key long, fp long, more array<long>, shingles binary, name long")
     def run(texts: pa.Array) -> pa.Array:
         cols = list(zip(*(sketch_of(t or b"") for t in texts.to_pylist()), strict=True)) or [[], [], [], [], []]
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
@@ -509,7 +509,7 @@ def copy_groups(fps: DataFrame, n: int) -> DataFrame:
     """
     spark = fps.sparkSession
     masks, partitions = tables_for(n), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = fps.mapInArrow(_named, ", ".join(f"{c} long" for c in (*fps.columns, "name")))
+    named = fps.mapInArrow(tidy(_named), ", ".join(f"{c} long" for c in (*fps.columns, "name")))
     groups, lo, few = None, 0, list(FIRST)
     while lo < len(masks):
         some = masks[lo : lo + (few.pop(0) if few else DEALT)]
@@ -520,8 +520,8 @@ def copy_groups(fps: DataFrame, n: int) -> DataFrame:
             rows = fps.withColumn("root", F.lit(None).cast("long"))
         else:
             rows = named.join(groups.withColumnRenamed("node", "name"), "name", "left").select(*fps.columns, "root")
-        dealt = rows.mapInArrow(_deal_copies(some, shards), "block long, words binary, roots binary")
-        found = dealt.repartition(tasks, "block").mapInArrow(_meet_copies(some, shards), "a long, b long").distinct()
+        dealt = rows.mapInArrow(tidy(_deal_copies(some, shards)), "block long, words binary, roots binary")
+        found = dealt.repartition(tasks, "block").mapInArrow(tidy(_meet_copies(some, shards)), "a long, b long").distinct()
         found = Stored(found, "copy-candidates").read()
         free(spark)  # of the tables' shuffle
         if groups is None or not found.isEmpty():
@@ -637,7 +637,7 @@ def similar_roots(own: DataFrame) -> DataFrame:
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     block = F.xxhash64("group", F.least("piece", "other"), F.greatest("piece", "other"))
     met = met.select(block.alias("block"), "key", "fp", "more", "shingles").repartition(tasks, "block").sortWithinPartitions("block")
-    found = Stored(met.mapInArrow(_meet_sets, "a long, b long").distinct(), "similar-pairs").read()
+    found = Stored(met.mapInArrow(tidy(_meet_sets), "a long, b long").distinct(), "similar-pairs").read()
     stored.drop()
     free(spark)  # of the shuffles that gathered the sets
     return connected_components(found) if (most or 0) > 1 else found.select(F.col("b").alias("node"), F.col("a").alias("root"))

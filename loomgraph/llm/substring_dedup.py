@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded, free
+from loomgraph.llm.arrow import bounded, columnwise, free, tidy
 from loomgraph.session import Stored
 
 #: Words of a run of repeated units from which on it is removed.
@@ -48,7 +48,7 @@ def units(text: bytes, end: re.Pattern) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _digests(unit: str):
-    @F.arrow_udf("binary")
+    @columnwise("binary")
     def run(texts: pa.Array) -> pa.Array:
         from xxhash import xxh3_128_digest
 
@@ -114,7 +114,7 @@ def repeated_units(df: DataFrame, id_col: str, text_col: str, unit: str) -> Data
     kind = field.dataType.simpleString()
     rows = df.select(F.col(id_col).alias("doc"), _version(F.col(text_col)).alias("version"), _digests(unit)(F.col(text_col).cast("binary")).alias("digests")).where("digests is not null")
     layout = f"rank long, doc {kind}, version long, h1 array<long>, h2 array<long>, pos array<int>, known array<int>"
-    ranked = Stored(rows.orderBy(F.asc_nulls_first("doc"), "version").mapInArrow(_firsts((to_arrow_type(field.dataType), pa.int64())), layout), "ranked-units")
+    ranked = Stored(rows.orderBy(F.asc_nulls_first("doc"), "version").mapInArrow(tidy(_firsts((to_arrow_type(field.dataType), pa.int64()))), layout), "ranked-units")
     all_units = ranked.read().select("rank", F.explode(F.arrays_zip("h1", "h2", "pos")).alias("u")).select("rank", "u.*")
     seen = all_units.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1")
     stored = Stored(seen, "repeated-units")
@@ -141,7 +141,6 @@ def _version(text: Column) -> Column:
 def _cutter(unit: str, min_words: int):
     fields = "text binary, cut boolean, n_units int, n_removed int, removed array<struct<start:int,end:int>>"
 
-    @F.arrow_udf(fields)
     def cut(texts: pa.Array, repeated: pa.Array) -> pa.Array:
         pattern = re.compile(ENDS[unit].encode())
         rows = []
@@ -188,7 +187,11 @@ def _cutter(unit: str, min_words: int):
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["text", "cut", "n_units", "n_removed", "removed"])
 
-    return cut.asNondeterministic()
+    @F.arrow_udf(fields)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from tidy(lambda both: (cut(*b) for b in both))(batches)
+
+    return run.asNondeterministic()
 
 
 #: Columns that substring_dedup adds.

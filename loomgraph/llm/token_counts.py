@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded, slices
+from loomgraph.llm.arrow import bounded, columnwise, slices
 from loomgraph.llm.bpe import Codec, codec, safe_cut
 
 
@@ -82,7 +82,7 @@ def token_counts(
     bounded(df.sparkSession)
     pieces = tokenizer.endswith(".model")
 
-    @F.arrow_udf("long")
+    @columnwise("long")
     def count(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         if pieces:
