@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, text
-from loomgraph.operators import similarity
-from loomgraph.sources.adapters import COMMERCE_SQL, commerce
+from loomgraph.operators import search, similarity
+from loomgraph.sources.adapters import COMMERCE_SQL, commerce, market, market_sql
 from loomgraph.session import table
 
 
@@ -67,9 +67,13 @@ def m12_incremental(spark, d):
     return best.select("query", "m.id", F.round("m.sim", 6).alias("sim"))
 
 
+#: Ideas looked for in the market.
+IDEAS = ("customers of machinery", "the Supplier 7", "tests of household", "customer 12 c", "auto building customer-3")
+
+
 def m13_find(spark, d):
-    n, e = commerce(spark, d)
-    return similarity.search(n, e, ["unit", "kingdom"]).union(similarity.search(n, e, ["asia", "supplier"]))
+    n, e = market(spark, d)
+    return search.find(search.build_index(n, e), spark.createDataFrame(list(enumerate(IDEAS)), "query int, text string"))
 
 
 def p4_suggest(spark, d):
@@ -134,7 +138,21 @@ WHEN length(label) >= 3 AND (contains(lower(label), '{w}') OR contains('{w}', lo
 WHEN length(label) >= 3 AND levenshtein(lower(label), '{w}') <= 2 THEN 1 ELSE 0 END AS tier FROM N) WHERE tier > 0 ORDER BY tier DESC, label, id LIMIT 3)"""
 
 
+_STEMS = lambda c: f"list_transform({_SPLIT(c)}, lambda w: {_STEM_OF})"
+_STEM_OF = f"CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' ELSE CASE WHEN length({_FIRST}) > 4 AND ({_FIRST}) LIKE '%e' THEN left({_FIRST}, length({_FIRST}) - 1) ELSE {_FIRST} END END"
+_STOPPED = ", ".join(f"'{w}'" for w in search.STOP)
+_FIND = f"""WITH {market_sql()}, D AS (SELECT dst AS id, count(DISTINCT src || kind) AS degree FROM E WHERE kind IN ('call', 'import') GROUP BY dst),
+W AS (SELECT N.*, coalesce(degree, 0) AS degree, {_STEMS("label")} AS l, {_STEMS("string_split(N.id, ':')[-1]")} AS o, {_STEMS("string_split(file, '/')[-1]")} AS f, {_STEMS("regexp_replace(file, '[^/]*$', '')")} AS p, {_STEMS("domain")} AS m FROM N LEFT JOIN D ON D.id = N.id),
+Q AS (SELECT query, list_transform(list_filter({_SPLIT("t")}, lambda x: x NOT IN ({_STOPPED})), lambda w: {_STEM_OF}) AS u FROM (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(IDEAS))}) v(query, t)),
+A AS (SELECT query, list_filter(u, lambda x, i: list_position(u, x) = i) AS u FROM Q), B AS (SELECT query, u, unnest(u) AS x FROM A),
+H AS (SELECT query, u, W.id, CASE WHEN list_contains(l, x) THEN 3.0 WHEN length(x) >= 3 AND len(list_filter(l, lambda y: starts_with(y, x))) > 0 THEN 1.5 WHEN list_contains(CASE WHEN string_split(W.id, ':')[-1] = label THEN l ELSE o END, x) THEN 1.5
+WHEN list_contains(f, x) THEN 2.0 WHEN list_contains(p, x) THEN 1.0 WHEN list_contains(m, x) THEN 0.75 ELSE 0.0 END AS hit FROM B, W),
+S AS (SELECT query, id, any_value(u) AS u, CAST(sum(hit) AS DOUBLE) AS base, count(*) FILTER (WHERE hit > 0) AS k FROM H GROUP BY query, id HAVING sum(hit) > 0)
+SELECT CAST(query AS INTEGER) AS query, S.id, round((base + CASE WHEN array_to_string(l, '') = array_to_string(u, '') THEN 4.0 ELSE 0.0 END) * k / len(u) * (CASE WHEN exports THEN 1.25 ELSE 1.0 END * 1.0 * (1 + least(degree, 20) / 40))
+* CASE WHEN list_has_any(u, ['test', 'spec']) THEN 1.0 WHEN role = 'test' THEN 0.6 ELSE 1.2 END, 6) AS score FROM S JOIN W ON W.id = S.id"""
+
 ORACLE_SQL = {
+    "m13_find": _FIND,
     "p4_suggest": f"WITH {COMMERCE_SQL} " + " UNION ALL ".join(_suggest(w) for w in ("BUILDNG", "machine", "AMERIC")),
     "m1_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS t FROM documents)",
     "m2_shingles": f"SELECT id AS doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), '|')) AS digest FROM {_sets('documents', 'doc_id')}",

@@ -75,12 +75,13 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 class Stored:
-    """A table written to the shared folder, read back as often as needed."""
+    """A table written to the shared folder, read back as often as needed; by: in folders by that column."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
