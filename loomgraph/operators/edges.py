@@ -19,6 +19,7 @@ from loomgraph.functions.lexing import masked_text
 from loomgraph.functions.paths import is_test_file, role_of
 from loomgraph.operators.extraction import KEYWORDS, resolve_imports
 from loomgraph.operators.resolution import default_export, import_bindings
+from loomgraph.session import Stored
 
 NAME = r"[A-Za-z_$][\w$]*"
 #: A call with what is named before it: dots in front, the chain of members, the name.
@@ -149,7 +150,7 @@ def ladder(files: DataFrame, symbols: DataFrame, aliases: DataFrame, namespaces:
     and PHP another file's methods; arguments of product files that would reach
     tests or the like.
     """
-    m = mentions(files, symbols)
+    m = Stored(mentions(files, symbols), "mentions").read()
     home = files.select("file").join(packages.select("file", "package").distinct(), "file", "left").select("file", F.coalesce("package", F.lit("")).alias("package"))
     local = aliases.select("file", F.col("local").alias("name"), F.col("id").alias("alias"))
     own = symbols.groupBy("file", F.col("label").alias("name")).agg(F.max_by("id", F.struct("line", "id")).alias("own"))

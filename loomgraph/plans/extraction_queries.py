@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import dispatch, edges, extraction
-from loomgraph.session import table
+from loomgraph.operators import codemod, dispatch, edges, extraction
+from loomgraph.session import Stored, table
 from loomgraph.sources.trees import TREE_SQL, class_tree, document_tree
 
 
+def _tree(spark, d, of=document_tree):
+    """A tree's files and symbols, written once: every branch of the queries below reads them."""
+    t = Stored(of(spark, d), "tree").read()
+    return t, Stored(extraction.symbols(t), "symbols").read()
+
+
 def x1_masking(spark, d):
     """Every file with comments and strings blanked, and with comments alone."""
     t = document_tree(spark, d)
@@ -45,19 +52,18 @@ def x14_modules(spark, d):
 
 def x17_aliases(spark, d):
     """Names that imports bind to symbols of other files."""
-    t = document_tree(spark, d)
-    return edges.bound_names(t, extraction.symbols(t))[0]
+    t, s = _tree(spark, d)
+    return edges.bound_names(t, s)[0]
 
 
 def x18_edges(spark, d):
-    t = document_tree(spark, d)
-    return edges.edges(t, extraction.symbols(t), t.select("file", "package"))
+    t, s = _tree(spark, d)
+    return edges.edges(t, s, t.select("file", "package"))
 
 
 def x19_dropped(spark, d):
     """Mentions that give no edge, by reason."""
-    t = document_tree(spark, d)
-    s = extraction.symbols(t)
+    t, s = _tree(spark, d)
     return edges.ladder(t, s, *edges.bound_names(t, s), t.select("file", "package")).where("why IS NOT NULL").groupBy("file", "form", "why").agg(F.count("*").alias("n"))
 
 
@@ -74,19 +80,28 @@ def x22_packages(spark, d):
 
 def x26_intents(spark, d):
     """Calls through a receiver in seven languages."""
-    t = class_tree(spark, d)
-    return dispatch.intents(t, extraction.symbols(t))
+    return dispatch.intents(*_tree(spark, d, class_tree))
 
 
 def x26_dispatch(spark, d):
     """The methods they mean, the classes' ancestors looked through."""
-    t = class_tree(spark, d)
-    s = extraction.symbols(t)
+    t, s = _tree(spark, d, class_tree)
     up = edges.edges(t, s, aliases=spark.createDataFrame([], "file string, local string, id string"), namespaces=spark.createDataFrame([], "file string, local string, target string")).where("kind = 'inherit'")
     return dispatch.dispatch_edges(dispatch.intents(t, s), s, dispatch.ranked_ancestors(up))
 
 
-QUERIES = {f.__name__: f for f in (x1_masking, x2_symbols, x4_signatures, x9_dynamic, x12_owners, x14_modules, x17_aliases, x18_edges, x19_dropped, x21_closures, x22_packages, x26_intents, x26_dispatch)}
+def q32_edits(spark, d):
+    """The functions of one name in a package as groups; the edits that leave the one with the smallest id."""
+    t, s = _tree(spark, d)
+    named = s.where("kind = 'function' AND NOT local").join(t.select("file", "package"), "file")
+    w = Window.partitionBy("package", "label")
+    groups = named.select(F.concat_ws("/", "package", "label").alias("group"), "id", F.min("id").over(w).alias("canonical"), F.count("*").over(w).alias("n")).where("n > 1")
+    e = Stored(edges.edges(t, s, t.select("file", "package")), "edges").read()
+    out, _ = codemod.merge_edits(t, s, e, groups.drop("n"))
+    return out
+
+
+QUERIES = {f.__name__: f for f in (x1_masking, x2_symbols, x4_signatures, x9_dynamic, x12_owners, x14_modules, x17_aliases, x18_edges, x19_dropped, x21_closures, x22_packages, x26_intents, x26_dispatch, q32_edits)}
 
 #: S: the symbols; M: the mentions, with what the imports, the file and the package make of them.
 _SYMBOLS = f"""WITH {TREE_SQL}, S AS (SELECT file || ':C_' || w[8] AS id, file, package, role, 'C_' || w[8] AS label, 'class' AS kind, NULL AS owner, 3 AS line, 5 AS e, true AS exports FROM T
@@ -123,6 +138,17 @@ SELECT A.file, A.module, F.file AS target FROM A LEFT JOIN F ON F.k = A.j""",
 SELECT DISTINCT src, dst, CASE WHEN form <> 'inherit' AND E.role = 'tests' AND S.role <> 'tests' THEN 'test' ELSE form END AS kind, CAST(1 AS INTEGER) AS weight FROM E JOIN S ON S.id = E.dst WHERE src <> dst""",
     "x19_dropped": f"{_EDGES} SELECT file, form, why, count(*) AS n FROM R WHERE why IS NOT NULL GROUP BY 1, 2, 3",
     "x21_closures": f"WITH {TREE_SQL} SELECT file, 'in_' || w[8] AS label FROM T",
+    "q32_edits": f"""{_EDGES}, G AS (SELECT T.*, package || '/' || w[2] AS grp, min(file || ':' || w[2]) OVER (PARTITION BY package, w[2]) AS best, count(*) OVER (PARTITION BY package, w[2]) AS n,
+'import {{ ' || a || ' as ' || w[6] || ' }} from ''' AS p1, './f' || (k - 35) || '.js' AS s1, '''; // import {{ ' || w[1] || ' }} from ''./f' || (k - 35) || '.js''' AS q1, 'import * as ' || w[7] || ' from ''' AS p2, './f' || (k - 70) || '.js' AS s2 FROM T),
+H AS (SELECT *, split_part(best, ':', 1) AS home, p1 || s1 || q1 || chr(10) AS l1 FROM G),
+XX AS (SELECT *, l1 || p2 || s2 || ''';' || chr(10) || 'export class C_' || w[8] || ' extends C_' || w[4] || ' {{' || chr(10) || '  ' || w[1] || '(p_q, ' || w[2] || ') {{ return ' || w[3] || '(p_q, ' || w[5] || ', ' || w[2] || '); }}' || chr(10) || '}}' || chr(10) || '/* ' || w[2] || '(' || w[3] || ') */' || chr(10) AS head,
+'export function ' || w[2] || '(' || w[3] || ', q_r) {{' || chr(10) || '  ' || w[3] || '(q_r); ' || w[4] || '(' || w[1] || ', ''' || w[5] || '('', ' || w[5] || ');' || chr(10) || '  function in_' || w[8] || '() {{ ' || w[4] || '(); }}' || chr(10)
+|| '  return ' || w[7] || '.' || b || '(' || w[6] || ') instanceof C_' || w[8] || ' ? C_' || w[4] || '.' || w[1] || '() : `' || w[5] || '( $' || '{{' || w[6] || '(1)}}`;' || chr(10) || '}}' || chr(10) AS body FROM H),
+Z AS (SELECT XX.*, o.grp AS g, o.home AS way, o.n > 1 AND o.file <> o.home AND XX.file <> o.home AS turns, 1 AS line FROM XX JOIN XX o ON o.file = XX.fi UNION ALL SELECT XX.*, o.grp, o.home, o.n > 1 AND o.file <> o.home AND XX.file <> o.home AND XX.w[7] = XX.b, 2 FROM XX JOIN XX o ON o.file = XX.fj),
+Y AS (SELECT grp, file, length(head) AS s, length(head) + length(body) AS e, body AS old, '' AS new FROM XX WHERE n > 1 AND file <> home UNION ALL
+SELECT g, file, CASE line WHEN 1 THEN length(p1) ELSE length(l1 || p2) END, CASE line WHEN 1 THEN length(p1 || s1) ELSE length(l1 || p2 || s2) END, CASE line WHEN 1 THEN s1 ELSE s2 END,
+CASE WHEN string_split(way, '/')[2] = role THEN './' ELSE '../' || string_split(way, '/')[2] || '/' END || string_split(way, '/')[3] FROM Z WHERE turns)
+SELECT grp AS "group", file, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", old, new FROM Y""",
     "x26_intents": f"WITH {_CLASSES} SELECT * FROM J",
     "x26_dispatch": f"""WITH RECURSIVE {_CLASSES}, D AS (SELECT file, label AS type, unnest([m1, m2]) AS method FROM C), U AS (SELECT label, min(file) AS file FROM C GROUP BY label HAVING count(*) = 1),
 B AS (SELECT C.file, U.file AS up, U.label AS up_type FROM C JOIN U ON U.label = C.base WHERE k % 7 IN (1, 2, 5, 6) AND U.file <> C.file),
