@@ -10,9 +10,10 @@ from loomgraph.operators.graph import cycles, fan, file_edges, orphans
 
 
 def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys only before (removed) or only after (added)."""
-    b, a = before.select(keys).distinct(), after.select(keys).distinct()
-    return a.join(b, keys, "left_anti").withColumn("change", F.lit("added")).union(b.join(a, keys, "left_anti").withColumn("change", F.lit("removed")))
+    """Keys only before (removed) or only after (added), by one grouping of both; nulls equal each other."""
+    both = before.select(*keys, F.lit(1).alias("side")).union(after.select(*keys, F.lit(2).alias("side")))
+    sides = both.groupBy(*keys).agg(F.bit_or("side").alias("side")).where("side < 3")
+    return sides.select(*keys, F.when(F.col("side") == 2, "added").otherwise("removed").alias("change"))
 
 
 def lost_callers(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:

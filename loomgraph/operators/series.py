@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,17 +96,41 @@ def paired_interval(pairs: DataFrame, a: str, b: str, z: float = 1.9599639845400
     return d.select("mean", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"), "n")
 
 
-def bootstrap_interval(values: DataFrame, value: str, key: str, rounds: int = 200, seed: int = 7, share: float = 0.05) -> DataFrame:
-    """Percentile interval of a mean by a Poisson bootstrap: in each round a row counts as often as a hash of its key says, so no row moves and any order gives the same."""
-    u = (F.pmod(F.xxhash64(key, F.col("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):
+#: A prime below 2^31 and a primitive root of it: powers of the root are the bootstrap's factors.
+PRIME, ROOT = 2**31 - 1, 48271
+
+
+def poisson_steps(most: int = 8) -> list[float]:
+    """A uniform number above so many of these counts so often as a Poisson variable of mean 1 is at most `most`."""
+    out, total, term = [], 0.0, math.exp(-1)
+    for k in range(1, most + 1):
         total += term
-        steps.append(total)
+        out.append(total)
         term /= k
-    times = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    each = values.select(key, value).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("times", times)
-    means = each.groupBy("round").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
+    return out
+
+
+def bootstrap_interval(values: DataFrame, value: str, key: str, rounds: int = 200, share: float = 0.05) -> DataFrame:
+    """Percentile interval of a mean by a Poisson bootstrap: in each round a row counts as often as a hash of its key says, so no row moves and any order gives the same.
+
+    Each batch adds up all rounds; a row for each round leaves it. Null values
+    and keys do not count.
+    """
+    head = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    hashed = values.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(value).cast("double").alias("v"), (head % PRIME).alias("h"))
+    factors, steps = [pow(ROOT, k, PRIME) for k in range(1, rounds + 1)], poisson_steps()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sums, times = [], []
+            for f in factors:
+                n = np.searchsorted(steps, (h * f % PRIME + 0.5) / PRIME)
+                sums.append(float(v @ n))
+                times.append(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(range(1, rounds + 1), pa.int32()), pa.array(sums), pa.array(times, pa.int64())], ["round", "s", "n"])
+
+    means = hashed.mapInArrow(add, "round int, s double, n long").groupBy("round").agg((F.sum("s") / F.sum("n")).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(share / 2)).alias("lo"), F.percentile("mean", F.lit(1 - share / 2)).alias("hi"))
 
 

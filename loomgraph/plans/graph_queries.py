@@ -469,3 +469,22 @@ ORACLE_SQL |= {
     "q9_components_market": f"{MARKET}, {CLOSURE} SELECT a.a AS id, least(a.a, min(a.b)) AS root FROM R a JOIN R b ON b.a = a.b AND b.b = a.a WHERE a.a <> a.b GROUP BY a.a",
     "q9_cycles_market": f"{_FILES}, M AS (SELECT a.x, least(a.x, min(a.y)) AS root FROM FR a JOIN FR b ON b.x = a.y AND b.y = a.x WHERE a.x <> a.y GROUP BY a.x) SELECT root, string_agg(x, ',' ORDER BY x) AS files, count(*) AS n FROM M GROUP BY root",
 }
+
+
+def _gate_sql(before: str, after: str, nodes_after: str = "SELECT * FROM N") -> str:
+    """Gate of the trade graph: before and after are its edges."""
+    side = lambda e, k: (
+        f"R{k} AS (SELECT src AS a, dst AS b FROM {e} UNION SELECT R{k}.a, {e}.dst FROM R{k} JOIN {e} ON {e}.src = R{k}.b), M{k} AS (SELECT x.a AS id, min(x.b) AS root FROM R{k} x JOIN R{k} y ON x.a = y.b AND x.b = y.a GROUP BY x.a), "
+        f"G{k} AS (SELECT string_agg(id, ',' ORDER BY id) AS ids FROM M{k} GROUP BY root HAVING count(*) >= 2)"
+    )
+    free = lambda n, e: f"SELECT id FROM {n} WHERE NOT exports AND id NOT IN (SELECT dst FROM {e} WHERE kind IN {CALLED})"
+    return f"""{TRADE}, EB AS ({before}), EA AS ({after}), NA AS ({nodes_after}), {side("EB", 1)}, {side("EA", 2)},
+P AS (SELECT (SELECT count(*) FROM G2 WHERE ids NOT IN (SELECT ids FROM G1)) AS new_cycles, (SELECT count(*) FROM NA WHERE id IN (SELECT dst FROM EB WHERE kind = 'call') AND id NOT IN (SELECT dst FROM EA WHERE kind = 'call')) AS lost_callers,
+(SELECT count(*) FROM ({free("NA", "EA")}) WHERE id NOT IN ({free("N", "EB")})) AS new_orphans)"""
+
+
+_GONE = "(SELECT id FROM N WHERE domain = 'AFRICA')"
+ORACLE_SQL |= {
+    "q14_gate": f"{_gate_sql('SELECT * FROM E WHERE src <> ' + chr(39) + 'n:0' + chr(39), 'SELECT * FROM E')} SELECT new_cycles, lost_callers, new_orphans, new_cycles = 0 AND lost_callers = 0 AS ok FROM P",
+    "q17_simulate_delete": f"{_gate_sql('SELECT * FROM E', f'SELECT * FROM E WHERE src NOT IN {_GONE} AND dst NOT IN {_GONE}', f'SELECT * FROM N WHERE id NOT IN {_GONE}')} SELECT new_cycles, lost_callers FROM P",
+}

@@ -156,7 +156,7 @@ def a17_paired(spark, d):
 
 
 def a17_bootstrap(spark, d):
-    return series.bootstrap_interval(table(spark, d, "events"), "value", "event_id")
+    return series.bootstrap_interval(table(spark, d, "events"), "value", "event_id").select(*[F.round(c, 6).alias(c) for c in ("lo", "hi")])
 
 
 def q29_context(spark, d):
@@ -210,6 +210,9 @@ Z AS (SELECT G.grp, n, coalesce(shared, 0) AS shared, round(cv, 9) AS cv, CAST(C
     "a17_rates": "SELECT event_type, count(*) FILTER (WHERE value > 1e9) AS hits, count(*) AS n, round(CASE WHEN count(*) FILTER (WHERE value > 1e9) = 0 THEN least(1.0, 3.0 / count(*)) END, 9) AS upper FROM events GROUP BY 1",
     "a17_cliffs_delta": "WITH A AS (SELECT value FROM events WHERE event_type = 'purchase'), B AS (SELECT value FROM events WHERE event_type = 'click') SELECT round(avg(sign(A.value - B.value)), 9) AS delta FROM A, B",
     "a17_paired": "WITH D AS (SELECT avg(l_discount - l_tax) AS m, stddev_samp(l_discount - l_tax) AS s, count(*) AS n FROM lineitem) SELECT round(m, 9) AS mean, round(m - 1.959963984540054 * s / sqrt(n), 9) AS lo, round(m + 1.959963984540054 * s / sqrt(n), 9) AS hi, n FROM D",
+    "a17_bootstrap": f"""WITH H AS (SELECT value AS v, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % {series.PRIME} AS h FROM events WHERE value IS NOT NULL AND event_id IS NOT NULL),
+R AS (SELECT unnest({[pow(series.ROOT, k, series.PRIME) for k in range(1, 201)]}) AS f), W AS (SELECT f, v, (h * f % {series.PRIME} + 0.5) / {series.PRIME} AS u FROM H, R), M AS (SELECT f, sum(v * n) / sum(n) AS mean FROM (SELECT f, v, {" + ".join(f"CAST(u > {x!r}::DOUBLE AS INTEGER)" for x in series.poisson_steps())} AS n FROM W) GROUP BY f)
+SELECT round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM M""",
     "q29_context": rf"""WITH B AS (SELECT 'd:' || doc_id AS id, doc_id AS k, regexp_extract(text, '\w+') AS label, CAST(doc_id * 10 + 1 AS INTEGER) AS line, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n, text FROM documents WHERE text IS NOT NULL),
 C AS (SELECT id FROM B WHERE k >= 25 AND k % 25 IN (3, 7)), W AS (SELECT DISTINCT label FROM B WHERE id IN ('d:3', 'd:7')), L AS ({_LINES}),
 H AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM L WHERE id IN (SELECT id FROM C) AND list_has_any(regexp_extract_all(code, '\w+'), (SELECT list(label) FROM W))),

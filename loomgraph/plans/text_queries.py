@@ -164,6 +164,7 @@ ORACLE_SQL = {
     "m8_multiset": "WITH C AS (SELECT l_orderkey AS id, l_suppkey || '/' || l_returnflag AS item, count(*) AS c FROM lineitem GROUP BY 1, 2), T AS (SELECT id, sum(c) AS n FROM C GROUP BY id), P AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS s FROM C a JOIN C b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(s / (x.n + y.n - s), 9) AS sim FROM P JOIN T x ON x.id = a JOIN T y ON y.id = b WHERE s / (x.n + y.n - s) >= 0.7 - 1e-12",
     "m12_incremental": f"WITH S AS {_sets('documents', 'doc_id')}, {_ITEMS}, X AS (SELECT q.id AS query, i.id, count(*) / (any_value(q.n) + any_value(i.n) - count(*)) AS sim FROM I q JOIN I i ON q.s = i.s WHERE q.id % 50 = 0 GROUP BY 1, 2), R AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS r FROM X WHERE sim >= 0.6) SELECT query, first(id ORDER BY r) AS id, round(first(sim ORDER BY r), 6) AS sim FROM R WHERE r <= 2 AND id <> query GROUP BY query",
     "x5_complexity": f"SELECT page_id, CAST(1 + len(regexp_extract_all({_STRIP}, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\||\\?\\?')) + len(regexp_extract_all(regexp_replace({_STRIP}, '\\?\\?|\\?\\.', ' ', 'g'), '\\?')) AS INTEGER) AS complexity FROM pages",
+    "x6_nesting": f"WITH B AS (SELECT page_id, regexp_extract_all({_STRIP}, '[{{}}]') AS l FROM pages), U AS (SELECT page_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM B), S AS (SELECT *, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM U), D AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS d FROM S) SELECT B.page_id, CAST(coalesce((SELECT max(d) FROM D WHERE D.page_id = B.page_id), 0) AS INTEGER) AS depth FROM B",
     "x7_roles": f"SELECT {paths.role_sql('p')} AS role, count(*) AS n FROM (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) || CASE page_id % 3 WHEN 0 THEN '/tests/a.js' WHEN 1 THEN '/examples/b.min.js' ELSE '/c.py' END AS p FROM pages) GROUP BY 1",
     "x13_imports": "WITH K AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages), H AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#?]+)', 1)) AS href FROM pages) SELECT page_id, count(*) AS links, count(*) FILTER (WHERE href IN (SELECT path FROM K WHERE path <> '') OR href || '/' IN (SELECT path FROM K) OR href || '/index.html' IN (SELECT path FROM K)) AS resolved FROM H GROUP BY page_id",
     "f_split_stem": f"SELECT w, {_STEM} AS stem FROM (SELECT w, {_FIRST} AS f FROM (SELECT DISTINCT unnest({_SPLIT('p_name')}) AS w FROM part))",

@@ -79,12 +79,14 @@ class Stored:
 
     def __init__(self, df: DataFrame, name: str, by: str | None = None):
         self.spark = df.sparkSession
+        self.schema = None if by else df.schema
         self.path = f"{shared_dir(self.spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
         out = df.write.option("compression", "zstd")
         (out.partitionBy(by) if by else out).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        read = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)  # else a job of its own finds it
+        return read.parquet(self.path)
 
     def drop(self) -> None:
         """Remove the files; call it once no later read can need them."""
