@@ -29,7 +29,13 @@ def m3_skeleton(spark, d):
 
 
 def m4_similar_pairs(spark, d):
-    return similarity.similar_pairs(_shingles(spark, d), 0.6).withColumn("sim", F.round("sim", 9))
+    """Pairs of different sets by the smallest ids that have them, and how many these are."""
+    return similarity.similar_classes(similarity.equal_sets(_shingles(spark, d)), 0.6).withColumn("sim", F.round("sim", 9))
+
+
+def m4_classes(spark, d):
+    """Every document's class of equal sets."""
+    return similarity.equal_sets(_shingles(spark, d)).select("id", "n", "rep", "size")
 
 
 def m5_find_similar(spark, d):
@@ -109,7 +115,7 @@ def f_split_stem(spark, d):
     return table(spark, d, "part").select(w).distinct().select("w", text.stem(F.col("w")).alias("stem"))
 
 
-QUERIES = {f.__name__: f for f in (m1_tokens, m2_shingles, m3_skeleton, m4_similar_pairs, m5_find_similar, m6_group_bands, m7_twins, m8_multiset, m11_lsh, m12_incremental, m13_find, p4_suggest, x5_complexity, x6_nesting, x7_roles, x13_imports, f_split_stem)}
+QUERIES = {f.__name__: f for f in (m1_tokens, m2_shingles, m3_skeleton, m4_similar_pairs, m4_classes, m5_find_similar, m6_group_bands, m7_twins, m8_multiset, m11_lsh, m12_incremental, m13_find, p4_suggest, x5_complexity, x6_nesting, x7_roles, x13_imports, f_split_stem)}
 
 _Q = lambda s: s.replace("'", "''")
 _DROP = ", ".join(f"'{w}'" for w in text.DROPPED)
@@ -157,7 +163,8 @@ ORACLE_SQL = {
     "m1_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS t FROM documents)",
     "m2_shingles": f"SELECT id AS doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), '|')) AS digest FROM {_sets('documents', 'doc_id')}",
     "m3_skeleton": f"SELECT page_id, len(t) AS n, md5(array_to_string(list_transform(t, lambda x: CASE WHEN x[1] IN ('`', '\"', '''') THEN 'STR' WHEN regexp_matches(x[1], '[0-9]') THEN 'NUM' WHEN regexp_matches(x[1], '[A-Za-z_$]') AND x NOT IN ({_KEEP}) THEN 'ID' ELSE x END), ' ')) AS digest FROM (SELECT page_id, regexp_extract_all({_BARE('html')}, '{_Q(text.SKELETON)}') AS t FROM pages)",
-    "m4_similar_pairs": f"WITH S AS {_sets('documents', 'doc_id')}, {_ITEMS}, P AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM I a JOIN I b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / (na + nb - c), 9) AS sim FROM P WHERE c / (na + nb - c) >= 0.6 - 1e-12",
+    "m4_similar_pairs": f"WITH S0 AS {_sets('documents', 'doc_id')}, S AS (SELECT min(id) AS id, any_value(sh) AS sh, count(*) AS size FROM S0 WHERE len(sh) > 0 GROUP BY list_sort(sh)), I AS (SELECT id, size, len(sh) AS n, unnest(sh) AS s FROM S), P AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb, any_value(a.size) AS size_a, any_value(b.size) AS size_b FROM I a JOIN I b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / (na + nb - c), 9) AS sim, size_a, size_b FROM P WHERE c / (na + nb - c) >= 0.6 - 1e-12",
+    "m4_classes": f"SELECT id, len(sh) AS n, min(id) OVER (PARTITION BY list_sort(sh)) AS rep, count(*) OVER (PARTITION BY list_sort(sh)) AS size FROM {_sets('documents', 'doc_id')} WHERE len(sh) > 0",
     "m5_find_similar": f"WITH S AS {_sets('documents', 'doc_id')}, {_ITEMS}, Q AS (SELECT id AS query, len(sh) AS nq, unnest(sh) AS s FROM {_sets('benchmark', 'item_id')}), X AS (SELECT query, id, count(*) / (any_value(nq) + any_value(n) - count(*)) AS sim FROM Q JOIN I ON Q.s = I.s GROUP BY 1, 2), R AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS INTEGER) AS rank, id, round(sim, 9) AS sim, count(*) OVER (PARTITION BY query) AS true_count FROM X WHERE sim >= 0.01) SELECT * FROM R WHERE rank <= 3",
     "m6_group_bands": f"WITH S AS {_sets('documents', 'doc_id')}, G AS (SELECT source || '/' || lang AS grp, id, sh, row_number() OVER (PARTITION BY source, lang ORDER BY id) AS r FROM S JOIN documents ON doc_id = id), P AS (SELECT a.grp, CASE WHEN len(a.sh) = 0 OR len(b.sh) = 0 THEN 0.0 ELSE {_SIM} END AS sim FROM G a JOIN G b ON a.grp = b.grp AND a.id < b.id WHERE a.r <= 12 AND b.r <= 12) SELECT grp AS \"group\", round(avg(sim), 9) AS mean_sim, round(min(sim), 9) AS min_sim, CASE WHEN avg(sim) >= 0.6 THEN 'high' WHEN avg(sim) >= 0.35 THEN 'medium' WHEN avg(sim) >= 0.15 THEN 'low' ELSE 'refuted' END AS band FROM P GROUP BY grp",
     "m7_twins": f"WITH {COMMERCE_SQL}, C AS (SELECT DISTINCT src AS id, label AS s FROM E JOIN N ON N.id = dst WHERE E.kind = 'call'), Z AS (SELECT id, count(*) AS n FROM C GROUP BY id HAVING count(*) >= 4), P AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM C a JOIN C b ON a.s = b.s AND a.id < b.id SEMI JOIN Z x ON x.id = a.id SEMI JOIN Z y ON y.id = b.id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 9) AS sim FROM P JOIN Z x ON x.id = a JOIN Z y ON y.id = b JOIN N na ON na.id = a JOIN N nb ON nb.id = b WHERE c / (x.n + y.n - c) >= 0.7 - 1e-12 AND na.file <> nb.file",
