@@ -117,30 +117,39 @@ def mentions(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select("file", "language", "m.*")
 
 
-def bound_names(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What imports bind: (file, local, id) of symbols and (file, local, target) of whole files.
-
-    A name means the exported symbol of the file that its import resolves to, a
-    default that file's default export; a namespace or a required module the
-    file itself, and so does a default without a symbol. Comments import nothing.
-    """
-
+def _without_comments(files: DataFrame) -> DataFrame:
     @F.arrow_udf("string")
     def bare(texts: pa.Array, languages: pa.Array) -> pa.Array:
         return pa.array([masked_text(t or "", x or "js", keep_values=True) for t, x in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], pa.string())
 
-    clean = files.select("file", bare("text", "language").alias("text"))
-    b = import_bindings(clean)
-    at = resolve_imports(b.select("file", F.col("target").alias("spec")).distinct(), files.select("file")).where("target IS NOT NULL").select("file", F.col("spec").alias("said"), F.col("target").alias("at"))
+    return files.select("file", bare("text", "language").alias("text"))
+
+
+def imports_of(files: DataFrame) -> DataFrame:
+    """(file, spec) of the files' imports; comments import nothing."""
+    return import_bindings(_without_comments(files)).select("file", F.col("target").alias("spec")).distinct()
+
+
+def bound_names(files: DataFrame, symbols: DataFrame, tree: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What imports bind: (file, local, id) of symbols and (file, local, target) of whole files. tree: all files that imports may mean, if more than `files`.
+
+    A name means the exported symbol of the file that its import resolves to, a
+    default that file's default export; a namespace or a required module the
+    file itself, and so does a default without a symbol.
+    """
+    tree = files if tree is None else tree
+    b = import_bindings(_without_comments(files))
+    at = resolve_imports(b.select("file", F.col("target").alias("spec")).distinct(), tree.select("file")).where("target IS NOT NULL").select("file", F.col("spec").alias("said"), F.col("target").alias("at"))
     b = b.withColumnRenamed("target", "said").join(at, ["file", "said"])
     own = symbols.where("owner IS NULL").select(F.col("file").alias("at"), F.col("label").alias("imported"), "id")
-    chosen = default_export(clean, symbols.select("file", F.col("label").alias("name"))).select(F.col("file").alias("at"), F.col("name").alias("imported"))
+    meant = tree.join(b.where("form <> 'named' OR imported = 'default'").select(F.col("at").alias("file")).distinct(), "file", "left_semi")
+    chosen = default_export(_without_comments(meant), symbols.select("file", F.col("label").alias("name"))).select(F.col("file").alias("at"), F.col("name").alias("imported"))
     default = chosen.join(own, ["at", "imported"]).select("at", F.lit("default").alias("imported"), "id")
     named = b.join(own.union(default.select("at", "imported", "id")), ["at", "imported"]).groupBy("file", "local").agg(F.min("id").alias("id"))
     return named, b.where("form <> 'named'").groupBy("file", "local").agg(F.min("at").alias("target"))
 
 
-def ladder(files: DataFrame, symbols: DataFrame, aliases: DataFrame, namespaces: DataFrame, packages: DataFrame) -> DataFrame:
+def ladder(files: DataFrame, symbols: DataFrame, aliases: DataFrame, namespaces: DataFrame, packages: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """Every mention with the symbol it means, `dst`, or `why` it means none: unknown, bound, short, ambiguous, role.
 
     files: (file, text, language); packages: (file, package); a file without
@@ -151,7 +160,7 @@ def ladder(files: DataFrame, symbols: DataFrame, aliases: DataFrame, namespaces:
     tests or the like.
     """
     m = Stored(mentions(files, symbols), "mentions").read()
-    home = files.select("file").join(packages.select("file", "package").distinct(), "file", "left").select("file", F.coalesce("package", F.lit("")).alias("package"))
+    home = (files if tree is None else tree).select("file").join(packages.select("file", "package").distinct(), "file", "left").select("file", F.coalesce("package", F.lit("")).alias("package"))
     local = aliases.select("file", F.col("local").alias("name"), F.col("id").alias("alias"))
     own = symbols.groupBy("file", F.col("label").alias("name")).agg(F.max_by("id", F.struct("line", "id")).alias("own"))
     every = symbols.where("NOT local").select("file", "owner", "id", F.col("label").alias("name")).join(home, "file")
@@ -188,18 +197,23 @@ def _members(m: DataFrame, symbols: DataFrame, local: DataFrame, namespaces: Dat
     return calls.union(refs).withColumn("why", F.when(F.col("dst").isNull(), "unknown"))
 
 
-def edges(files: DataFrame, symbols: DataFrame, packages: DataFrame | None = None, aliases: DataFrame | None = None, namespaces: DataFrame | None = None) -> DataFrame:
+def edges(
+    files: DataFrame, symbols: DataFrame, packages: DataFrame | None = None, aliases: DataFrame | None = None, namespaces: DataFrame | None = None,
+    by_file: bool = False, tree: DataFrame | None = None,
+) -> DataFrame:
     """(src, dst, kind, weight) of what the files mention, each pair and kind once, no loops.
 
     src is the symbol around the place, file:<module> at the top level. A call
     or argument in a test file that means a symbol elsewhere is a test edge.
     Without aliases and namespaces they are what the files' imports bind.
+    by_file: with the file that mentions it in front. tree: all files that
+    `symbols` are of, where `files` are only those to read.
     """
     if aliases is None or namespaces is None:
-        aliases, namespaces = bound_names(files, symbols)
+        aliases, namespaces = bound_names(files, symbols, tree)
     if packages is None:
-        packages = files.select("file", F.lit("").alias("package"))
-    hit = ladder(files, symbols, aliases, namespaces, packages).where("dst IS NOT NULL").join(symbols.select(F.col("id").alias("dst"), F.col("file").alias("dst_file")), "dst")
+        packages = (files if tree is None else tree).select("file", F.lit("").alias("package"))
+    hit = ladder(files, symbols, aliases, namespaces, packages, tree).where("dst IS NOT NULL").join(symbols.select(F.col("id").alias("dst"), F.col("file").alias("dst_file")), "dst")
     src = F.coalesce("scope", F.concat("file", F.lit(":<module>")))
     kind = F.when((F.col("form") != "inherit") & is_test_file(F.col("file")) & ~is_test_file(F.col("dst_file")), "test").otherwise(F.col("form"))
-    return hit.select(src.alias("src"), "dst", kind.alias("kind"), F.lit(1).alias("weight")).where("src <> dst").distinct()
+    return hit.select(*["file"] * by_file, src.alias("src"), "dst", kind.alias("kind"), F.lit(1).alias("weight")).where("src <> dst").distinct()

@@ -187,13 +187,16 @@ def candidates(base: Column) -> Column:
     return F.array(*[F.concat(base, F.lit(e)) for e in ext])
 
 
-def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
-    """(file, spec) with the first candidate that is a file; relative specs only, others stay unresolved."""
+def consulted_paths(imports: DataFrame) -> DataFrame:
+    """(file, spec, pos, path) of (file, spec): the paths that a relative import looks at, in order, whether a file is there or not."""
     parts = F.concat(F.slice(F.split("file", "/"), F.lit(1), F.size(F.split("file", "/")) - 1), F.split("spec", "/"))
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p.isin("", "."), a).when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p)))
-    rel = imports.where(F.col("spec").startswith("."))
-    cand = rel.select("file", "spec", F.posexplode(candidates(F.array_join(folded, "/"))).alias("pos", "target"))
-    hit = cand.join(known.select(F.col("file").alias("target")).distinct(), "target").groupBy("file", "spec").agg(F.min_by("target", "pos").alias("target"))
+    return imports.where(F.col("spec").startswith(".")).select("file", "spec", F.posexplode(candidates(F.array_join(folded, "/"))).alias("pos", "path"))
+
+
+def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """(file, spec) with the first candidate that is a file; relative specs only, others stay unresolved."""
+    hit = consulted_paths(imports).join(known.select(F.col("file").alias("path")).distinct(), "path").groupBy("file", "spec").agg(F.min_by("path", "pos").alias("target"))
     return imports.join(hit, ["file", "spec"], "left")
 
 
