@@ -284,14 +284,17 @@ def keyed_documents(df: DataFrame, tokenizer: str, id_col: str, text_col: str, l
     shards = max(1, -(-size // shard_bytes))
     wide = len(codec(tokenizer).pieces) > 1 << 16
     layout = f"doc_id {kind}, doc_tokens long, sums array<long>, full binary, rest binary"
-    cut = Stored(docs.mapInArrow(tidy(_tokenize(tokenizer, length, end_id, with_ids)), layout), "packing-tokens").read()
+    tokens = Stored(docs.mapInArrow(tidy(_tokenize(tokenizer, length, end_id, with_ids)), layout), "packing-tokens")
+    cut = tokens.read()
     counts = dict(cut.select("rest").mapInArrow(tidy(_frequencies(wide)), "token int, n long").groupBy("token").agg(F.sum("n")).collect())
     df = np.zeros(max([0, *counts]) + 1, np.int64)
     for token, n in counts.items():
         if token >= 0:
             df[token] = n
     corpus = Corpus.of(counts.get(-1, 0), counts.get(-2, 0), df)
-    keyed = cut.mapInArrow(tidy(_keyed(wide, corpus)), layout + "".join(f", {k} long" for k in KEYS)).withColumn("row", F.monotonically_increasing_id())
+    # written with its keys, since the sort looks at its rows twice
+    keyed = Stored(cut.mapInArrow(tidy(_keyed(wide, corpus)), layout + "".join(f", {k} long" for k in KEYS)), "packing-keys").read().withColumn("row", F.monotonically_increasing_id())
+    tokens.drop()
     # rows that only their place in the stored table tells apart can still be parted
     return keyed.repartitionByRange(shards, *KEYS, F.xxhash64("doc_id", "doc_tokens"), "row").drop(*KEYS, "row"), field, length, wide, with_ids, corpus
 
