@@ -24,6 +24,9 @@ import numpy as np
 
 # The pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same where no space of any kind follows another. It looks at nothing around a match, so that it runs several times as fast.
+LONE_SPACES = PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
+_SPACES = re.compile(r"[\t-\r\x1c-\x20\x85\xa0]{2}")
 #: Below this code point the two libraries' tables of letters, digits and spaces are the same for good.
 SETTLED = "ɏ"
 _BEYOND = re.compile(f"[^\0-{SETTLED}]")
@@ -51,11 +54,12 @@ class Codec:
         for token, i in model["vocab"].items():
             self.pieces[i] = token.encode() if token in self.special else bytes(letters[c] for c in token)
         self.pieces |= {i: t.encode() for t, i in self.special.items()}
-        self.fast = self._ranked(spec)
+        self.fast = self._ranked(spec, PATTERN)
+        self.faster = self._ranked(spec, LONE_SPACES)
         self.none: set[str] = set()
         self.lengths = {i: len(p) for i, p in self.pieces.items()}
 
-    def _ranked(self, spec: dict):
+    def _ranked(self, spec: dict, pattern: str):
         """An encoder over ranks, if the file is plain byte-level BPE whose ids follow its merges; else None."""
         import tiktoken
 
@@ -67,7 +71,7 @@ class Codec:
         if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
             return None
         ranks = {p: i for i, p in self.pieces.items() if i not in self.special.values()}
-        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     @property
     def splits(self) -> bool:
@@ -91,7 +95,9 @@ class Codec:
         yield text[begin:], kind
 
     def _ranks(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.fast._core_bpe.encode_to_tiktoken_buffer(text, self.none), np.uint32)
+        """Ids of a text of settled characters."""
+        core = self.fast if _SPACES.search(text) else self.faster
+        return np.frombuffer(core._core_bpe.encode_to_tiktoken_buffer(text, self.none), np.uint32)
 
     def _direct(self, text: str) -> bytes:
         """Ids of a text without special strings: by ranks where the libraries' letter tables are settled, else segment by segment."""

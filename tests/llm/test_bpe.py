@@ -31,6 +31,15 @@ def test_unsplit_runs(t):
     assert array("I", encode_tree(codec(PATH), t, 64)).tolist() == library_ids(t)
 
 
+def test_lone_spaces_of_every_kind_equal_library():
+    r = random.Random(5)
+    kinds = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0"]
+    for n in range(400):
+        words = ["".join(r.choices(["a", "Bc", "'s", "1", "é", "!", "ß", "'"], k=r.choice([1, 2, 5]))) for _ in range(30)]
+        t = "".join(w + r.choice(kinds if n % 2 else kinds[:3]) * r.choice([1] if n % 3 else [1, 2]) for w in words)
+        assert array("I", codec(PATH).encode(t)).tolist() == library_ids(t)
+
+
 ROWS = [(1, "One two  three.", "x"), (2, None, "x"), (3, "", None), (3, "", None), (4, "z" * 9000, "y"), (5, "a b " * 9000 + "<|endoftext|>", "y")]
 
 
