@@ -285,8 +285,12 @@ def top_inner_products(
     asks = table.where("query").join(F.broadcast(pairs), ["dim", "cell"], "left").withColumn("meets", F.coalesce("meets", F.array("cell")))
     asks = asks.select("dim", F.explode("meets").alias("cell"), "vec_id", "v", "least").join(size, ["dim", "cell"])
     b = asks.select("dim", "cell", every(F.col("blocks")).alias("block"), hashed(F.lit(qbs)).alias("qb"), F.lit(True).alias("query"), "vec_id", "v", "least")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), qbs * -(-n // vectors))
-    near = a.unionByName(b).repartition(tasks, "dim", "cell", "block", "qb").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    # blocks are dealt by their number: a hash would give some tasks several of the few there are
+    first = F.coalesce(F.sum("blocks").over(Window.orderBy("dim", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over a row for each cell, at most the sample's
+    blocks = size.agg(F.sum("blocks")).first()[0] or 0
+    met = a.unionByName(b).join(size.select("dim", "cell", first.alias("first")), ["dim", "cell"])
+    number = (F.col("first") + F.col("block")) * qbs + F.col("qb")
+    near = met.repartitionById(max(1, blocks * qbs), number.cast("int")).drop("first").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

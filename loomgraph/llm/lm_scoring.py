@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bounded, free
+from loomgraph.llm.arrow import bounded, free, tidy
 from loomgraph.session import Stored
 
 ORDER = 3
@@ -202,19 +202,28 @@ def _ask(bits: int, groups: int, order: int, gram_bits: int):
 
 
 def _by_node(use):
-    """What `use` makes of (node, k) and its rows."""
+    """What `use` makes of (node, k) and its rows, which come one after the other; no more than one node's are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[dict]] = {}
+        of, held = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                held.setdefault((r["node"], r["k"]), []).append(r)
-        for node, k in sorted(held):
-            yield use(node, k, held.pop((node, k)))
+                if (r["node"], r["k"]) != of:
+                    if held:
+                        yield use(*of, held)
+                    of, held = (r["node"], r["k"]), []
+                held.append(r)
+        if held:
+            yield use(*of, held)
 
     return run
 
 
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows by their node's number, so that no task gets several while others get none; a node's rows stand together."""
+    return rows.repartitionById(tasks, (F.col("node") % tasks).cast("int")).sortWithinPartitions("node", "k")
+
+
 def _summed(asked: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """What each row asked for, the distinct n-grams, their sums, and the place of each asked one among them."""
     grams = [_unpack(r["grams"], np.uint64) for r in asked]
@@ -266,13 +275,13 @@ def levels(bits: int, chunks: int, fan_bits: int) -> list[tuple[int, int]]:
 def _totals(asked: DataFrame, route: list[tuple[int, int]], tasks: int) -> Stored:
     """TOLD for every row of `asked`, whose nodes are those of the first level of the route."""
     if len(route) == 1:
-        return Stored(asked.repartition(tasks, "node").mapInArrow(_by_node(_tell), TOLD), "lm-totals")
+        return Stored(_dealt(asked, tasks).mapInArrow(tidy(_by_node(_tell)), TOLD), "lm-totals")
     kept = Stored(asked, "lm-asked")
-    told = _totals(kept.read().repartition(tasks, "node").mapInArrow(_by_node(_ask_on(*route[1])), ASKED), route[1:], tasks)
+    told = _totals(_dealt(kept.read(), tasks).mapInArrow(tidy(_by_node(_ask_on(*route[1]))), ASKED), route[1:], tasks)
     null = lambda kind: F.lit(None).cast(kind)
     mine = kept.read().select("node", "k", "sender", "grams", "counts", null("long").alias("part"), null("long").alias("seen"))
     back = told.read().select(F.col("sender").alias("node"), "k", null("long").alias("sender"), null("binary").alias("grams"), "counts", F.col("node").alias("part"), "seen")
-    out = Stored(mine.unionByName(back).repartition(tasks, "node").mapInArrow(_by_node(_pass_back), TOLD), "lm-totals")
+    out = Stored(_dealt(mine.unionByName(back), tasks).mapInArrow(tidy(_by_node(_pass_back)), TOLD), "lm-totals")
     kept.drop(), told.drop()
     return out
 
