@@ -106,6 +106,41 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode(names).alias("file")).select(F.regexp_replace("file", r"^\./", "").alias("file")).distinct()
 
 
+# Host files whose command strings name scripts, and what counts as such a name.
+HOST_FILES = ("hooks/hooks.json", ".claude-plugin/plugin.json")
+SCRIPT = r"[\w@${}./-]+\.(?:mjs|cjs|js)"
+
+
+def flat_strings(rows: DataFrame, most_depth: int = 64) -> DataFrame:
+    """(of, value) of every string inside a VARIANT: rows are (of, v), objects and arrays opened level by level, whatever their nesting; other values are passed over. Deeper than most_depth raises."""
+    spark, level, out = rows.sparkSession, rows.select("of", "v").where("v IS NOT NULL"), None
+    for _ in range(most_depth):
+        kind = F.schema_of_variant("v")
+        said = level.where(kind == "STRING").select("of", F.col("v").cast("string").alias("value"))
+        out = said if out is None else out.union(said)
+        inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        if inner.isEmpty():
+            return out
+        level = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("of", F.col("value").alias("v"))
+    raise ValueError(f"values nested deeper than {most_depth}")
+
+
+def manifest_files(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, manifest) of the files that manifests (path, text) name: main, bin and exports of every package.json, however nested; the scripts in host files at the top.
+
+    A name means the file itself or one below the manifest's directory; the
+    first manifest by name counts. What is no JSON names nothing.
+    """
+    at = F.regexp_replace("path", r"/?[^/]*$", "")
+    doc = manifests.where(F.substring_index("path", "/", -1) == "package.json").select(F.struct(F.col("path"), at.alias("dir")).alias("of"), F.try_parse_json("text").alias("v"))
+    parts = [doc.select("of", F.try_variant_get("v", f"$.{k}", "variant").alias("v")) for k in ("main", "bin", "exports")]
+    named = flat_strings(parts[0].where(F.schema_of_variant("v") == "STRING").union(parts[1]).union(parts[2])).select("of.path", "of.dir", "value")
+    scripts = manifests.where(F.col("path").isin(*HOST_FILES)).select("path", F.lit(None).cast("string").alias("dir"), F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SCRIPT), F.lit(0))).alias("value"))
+    clean = F.regexp_replace(F.regexp_replace("value", r"^\./", ""), r"\$\{[A-Z_]+\}/", "")
+    wanted = named.union(scripts).withColumn("clean", clean).where("clean <> ''").select("path", F.explode(F.array("clean", F.when(F.col("dir") != "", F.concat_ws("/", "dir", "clean")))).alias("file")).where("file IS NOT NULL")
+    return wanted.join(files.select("file").distinct(), "file").groupBy("file").agg(F.min("path").alias("manifest"))
+
+
 def coverage_of(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """Covered and hits of each node: body lines before the declaration line; null where the file was never seen."""
     inside = nodes.join(lines.withColumnRenamed("line", "at"), "file").where((F.col("at") >= F.col("line")) & (F.col("at") <= F.col("line") + F.greatest("loc", F.lit(1)) - 1))
