@@ -106,6 +106,19 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode(names).alias("file")).select(F.regexp_replace("file", r"^\./", "").alias("file")).distinct()
 
 
+def ctags(spark: SparkSession, path: str) -> DataFrame:
+    """(file, label, kind, line) out of tag files of JSON lines. What is no JSON, no tag or has no name is passed over; a tag without a line stands on line 1, one without a kind is a symbol."""
+    rows = spark.read.schema("_type string, name string, path string, line int, kind string").json(path)
+    tag = (F.col("_type") == "tag") & (F.col("name") != "") & F.col("path").isNotNull()
+    return rows.where(tag).select(F.regexp_replace("path", r"^\./", "").alias("file"), F.col("name").alias("label"), F.coalesce("kind", F.lit("symbol")).alias("kind"), F.coalesce("line", F.lit(1)).alias("line"))
+
+
+def tagged_symbols(symbols: DataFrame, tags: DataFrame) -> DataFrame:
+    """(file, label, kind, line) of all files: a file's tags where it has any, else what the line rules found."""
+    own = symbols.join(tags.select("file").distinct(), "file", "left_anti")
+    return tags.select("file", "label", "kind", "line").union(own.select("file", "label", "kind", "line"))
+
+
 # Host files whose command strings name scripts, and what counts as such a name.
 HOST_FILES = ("hooks/hooks.json", ".claude-plugin/plugin.json")
 SCRIPT = r"[\w@${}./-]+\.(?:mjs|cjs|js)"
