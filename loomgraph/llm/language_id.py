@@ -165,7 +165,7 @@ def _bits(model: Model, j: int, of: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
 
 
 def limits(bits: np.ndarray, n: np.ndarray) -> list[float]:
-    """For each of LENGTHS the highest cross-entropy that a language's own calibration texts show over so many positions in a row.
+    """For each of LENGTHS a limit to the cross-entropy of a language's own texts: above the highest that its calibration texts show over so many positions in a row, by as much as that is above their median.
 
     bits: of each position; n: positions of each text. A longer text averages
     over more positions, so it stays below. A length of too few pieces takes
@@ -177,7 +177,7 @@ def limits(bits: np.ndarray, n: np.ndarray) -> list[float]:
         count = n // length
         first = np.repeat(starts, count) + length * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
         h = (ends[first + length] - ends[first]) / length
-        out.append(float(h.max()) if len(h) >= PIECES else out[-1] if out else float("inf"))
+        out.append(float(2 * h.max() - np.median(h)) if len(h) >= PIECES else out[-1] if out else float("inf"))
     return out
 
 

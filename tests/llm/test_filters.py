@@ -115,7 +115,7 @@ def test_rejection_follows_the_calibration_texts():
 
     bits = np.concatenate([np.tile([1.0, 3.0], 200), [9.0] * 4, np.full(396, 2.0)])
     got = limits(bits, np.array([400, 400]))
-    assert got[:4] == [9.0, 9.0, 9.0, 5.5] and got[4:] == [5.5] * (len(got) - 4)  # from 16 positions on there are under 100 pieces
+    assert got[:4] == [16.0, 16.0, 16.0, 9.0] and got[4:] == [9.0] * (len(got) - 4)  # from 16 positions on there are under 100 pieces
     assert limits(np.zeros(0), np.zeros(0, int)) == [float("inf")] * len(got)
 
 
