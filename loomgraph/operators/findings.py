@@ -46,11 +46,14 @@ def structural_confidence(members: DataFrame, edges: DataFrame, labels: DataFram
 
     high from 2 points on, medium at 1, else low.
     """
-    n = members.groupBy("group").agg(F.countDistinct("id").alias("n"), F.when(F.avg("loc") != 0, F.stddev_pop("loc") / F.avg("loc")).otherwise(0.0).alias("cv"))
+    size = F.col("loc").cast("decimal(12,0)")
+    sums = members.groupBy("group").agg(F.countDistinct("id").alias("n"), F.count("loc").cast("decimal(12,0)").alias("k"), F.sum(size).alias("s"), F.sum(size * size).alias("q"))
+    spread = (F.col("k") * F.col("q") - F.col("s") * F.col("s")).cast("decimal(38,0)")  # whole numbers: sums of floats depend on the rows' order, which decides groups that lie at the limit
+    n = sums.select("group", "n", F.when(F.col("s") != 0, F.sqrt(spread.cast("double")) / F.col("s").cast("double")).otherwise(0.0).alias("cv"), F.coalesce((F.col("s") <= 0) | (25 * spread < 4 * F.col("s") * F.col("s")), F.lit(True)).alias("alike"))
     calls = members.join(edges.where("kind = 'call'").select(F.col("src").alias("id"), "dst"), "id").join(labels.select(F.col("id").alias("dst"), "label"), "dst").select("group", "id", "label").distinct()
     callers = calls.groupBy("group").agg(F.countDistinct("id").alias("callers")).where("callers >= 2")
     shared = calls.groupBy("group", "label").agg(F.count("*").alias("k")).join(callers, "group").where("k = callers").groupBy("group").agg(F.count("*").alias("shared"))
-    score = F.when(F.col("shared") > 0, 2).otherwise(0) + F.when(F.col("cv") < 0.4, 1).otherwise(0)
+    score = F.when(F.col("shared") > 0, 2).otherwise(0) + F.when(F.col("alike"), 1).otherwise(0)
     out = n.join(shared, "group", "left").withColumn("shared", F.coalesce("shared", F.lit(0))).withColumn("score", score)
     return out.select("group", "n", "shared", F.round("cv", 9).alias("cv"), "score", F.when(F.col("score") >= 2, "high").when(F.col("score") == 1, "medium").otherwise("low").alias("confidence"))
 
