@@ -83,6 +83,15 @@ def test_reading_order_and_labels(spark):
         ranking.fitness(n, e, [{"id": "x", "type": "nonsense"}])
 
 
+def test_labels_take_only_what_hubs_leave_to_the_driver(spark):
+    """Nodes around a hub keep their directories, however many they are; the others move as in one pass over all."""
+    n = [(f"m{i}", f"a/x{i % 2}/f") for i in range(400)] + [("hub", "h/h/f")] + [(f"k{i}", f"b/{'y' if i else 'z'}/f") for i in range(4)]
+    e = [(f"m{i}", "hub") for i in range(400)] + [(f"k{i}", f"k{(i + 1) % 4}") for i in range(4)] + [("k1", "k1"), ("k1", "gone")]
+    nodes, edges = spark.createDataFrame(n, "id string, file string"), spark.createDataFrame(e, "src string, dst string")
+    got = {r.id: r.domain for r in planning.label_domains(nodes, edges, most=20).collect()}
+    assert got == {**{f"m{i}": f"a/x{i % 2}" for i in range(400)}, "hub": "h/h", **{f"k{i}": "b/y" for i in range(4)}}
+
+
 def test_renames(spark):
     sh = lambda *x: list(x)
     schema = "id string, kind string, file string, label string, shingles array<string>"
