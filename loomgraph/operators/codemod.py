@@ -113,7 +113,8 @@ def _turned(files: DataFrame, lost: DataFrame, touched: DataFrame) -> DataFrame:
     said = files.where("language = 'js'").join(touched.select("file").distinct(), "file", "left_semi").select("file", F.explode(specs("text", "language")).alias("s")).select("file", "s.*").where(F.col("spec").startswith("."))
     target = resolve_imports(said.select("file", "spec").distinct(), files.select("file")).where("target IS NOT NULL")
     hit = said.join(target, ["file", "spec"]).join(lost.select("group", F.col("file").alias("target"), "label", "new", "to_file").distinct(), "target").join(touched, ["group", "file"], "left_semi")
-    names = F.regexp_extract_all("line", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))
+    clause = F.regexp_replace("line", r"^\s*(?:import|export)\b|\bfrom\s+['\"][^'\"\n]*['\"]$", " ")  # its own words are no names: a symbol may be called `from`
+    names = F.regexp_extract_all(clause, F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))
     hit = hit.where((F.array_contains(names, F.col("label")) | F.array_contains(names, F.col("new"))) & (F.col("target") != F.col("to_file")) & (F.col("file") != F.col("to_file")))
     return hit.select("file", "group", "start", "end", F.col("spec").alias("old"), _relative(F.col("to_file"), F.col("file")).alias("new")).distinct()
 

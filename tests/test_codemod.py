@@ -42,3 +42,17 @@ def test_groups_that_would_need_a_guess_are_refused(spark):
     assert edits.count() == 0
     none, refused = codemod.merge_edits(files, s, e, groups.limit(0))
     assert none.count() == 0 and refused.count() == 0
+
+
+def test_the_word_from_of_an_import_is_no_name(spark):
+    """A symbol called `from` moves; lines that only say `from` before their file stay."""
+    body = "export function from(x) {\n  return x;\n}\n"
+    user = "import { other } from './b.js';\nimport { from as f } from './b.js';\n"
+    files = spark.createDataFrame([("p/a.js", body, "js"), ("p/b.js", body + "export function other() {\n}\n", "js"), ("p/c.js", user, "js")], "file string, text string, language string")
+    symbols = spark.createDataFrame([("p/a.js:from", "p/a.js", "from", 1, 3), ("p/b.js:from", "p/b.js", "from", 1, 3), ("p/b.js:other", "p/b.js", "other", 4, 5)], "id string, file string, label string, line int, end int")
+    edges = spark.createDataFrame([("p/c.js:<module>", "p/b.js:from", "import")], "src string, dst string, kind string")
+    groups = spark.createDataFrame([("g", "p/a.js:from", "p/a.js:from"), ("g", "p/b.js:from", "p/a.js:from")], "group string, id string, canonical string")
+    edits, refused = codemod.merge_edits(files, symbols, edges, groups)
+    at = user.rindex("./b.js")
+    assert {(r.file, r.start, r.end, r.new) for r in edits.collect()} == {("p/b.js", 0, len(body), ""), ("p/c.js", at, at + 6, "./a.js")}
+    assert refused.count() == 0
