@@ -156,3 +156,13 @@ def test_blast_is_carried_over_edits(spark):
     same = carried(state, nodes, frame(edges), frame(edges))
     assert {x.id: x.blast for x in same.counts().collect()} == want(edges, ids)
     assert blast(nodes.limit(0), frame(edges).limit(0)).counts().count() == 0
+
+
+def test_components_in_a_row_settle_together(spark, monkeypatch):
+    """Each leads to the next, and the first has the smallest ids: they need not be found one after the other."""
+    made = []
+    monkeypatch.setattr(graph, "checkpoint", lambda df, kept=graph.checkpoint: made.append(1) or kept(df))
+    rows = [e for k in range(10) for e in ((f"{k}a", f"{k}b"), (f"{k}b", f"{k}a"), (f"{k}b", f"{k + 1}a"))]
+    got = graph.strong_components(spark.createDataFrame(rows, "src string, dst string")).collect()
+    assert {(r.id, r.root) for r in got} == {(f"{k}{x}", f"{k}a") for k in range(10) for x in "ab"}
+    assert len(made) < 30
