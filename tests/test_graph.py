@@ -166,3 +166,11 @@ def test_components_in_a_row_settle_together(spark, monkeypatch):
     got = graph.strong_components(spark.createDataFrame(rows, "src string, dst string")).collect()
     assert {(r.id, r.root) for r in got} == {(f"{k}{x}", f"{k}a") for k in range(10) for x in "ab"}
     assert len(made) < 30
+
+
+def test_what_lies_behind_many_starts_is_no_row_for_each(spark):
+    from loomgraph.operators import blast
+
+    rows = [(f"{k}", f"{(k + 1) % 20}") for k in range(20)] + [("x", "0")]
+    starts = spark.createDataFrame([(f"{k}",) for k in range(0, 20, 2)], "id string")
+    assert sorted(r.id for r in blast._behind(spark.createDataFrame(rows, "src string, dst string"), starts).collect()) == sorted(str(k) for k in range(20))
