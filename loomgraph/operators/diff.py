@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import cycles, fan, file_edges, orphans
+from loomgraph.session import Stored
 
 
 def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,9 +19,13 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
 
 def lost_callers(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Q13: nodes of both snapshots that had callers and have none now."""
-    old, new = fan(before[1]).withColumnRenamed("fan_in", "was"), fan(after[1])
-    both = before[0].select("id").join(after[0].select("id"), "id", "left_semi")
-    return both.join(old, "id").join(new, "id", "left").where("fan_in IS NULL").select("id", "was")
+    calls = lambda g: g[1].where("kind = 'call'")
+    sides = calls(before).select("dst", F.lit(1).alias("side")).union(calls(after).select("dst", F.lit(2).alias("side")))
+    lost = sides.groupBy(F.col("dst").alias("id")).agg(F.bit_or("side").alias("side")).where("side = 1").select("id")  # found without sources, so that only edges to these are counted by source
+    for g in (before, after):
+        lost = lost.join(g[0].select("id"), "id", "left_semi")
+    lost = Stored(lost.distinct(), "lost-callers").read()  # known to be few where they are, so that the edges need not move
+    return fan(before[1].join(lost.withColumnRenamed("id", "dst"), "dst", "left_semi")).withColumnRenamed("fan_in", "was")
 
 
 def new_cycles(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:

@@ -174,3 +174,26 @@ def test_what_lies_behind_many_starts_is_no_row_for_each(spark):
     rows = [(f"{k}", f"{(k + 1) % 20}") for k in range(20)] + [("x", "0")]
     starts = spark.createDataFrame([(f"{k}",) for k in range(0, 20, 2)], "id string")
     assert sorted(r.id for r in blast._behind(spark.createDataFrame(rows, "src string, dst string"), starts).collect()) == sorted(str(k) for k in range(20))
+
+
+def test_lost_callers_of_many_rows(spark, tmp_path, monkeypatch):
+    """Nodes that lost their last caller, with the lines dealt to more tasks than the session's partitions; the same as without."""
+    from loomgraph import session
+    from loomgraph.operators import diff
+    from loomgraph.sources.adapters import commerce
+
+    d = "/root/testdata/sf0.001"
+    nodes, edges = commerce(spark, d)
+    few = edges.rdd.getNumPartitions()
+    after = nodes, edges.where("src LIKE '%1'")
+    callers = {}
+    for x in edges.where("kind = 'call'").collect():
+        callers.setdefault(x.dst, set()).add(x.src)
+    ids = {x.id for x in nodes.collect()}
+    want = {k: len(v) for k, v in callers.items() if k in ids and not any(s.endswith("1") for s in v)}
+    assert want and {x.id: x.was for x in diff.lost_callers((nodes, edges), after).collect()} == want
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    many = commerce(spark, d)[1]
+    assert many.rdd.getNumPartitions() > few + 40
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, edges.collect()))
+    assert {x.id: x.was for x in diff.lost_callers((nodes, many), (nodes, many.where("src LIKE '%1'"))).collect()} == want
