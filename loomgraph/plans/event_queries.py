@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import series
-from loomgraph.session import table
+from loomgraph.session import ROWS_A_TASK, table
 
 
 def w5_cumulative(spark, d):
@@ -75,10 +75,16 @@ def a10_buckets(spark, d):
 
 
 def a11_shared(spark, d):
-    """Shared quantity of the parts that two suppliers of a pair both deliver."""
-    q = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("c"))
-    a, b = q.toDF("a", "p", "ca"), q.toDF("b", "p", "cb")
-    return a.join(b, "p").where("a < b").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("shared"))
+    """Shared quantity of the parts that two suppliers of a pair both deliver. Summed among parts of near numbers first, which have many pairs in common, so that a task holds and sends few."""
+    lines = table(spark, d, "lineitem")
+    size = lines.agg(F.count("*").alias("rows"), F.approx_count_distinct("l_partkey").alias("parts")).first()
+    tasks = max(-(-size.rows // ROWS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    near = F.floor(F.col("l_partkey") / max(1, size.parts // (2 * tasks)))
+    q = lines.select(near.alias("near"), "l_suppkey", "l_partkey").where("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL").repartitionByRange(tasks, "near").groupBy("near", "l_partkey", "l_suppkey").agg(F.count("*").alias("c"))
+    later = F.collect_list(F.struct("l_suppkey", "c")).over(Window.partitionBy("near", "l_partkey").orderBy("l_suppkey").rowsBetween(1, Window.unboundedFollowing))
+    pairs = q.select("near", F.col("l_suppkey").alias("a"), "c", later.alias("later")).select("near", "a", "c", F.explode("later").alias("y"))
+    some = pairs.groupBy("near", "a", F.col("y.l_suppkey").alias("b")).agg(F.sum(F.least("c", "y.c")).alias("some"))
+    return some.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.sum("some").alias("shared"))
 
 
 def a15_coverage(spark, d):
