@@ -124,14 +124,20 @@ def reliance(callers: DataFrame, most: int | None = None) -> DataFrame:
     pattern = lambda before, after: F.concat(F.lit(before), label, F.lit(after))
     call, closed = r"\s*\(", r"\s*\([^()]*\)"
     body = Window.partitionBy("id", "caller").orderBy("line")
-    lines = callers.select("id", "label", "caller", F.posexplode(F.split("text", "\n")).alias("line", "code")).withColumn("code", F.regexp_replace("code", r"(^|[^:])\/\/.*$", "$1"))
-    step = F.regexp_count("code", F.lit(r"\btry\s*\{")) - F.regexp_count("code", F.lit(r"\}\s*(?:catch|finally)\b"))
-    lines = lines.withColumn("sum", F.sum(step).over(body)).withColumn("low", F.least(F.min("sum").over(body), F.lit(0)))
-    lines = lines.withColumn("tries", F.coalesce(F.lag(F.col("sum") - F.col("low")).over(body), F.lit(0)))  # opened and not closed before this line, never below 0
+    lines = callers.select("id", "label", "caller", F.posexplode(F.split("text", "\n")).alias("line", "code"))
     says = lambda *p: F.regexp_like("code", pattern(*p))
-    sites = lines.where(says(r"\b", call))
+    # lines that neither call nor open or close a try change no sum, so they go before the rest moves; plain words are looked for first
+    tried = F.contains("code", F.lit("try")) | F.contains("code", F.lit("catch")) | F.contains("code", F.lit("finally"))
+    lines = lines.where(F.contains("code", "label") | tried).withColumn("code", F.when(F.contains("code", F.lit("//")), F.regexp_replace("code", r"(^|[^:])\/\/.*$", "$1")).otherwise(F.col("code")))
+    step = F.when(tried, F.regexp_count("code", F.lit(r"\btry\s*\{")) - F.regexp_count("code", F.lit(r"\}\s*(?:catch|finally)\b"))).otherwise(0)
+    lines = lines.select("*", step.alias("step"), (F.contains("code", "label") & says(r"\b", call)).alias("site")).where("site OR step <> 0")
+    lines = lines.withColumn("sum", F.sum("step").over(body)).withColumn("low", F.least(F.min("sum").over(body), F.lit(0)))
+    lines = lines.withColumn("tries", F.coalesce(F.lag(F.col("sum") - F.col("low")).over(body), F.lit(0)))  # opened and not closed before this line, never below 0
+    sites = lines.where("site")
     if most is not None:
         sites = sites.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("caller", "line"))).where(F.col("r") <= most)
+    # a line that stands in many places is read once
+    sites = sites.groupBy("id", "label", "code", (F.col("tries") > 0).alias("tried")).agg(F.count("*").alias("n"))
     taken = pattern(r"(?:const|let|var)\s*\{([^}]*)\}\s*=\s*(?:await\s+)?[\w.$]*\b", call)
     names = F.transform(F.split(F.regexp_extract_all("code", taken, F.lit(1))[0], ","), lambda x: F.trim(F.split(F.trim(x), "[:=]")[0]))
     member = F.get(F.regexp_extract_all("code", pattern(r"\b", closed + r"\s*\.(\w+)"), F.lit(1)), 0)
@@ -140,10 +146,11 @@ def reliance(callers: DataFrame, most: int | None = None) -> DataFrame:
     first = F.regexp_instr("code", pattern(r"\b", call))
     args = argument_count(F.regexp_replace(F.substring(F.col("code"), first, F.length("code")), r"^[^(]*", ""))
     null = says(r"\b", closed + r"\s*\?\.") | says(r"\b", closed + r"\s*\?\?") | says(r"\b", closed + r"\s*[!=]==?\s*(?:null|undefined)") | says(r"!\s*[\w.$]*\b", call)
+    many = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     return sites.groupBy("id").agg(
-        F.count("*").alias("n_sites"), F.count_if(says(r"\bawait\s+[\w.$]*\b", call) | (~apart & chained)).alias("awaited"),
+        F.sum("n").alias("n_sites"), many(says(r"\bawait\s+[\w.$]*\b", call) | (~apart & chained)).alias("awaited"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(fields)))), ",").alias("fields"), F.min(args).alias("least_args"), F.max(args).alias("most_args"),
-        F.count_if((F.col("tries") > 0) | says(r"\b", closed + r"\s*\.catch\s*\(")).alias("handles_errors"), F.count_if(null).alias("null_checked"),
+        many(F.col("tried") | says(r"\b", closed + r"\s*\.catch\s*\(")).alias("handles_errors"), many(null).alias("null_checked"),
     )
 
 

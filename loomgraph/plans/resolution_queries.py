@@ -82,11 +82,11 @@ CALL_FORMS = (
 
 def x28_reliance(spark, d):
     """Orders as bodies, a line of code for each of their lines; symbols are called by the lines of their suppliers."""
-    label = F.concat(F.lit("f"), (F.col("l_suppkey") % 7).cast("string"))
-    form = F.element_at(F.array(*map(F.lit, CALL_FORMS)), (F.col("l_partkey") % len(CALL_FORMS) + 1).cast("int"))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.replace(form, F.lit("S"), label).alias("code"))
-    bodies = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.collect_set(label).alias("labels"))
-    callers = bodies.select(F.explode("labels").alias("label"), _name("o", "l_orderkey").alias("caller"), F.array_join("lines.code", "\n").alias("text"))
+    label = lambda x: F.concat(F.lit("f"), (x["l_suppkey"] % 7).cast("string"))
+    form = lambda x: F.element_at(F.array(*map(F.lit, CALL_FORMS)), (x["l_partkey"] % len(CALL_FORMS) + 1).cast("int"))
+    bodies = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: F.replace(form(x), F.lit("S"), label(x))), "\n")
+    callers = bodies.select("l_orderkey", F.array_distinct(F.transform("lines", label)).alias("labels"), text.alias("text")).select(F.explode("labels").alias("label"), _name("o", "l_orderkey").alias("caller"), "text")
     return findings.reliance(callers.select(F.col("label").alias("id"), "label", "caller", "text"))
 
 

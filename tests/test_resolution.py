@@ -81,3 +81,13 @@ def test_comments_go_line_by_line_first(spark):
     df = spark.createDataFrame([("/* a // b */ f()\ng() /* h */ `k` 'l\\'m'",)], "b string")
     r = df.select(text.tokens(F.col("b")).alias("t"), text.skeleton(F.col("b")).alias("s")).first()
     assert r.t == ["str", "str"] and r.s == ["STR", "STR"]
+
+
+def test_reliance_reads_a_line_of_code_once(spark):
+    body = "let x = 1;\n// try {\ntry {\ny = 2;\nf(1);\nx += 1; // f(2)\n} catch (e) {\nretry(x);\nf(1);\nz();\n}"
+    callers = spark.createDataFrame([("f", "f", f"c{i}", body) for i in range(50)], "id string, label string, caller string, text string")
+    got = findings.reliance(callers)
+    (row,) = got.collect()
+    assert (row.n_sites, row.handles_errors, row.least_args, row.most_args, row.awaited) == (100, 50, 1, 1, 0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # the first by line of code
