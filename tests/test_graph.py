@@ -197,3 +197,12 @@ def test_lost_callers_of_many_rows(spark, tmp_path, monkeypatch):
     assert many.rdd.getNumPartitions() > few + 40
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, edges.collect()))
     assert {x.id: x.was for x in diff.lost_callers((nodes, many), (nodes, many.where("src LIKE '%1'"))).collect()} == want
+
+
+def test_the_market_is_made_once_for_all_who_read_it(spark):
+    from loomgraph.sources.adapters import market
+
+    _, e = market(spark, "/root/testdata/sf0.001")
+    files = e.inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+    assert e.where("src LIKE 'c:%'").groupBy("src").count().agg(F.max("count")).first()[0] == 2
