@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import cycles, fan, file_edges, orphans
-from loomgraph.session import Stored
+from loomgraph.session import Stored, spread
 
 
-def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys only before (removed) or only after (added), by one grouping of both; nulls equal each other."""
+def changes(before: DataFrame, after: DataFrame, keys: list[str], rows: int = 0) -> DataFrame:
+    """Keys only before (removed) or only after (added), by one grouping of both; nulls equal each other. rows: about how many both have, by which they are dealt to tasks."""
     both = before.select(*keys, F.lit(1).alias("side")).union(after.select(*keys, F.lit(2).alias("side")))
-    sides = both.groupBy(*keys).agg(F.bit_or("side").alias("side")).where("side < 3")
+    sides = spread(both, rows, *keys).groupBy(*keys).agg(F.bit_or("side").alias("side")).where("side < 3")
     return sides.select(*keys, F.when(F.col("side") == 2, "added").otherwise("removed").alias("change"))
 
 

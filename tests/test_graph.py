@@ -206,3 +206,20 @@ def test_the_market_is_made_once_for_all_who_read_it(spark):
     files = e.inputFiles()
     assert files and not any("lineitem" in f for f in files)
     assert e.where("src LIKE 'c:%'").groupBy("src").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_dependents_are_counted_without_a_row_for_each_kind(spark):
+    e = spark.createDataFrame([("a", "x", "call"), ("a", "x", "test"), ("a", "x", "call"), (None, "x", "call"), ("b", "x", "odd"), ("a", "y", "ref")], "src string, dst string, kind string")
+    got = graph.dependents(e, spark.createDataFrame([("x",)], "id string"))
+    assert [(r.id, r.n_call, r.n_test, r.n_ref, r.n_all) for r in got.collect()] == [("x", 1, 1, 0, 2)]
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "deals"), [("q5_dependents", 3), ("p10_dangling", 4), ("q18_diff_edges", 5)])
+def test_edges_are_dealt_to_more_tasks_as_lines_grow(spark, monkeypatch, name, deals):
+    from loomgraph import session
+    from loomgraph.plans import graph_queries
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1000)
+    plan = graph_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == deals
