@@ -223,3 +223,10 @@ def test_edges_are_dealt_to_more_tasks_as_lines_grow(spark, monkeypatch, name, d
     monkeypatch.setattr(session, "ROWS_A_TASK", 1000)
     plan = graph_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == deals
+
+
+def test_snapshots_of_the_trend_are_made_once(spark):
+    from loomgraph.plans import graph_queries
+
+    files = graph_queries.q33_trend(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f for f in files)
